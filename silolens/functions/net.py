@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from silolens.functions.hashing import gaussian_value
+from silolens.functions.text import ident, num, weighted
 
 LOGIT_LIMIT = 30.0
 PROB_FLOOR = 1e-7
@@ -107,16 +108,9 @@ def gradient_sum(theta: np.ndarray, sizes: Sequence[int], x: np.ndarray, y: np.n
 # --- Columns ---------------------------------------------------------------------------------
 
 
-def sigmoid(logit: Column) -> Column:
-    bounded = F.least(F.greatest(logit, F.lit(-LOGIT_LIMIT)), F.lit(LOGIT_LIMIT))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-bounded))
-
-
-def weighted_sum(cols: Sequence[Column], weights: Sequence[float], bias: float) -> Column:
-    total = F.lit(0.0)
-    for c, w in zip(cols, weights):
-        total = total + c * F.lit(float(w))
-    return total + F.lit(float(bias))
+def sigmoid(logit: str) -> Column:
+    """Of an expression text, with the logit bounded."""
+    return F.expr(f"1D / (1D + exp(-least(greatest({logit}, {num(-LOGIT_LIMIT)}), {num(LOGIT_LIMIT)})))")
 
 
 def score(df: DataFrame, params: Sequence[float], sizes: Sequence[int], features: Sequence[str],
@@ -127,15 +121,14 @@ def score(df: DataFrame, params: Sequence[float], sizes: Sequence[int], features
         raise ValueError(f"the net takes {sizes[0]} features, got {len(features)}")
     if n_params(sizes) > UNROLL_LIMIT:
         return _score_batches(df, params, sizes, features, out)
-    cols: list[Column] = [F.col(f"`{c}`") for c in features]
-    made: list[str] = []
+    inputs, made = list(features), []
     stack = layers(np.asarray(params, dtype=np.float64), sizes)
     for depth, (w, b) in enumerate(stack[:-1]):
         names = [f"_h{depth}_{j}" for j in range(w.shape[1])]
-        df = df.withColumns({n: F.greatest(weighted_sum(cols, w[:, j], b[j]), F.lit(0.0)) for j, n in enumerate(names)})
-        cols, made = [F.col(n) for n in names], made + names
+        df = df.select("*", *[F.expr(f"greatest({weighted(inputs, w[:, j], b[j])}, 0D)").alias(n) for j, n in enumerate(names)])
+        inputs, made = names, made + names
     w, b = stack[-1]
-    return df.withColumn(out, sigmoid(weighted_sum(cols, w[:, 0], b[0]))).drop(*made)
+    return df.withColumn(out, sigmoid(weighted(inputs, w[:, 0], b[0]))).drop(*made)
 
 
 def _score_batches(df: DataFrame, params: Sequence[float], sizes: Sequence[int], features: Sequence[str],
@@ -155,12 +148,17 @@ def _score_batches(df: DataFrame, params: Sequence[float], sizes: Sequence[int],
 def predict(df: DataFrame, p: str = "p1") -> DataFrame:
     """y_pred = 1 from probability 0.5 on; confidence is the larger of both probabilities."""
     return df.withColumns({
-        "y_pred": (F.col(p) >= 0.5).cast("int"),
-        "confidence": F.greatest(F.col(p), F.lit(1.0) - F.col(p)),
+        "y_pred": F.expr(f"cast({ident(p)} >= 0.5D as int)"),
+        "confidence": F.expr(f"greatest({ident(p)}, 1D - {ident(p)})"),
     })
 
 
-def row_log_loss(p: Column, y: Column) -> Column:
-    q = F.least(F.greatest(p, F.lit(PROB_FLOOR)), F.lit(1.0 - PROB_FLOOR))
-    return -(y * F.log(q) + (F.lit(1.0) - y) * F.log(F.lit(1.0) - q))
+def clipped_probability(p: str) -> str:
+    return f"least(greatest({ident(p)}, {num(PROB_FLOOR)}), {num(1.0 - PROB_FLOOR)})"
+
+
+def row_log_loss(p: str, y: str) -> Column:
+    """Unweighted log loss of a row, from column names."""
+    q = clipped_probability(p)
+    return F.expr(f"-({ident(y)} * ln({q}) + (1D - {ident(y)}) * ln(1D - {q}))")
 

@@ -12,12 +12,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from silolens.functions.hashing import uniform_value
+from silolens.functions.text import ident, squares, weighted
 from silolens.operators.scale import Preprocessor, inverse_transform
+from silolens.session import local_table
 
 Centroids = list[list[float]]
 
@@ -27,24 +29,20 @@ def init_centroids(k: int, d: int, seed: int = 42) -> Centroids:
     return [[2.0 * uniform_value(seed, "centroid", c, j) - 1.0 for j in range(d)] for c in range(k)]
 
 
-def _nearest(distances: Sequence[Column]) -> Column:
+def _nearest(distances: Sequence[str]) -> str:
     """Index of the smallest distance, the lowest on ties."""
-    best = F.least(*distances) if len(distances) > 1 else distances[0]
-    pick = F.lit(len(distances) - 1)
-    for i in range(len(distances) - 2, -1, -1):
-        pick = F.when(distances[i] == best, F.lit(i)).otherwise(pick)
-    return pick
+    if len(distances) == 1:
+        return "0"
+    best = f"least({', '.join(distances)})"
+    cases = " ".join(f"WHEN {d} = {best} THEN {i}" for i, d in enumerate(distances))
+    return f"CASE {cases} END"
 
 
 def assign(df: DataFrame, centroids: Centroids, features: Sequence[str], out: str = "cluster") -> DataFrame:
     """Nearest centroid by squared distance, as column arithmetic."""
-    cols = [F.col(f"`{c}`") for c in features]
     names = [f"_d{i}" for i in range(len(centroids))]
-    squares = {
-        n: sum(((c - F.lit(float(v))) * (c - F.lit(float(v))) for c, v in zip(cols, center)), F.lit(0.0))
-        for n, center in zip(names, centroids)
-    }
-    return df.withColumns(squares).withColumn(out, _nearest([F.col(n) for n in names])).drop(*names)
+    gaps = [F.expr(squares(features, center)).alias(n) for n, center in zip(names, centroids)]
+    return df.select("*", *gaps).withColumn(out, F.expr(_nearest(names))).drop(*names)
 
 
 def assign_vectors(df: DataFrame, centroids: Centroids, vector: str, out: str = "cluster") -> DataFrame:
@@ -66,20 +64,20 @@ def assign_vectors(df: DataFrame, centroids: Centroids, vector: str, out: str =
 
 def client_partials(assigned: DataFrame, features: Sequence[str], client: str = "client_id") -> DataFrame:
     """(client, cluster, n, s0..): all that leaves a client."""
-    sums = [F.sum(f"`{c}`").alias(f"s{j}") for j, c in enumerate(features)]
+    sums = [F.expr(f"sum({ident(c)})").alias(f"s{j}") for j, c in enumerate(features)]
     return assigned.groupBy(client, "cluster").agg(F.count("*").alias("n"), *sums)
 
 
 def pool(partials: DataFrame, centroids: Centroids) -> DataFrame:
     """(cluster, n, c0..): pooled means; an empty cluster keeps its old centroid."""
     d = len(centroids[0])
-    old = partials.sparkSession.createDataFrame(
-        [(i, [float(v) for v in c]) for i, c in enumerate(centroids)], "cluster int, old array<double>"
+    old = local_table(
+        partials.sparkSession, [(i, [float(v) for v in c]) for i, c in enumerate(centroids)], "cluster int, old array<double>"
     )
     sums = partials.groupBy("cluster").agg(F.sum("n").alias("n"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(d)])
     joined = old.join(sums, "cluster", "left")  # k rows on either side
     centers = [
-        F.when(F.col("n") > 0, F.col(f"s{j}") / F.col("n")).otherwise(F.col("old")[j]).alias(f"c{j}") for j in range(d)
+        F.expr(f"CASE WHEN n > 0 THEN s{j} / n ELSE old[{j}] END").alias(f"c{j}") for j in range(d)
     ]
     return joined.select("cluster", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), *centers)
 
@@ -108,9 +106,9 @@ def fit(df: DataFrame, centroids: Centroids, features: Sequence[str], rounds: in
 def client_distribution(assigned: DataFrame, k: int, client: str = "client_id") -> DataFrame:
     """Rows and share of every cluster per client, dense over the k clusters."""
     counts = assigned.groupBy(client).agg(
-        F.count("*").alias("n"), *[F.sum((F.col("cluster") == c).cast("bigint")).alias(f"n_c{c}") for c in range(k)]
+        F.count("*").alias("n"), *[F.expr(f"count_if(cluster = {c})").alias(f"n_c{c}") for c in range(k)]
     )
-    return counts.withColumns({f"f_c{c}": F.round(F.col(f"n_c{c}") / F.col("n"), 4) for c in range(k)})
+    return counts.select("*", *[F.expr(f"round(n_c{c} / n, 4)").alias(f"f_c{c}") for c in range(k)])
 
 
 def cluster_counts(assigned: DataFrame, k: int) -> DataFrame:
@@ -124,19 +122,17 @@ def centroid_profiles(df: DataFrame, centroids: Centroids, fitted: Preprocessor)
     """Centroids in original units; ``df`` only gives the session."""
     names = fitted.feature_names
     schema = "cluster int, " + ", ".join(f"`{n}` double" for n in names)
-    table = df.sparkSession.createDataFrame([(i, *map(float, c)) for i, c in enumerate(centroids)], schema)
+    table = local_table(df.sparkSession, [(i, *map(float, c)) for i, c in enumerate(centroids)], schema)
     return inverse_transform(table, fitted, ["cluster"])
 
 
 def covariance(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(i, j, cov) for i <= j: the population covariance, from one aggregate pass."""
     pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
-    col = lambda i: F.col(f"`{features[i]}`")
-    wide = df.agg(*[F.covar_pop(col(i), col(j)).alias(f"v{i}_{j}") for i, j in pairs])
-    rows = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"v{i}_{j}").alias("cov")) for i, j in pairs
-    ])
-    return wide.select(F.inline(rows))
+    rows = ", ".join(
+        f"struct({i} AS i, {j} AS j, covar_pop({ident(features[i])}, {ident(features[j])}) AS cov)" for i, j in pairs
+    )
+    return df.agg(F.expr(f"array({rows})").alias("rows")).selectExpr("inline(rows)")
 
 
 def principal_axes(df: DataFrame, features: Sequence[str], k: int = 2) -> tuple[list[float], Centroids]:
@@ -155,7 +151,6 @@ def principal_axes(df: DataFrame, features: Sequence[str], k: int = 2) -> tuple[
 def project(df: DataFrame, means: Sequence[float], axes: Centroids, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Centred rows on the principal axes, as pc1, pc2, ..."""
     pcs = [
-        sum(((F.col(f"`{c}`") - F.lit(float(m))) * F.lit(float(a)) for c, m, a in zip(features, means, axis)), F.lit(0.0)).alias(f"pc{i + 1}")
-        for i, axis in enumerate(axes)
+        F.expr(weighted(features, axis, -sum(m * a for m, a in zip(means, axis)))).alias(f"pc{i + 1}") for i, axis in enumerate(axes)
     ]
     return df.select(*keep, *pcs)

@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from silolens.functions import net
 from silolens.functions.hashing import stream_seed
+from silolens.functions.text import ident, num
 from silolens.operators.hashcut import key_hash
 
 ScoreFn = Callable[[np.ndarray], np.ndarray]
@@ -110,15 +111,17 @@ def shapley_values(df: DataFrame, score: ScoreFn, background: np.ndarray, featur
 
 def long_attributions(df: DataFrame, features: Sequence[str], keep: list[str], col: str = "phi") -> DataFrame:
     """(keep..., feature, phi), one row per feature."""
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(col)[i].alias("phi")) for i, f in enumerate(features)])
-    return df.select(*keep, F.inline(pairs))
+    names = F.array(*[F.lit(f) for f in features])
+    long = df.select(*keep, F.posexplode(col).alias("_i", "phi"))
+    return long.select(*keep, F.get(names, F.col("_i")).alias("feature"), "phi")
 
 
 def mean_abs_importance(df: DataFrame, features: Sequence[str], col: str = "phi") -> DataFrame:
     """(feature, importance): one aggregate over the wide rows, then d rows."""
-    wide = df.agg(*[F.avg(F.abs(F.col(col)[i])).alias(f"a{i}") for i in range(len(features))])
-    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"a{i}").alias("importance")) for i, f in enumerate(features)])
-    return wide.select(F.inline(rows))
+    means = ", ".join(f"struct({i} AS _i, avg(abs({ident(col)}[{i}])) AS importance)" for i in range(len(features)))
+    names = F.array(*[F.lit(f) for f in features])
+    rows = df.agg(F.expr(f"array({means})").alias("rows")).selectExpr("inline(rows)")
+    return rows.select(F.get(names, F.col("_i")).alias("feature"), "importance")
 
 
 def ranked_features(phi: Column, features: Sequence[str]) -> Column:
@@ -134,20 +137,13 @@ def waterfall(df: DataFrame, features: Sequence[str], base_value: float, keep: l
 
     The running sum is taken over the row's own sorted array, so no shuffle.
     """
-    d = len(features)
     ordered = df.select(*keep, ranked_features(F.col(col), features).alias("_w"))
-    ends, running = [], F.lit(float(base_value))
-    for i in range(d):
-        running = running + F.col("_w")[i]["value"]
-        ends.append(running)
-    bars = F.array(*[
-        F.struct(
-            F.lit(i + 1).alias("pos"), F.col("_w")[i]["feature"].alias("feature"), F.col("_w")[i]["value"].alias("phi"),
-            (ends[i] - F.col("_w")[i]["value"]).alias("bar_start"), ends[i].alias("bar_end"),
-        )
-        for i in range(d)
-    ])
-    return ordered.select(*keep, F.inline(bars))
+    ends = [" + ".join([num(base_value), *[f"_w[{j}].value" for j in range(i + 1)]]) for i in range(len(features))]
+    bars = ", ".join(
+        f"struct({i + 1} AS pos, _w[{i}].feature AS feature, _w[{i}].value AS phi, {end} - _w[{i}].value AS bar_start, {end} AS bar_end)"
+        for i, end in enumerate(ends)
+    )
+    return ordered.select(*keep, F.expr(f"inline(array({bars}))"))
 
 
 def additivity_error(df: DataFrame, base_value: float, prediction: str, col: str = "phi") -> DataFrame:

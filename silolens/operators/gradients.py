@@ -17,42 +17,42 @@ from pyspark.sql import functions as F
 
 from silolens.functions import net
 from silolens.functions.hashing import gaussian, hash_hex
+from silolens.functions.text import ident, num, squares
 
 # Bytes of gradient vectors one task may hold before it emits them.
 HELD_BYTES = 64 << 20
 
 
-def residual(p: Column, y: Column, pos_weight: float = 0.0) -> Column:
+def residual(p: str, y: str, pos_weight: float = 0.0) -> Column:
     """d loss / d logit of the weighted log loss; a weight of 0 or 1 means unweighted."""
-    q = F.least(F.greatest(p, F.lit(net.PROB_FLOOR)), F.lit(1.0 - net.PROB_FLOOR))
+    q, label = net.clipped_probability(p), f"cast({ident(y)} as double)"
     if pos_weight in (0.0, 1.0):
-        return q - y
-    w = F.lit(float(pos_weight))
-    return q * (w * y + F.lit(1.0) - y) - w * y
+        return F.expr(f"{q} - {label}")
+    w = num(pos_weight)
+    return F.expr(f"{q} * ({w} * {label} + 1D - {label}) - {w} * {label}")
 
 
 def logistic_gradients(df: DataFrame, params: Sequence[float], features: Sequence[str], label: str = "target",
                        pos_weight: float = 0.0, prefix: str = "g") -> DataFrame:
     """Add g0..g{d-1} for the weights and g{d} for the bias."""
     scored = net.score(df, params, (len(features), 1), features, "_p")
-    scored = scored.withColumn("_e", residual(F.col("_p"), F.col(label).cast("double"), pos_weight))
-    grads = {f"{prefix}{i}": F.col("_e") * F.col(f"`{c}`") for i, c in enumerate(features)}
-    return scored.withColumns({**grads, f"{prefix}{len(features)}": F.col("_e")}).drop("_p", "_e")
+    scored = scored.withColumn("_e", residual("_p", label, pos_weight))
+    grads = [F.expr(f"_e * {ident(c)}").alias(f"{prefix}{i}") for i, c in enumerate(features)]
+    return scored.select("*", *grads, F.col("_e").alias(f"{prefix}{len(features)}")).drop("_p", "_e")
 
 
 def clip_factor(cols: Sequence[str], clip: float) -> Column:
     """min(1, C / |g|); a clip of 0 or less leaves gradients alone."""
     if clip <= 0:
         return F.lit(1.0)
-    norm = F.sqrt(sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0)))
-    return F.least(F.lit(1.0), F.lit(float(clip)) / F.greatest(norm, F.lit(1e-12)))
+    return F.expr(f"least(1D, {num(clip)} / greatest(sqrt({squares(cols)}), 1e-12D))")
 
 
 def clipped_sums(df: DataFrame, cols: Sequence[str], clip: float, by: list[str]) -> DataFrame:
     """Sum of clipped gradients and the row count per group; partial sums before the shuffle."""
     factored = df.withColumn("_f", clip_factor(cols, clip))
     return factored.groupBy(*by).agg(
-        *[F.sum(F.col(c) * F.col("_f")).alias(c) for c in cols], F.count("*").alias("n_examples")
+        *[F.expr(f"sum({ident(c)} * _f)").alias(c) for c in cols], F.count("*").alias("n_examples")
     )
 
 

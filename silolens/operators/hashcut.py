@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silolens.functions.hashing import hash_hex
-from silolens.session import SMALL_ROWS, bounded_rows, small
+from silolens.session import SMALL_ROWS, bounded_rows, local_table, small
 
 # A located bucket is ranked by a window once it holds at most this many rows.
 EDGE_ROWS = 1_000_000
@@ -94,15 +94,16 @@ def _thresholds(df: DataFrame, marks: list, strata: list[str], keys: list[str],
     """(strata..., cut, h) where h is the hash of the wanted row."""
     spark = df.sparkSession
     hashed = df.select(*strata, key_hash(keys, seed, salt).alias("h"))
-    todo = F.broadcast(spark.createDataFrame(marks, schema))
+    todo = F.broadcast(local_table(spark, marks, schema))
     group, digits = list(strata), DIGITS
     scope = hashed
     while True:
         counts = scope.groupBy(*group, F.substring("h", 1, digits).alias("bucket")).agg(F.count("*").alias("n"))
-        found = _locate(counts, todo, group).collect()
+        table = _locate(counts, todo, group)
+        found = table.collect()
         if not found:
             return []
-        located = spark.createDataFrame(found)
+        located = local_table(spark, found, table.schema)
         if max(r["n"] for r in found) <= EDGE_ROWS or digits >= MAX_DIGITS:
             break
         # Refine: only rows inside a located bucket are counted again.
@@ -123,14 +124,11 @@ def _thresholds(df: DataFrame, marks: list, strata: list[str], keys: list[str],
     return ranked.join(wanted, [*strata, "bucket", "need"]).select(*strata, "cut", "h").collect()
 
 
-def _passed(cuts: Column, h: Column, most: int) -> Column:
+def _passed(cuts: str, h: str, most: int) -> Column:
     """How many sorted thresholds lie below ``h``."""
     if most <= 16:
-        total = F.lit(0)
-        for i in range(most):
-            total = total + F.coalesce((F.get(cuts, F.lit(i)) < h).cast("int"), F.lit(0))
-        return total
-    return F.size(F.filter(cuts, lambda c: c < h))
+        return F.expr(" + ".join(f"coalesce(cast(get({cuts}, {i}) < {h} as int), 0)" for i in range(most)))
+    return F.expr(f"size(filter({cuts}, c -> c < {h}))")
 
 
 def cut_by_hash(
@@ -182,7 +180,7 @@ def cut_by_hash(
                 prefix = f"{b:0{DIGITS}x}"
                 table.append((*stratum, prefix, base, split.get(prefix, [])))
                 base += len(split.get(prefix, []))
-        lookup = spark.createDataFrame(table, f"{lead}_b string, _base int, _cuts array<string>")
+        lookup = local_table(spark, table, f"{lead}_b string, _base int, _cuts array<string>")
         hashed = hashed.withColumn("_b", F.substring("_h", 1, DIGITS))
         joined = hashed.join(F.broadcast(lookup), [*strata, "_b"], "left")
         inside = F.size(F.filter("_cuts", lambda c: c < F.col("_h")))
@@ -190,9 +188,9 @@ def cut_by_hash(
         return joined.withColumn(out, part.cast("int")).drop("_h", "_b", "_base", "_cuts")
     table = [(*stratum, sorted(hashes)) for stratum, hashes in by_stratum.items()]
     if strata:
-        lookup = spark.createDataFrame(table, f"{lead}_cuts array<string>")
+        lookup = local_table(spark, table, f"{lead}_cuts array<string>")
         joined = hashed.join(F.broadcast(lookup), strata, "left")
     else:
         joined = hashed.withColumn("_cuts", F.array(*[F.lit(h) for h in table[0][-1]]))
-    part = F.coalesce(_passed(F.col("_cuts"), F.col("_h"), most), F.lit(0))
+    part = F.coalesce(_passed("_cuts", "_h", most), F.lit(0))
     return joined.withColumn(out, part.cast("int")).drop("_h", "_cuts")

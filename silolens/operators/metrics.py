@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silolens.functions.net import row_log_loss
+from silolens.functions.text import ident
 
 METRICS = ("accuracy", "precision", "recall", "f1")
 CELLS = {"tn": (0, 0), "fp": (0, 1), "fn": (1, 0), "tp": (1, 1)}
@@ -15,23 +16,15 @@ def confusion(df: DataFrame, y: str = "y_true", pred: str = "y_pred", by: list[s
               extra: list[Column] | None = None) -> DataFrame:
     """All four cells per group, zeros kept; one map-side combined aggregate."""
     cells = [
-        F.coalesce(F.sum(((F.col(y) == t) & (F.col(pred) == p)).cast("bigint")), F.lit(0)).alias(name)
-        for name, (t, p) in CELLS.items()
+        F.expr(f"count_if({ident(y)} = {t} AND {ident(pred)} = {p})").alias(name) for name, (t, p) in CELLS.items()
     ]
     return df.groupBy(*(by or [])).agg(*cells, *(extra or []))
 
 
-def _ratio(num: Column, den: Column) -> Column:
-    return F.coalesce(num / F.nullif(den, F.lit(0)), F.lit(0.0))
-
-
 def metric_columns(prefix: str = "") -> dict[str, Column]:
     """Accuracy, precision, recall and F1 of class 1 from the cells; 0 where undefined."""
-    tn, fp, fn, tp = (F.col(c) for c in CELLS)
-    values = (
-        _ratio(tp + tn, tp + tn + fp + fn), _ratio(tp, tp + fp), _ratio(tp, tp + fn), _ratio(2 * tp, 2 * tp + fp + fn),
-    )
-    return {f"{prefix}{m}": v for m, v in zip(METRICS, values)}
+    ratios = (("tp + tn", "tp + tn + fp + fn"), ("tp", "tp + fp"), ("tp", "tp + fn"), ("2 * tp", "2 * tp + fp + fn"))
+    return {f"{prefix}{m}": F.expr(f"coalesce(({a}) / nullif({b}, 0), 0D)") for m, (a, b) in zip(METRICS, ratios)}
 
 
 def classification_metrics(df: DataFrame, y: str = "y_true", pred: str = "y_pred", by: list[str] | None = None,
@@ -43,7 +36,7 @@ def classification_metrics(df: DataFrame, y: str = "y_true", pred: str = "y_pred
 def evaluate(df: DataFrame, y: str = "y_true", pred: str = "y_pred", p: str = "p1",
              by: list[str] | None = None) -> DataFrame:
     """Loss, row count and the four metrics per group from one aggregate."""
-    loss = [F.avg(row_log_loss(F.col(p), F.col(y))).alias("loss"), F.count("*").alias("n_rows")]
+    loss = [F.avg(row_log_loss(p, y)).alias("loss"), F.count("*").alias("n_rows")]
     cells = confusion(df, y, pred, by, extra=loss)
     return cells.select(*(by or []), "n_rows", "loss", *[v.alias(n) for n, v in metric_columns().items()])
 
@@ -58,4 +51,5 @@ def weighted_average_metrics(df: DataFrame, weight: str, metrics: tuple[str, ...
 
 
 def metric_text(names: tuple[str, ...] = METRICS, decimals: int = 4) -> Column:
-    return F.format_string(", ".join(f"{n}=%.{decimals}f" for n in names), *[F.col(n) for n in names])
+    # Half-even first: the formatter alone would round exact halves up.
+    return F.format_string(", ".join(f"{n}=%.{decimals}f" for n in names), *[F.bround(n, decimals) for n in names])

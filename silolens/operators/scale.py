@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silolens.session import bounded_rows
+from silolens.functions.text import ident, num
+from silolens.session import bounded_rows, local_table
 
 MAX_CATEGORIES = 1000
 
@@ -33,7 +34,7 @@ class Preprocessor:
     def to_table(self, spark: SparkSession) -> DataFrame:
         rows = [(c, m, s, None) for c, (m, s) in self.numeric.items()]
         rows += [(c, None, None, vals) for c, vals in self.categories.items()]
-        return spark.createDataFrame(rows, "feature string, mean double, std double, categories array<string>")
+        return local_table(spark, rows, "feature string, mean double, std double, categories array<string>")
 
     @staticmethod
     def from_table(table: DataFrame, order: list[str]) -> Preprocessor:
@@ -45,14 +46,12 @@ class Preprocessor:
 
 def scaler_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     """(feature, mean, std): one aggregate pass; a constant column gets std 1."""
-    aggs = [a for i, c in enumerate(cols) for a in (F.avg(f"`{c}`").alias(f"m{i}"), F.stddev_pop(f"`{c}`").alias(f"s{i}"))]
-    wide = df.agg(*aggs)
-    rows = F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"m{i}").alias("mean"),
-                 F.when(F.col(f"s{i}") == 0, F.lit(1.0)).otherwise(F.col(f"s{i}")).alias("std"))
-        for i, c in enumerate(cols)
-    ])
-    return wide.select(F.inline(rows))
+    both = ", ".join(
+        f"struct({i} AS pos, avg({ident(c)}) AS mean, coalesce(nullif(stddev_pop({ident(c)}), 0D), 1D) AS std)" for i, c in enumerate(cols)
+    )
+    names = F.array(*[F.lit(c) for c in cols])
+    rows = df.agg(F.expr(f"array({both})").alias("stats")).selectExpr("inline(stats)")
+    return rows.select(F.get(names, F.col("pos")).alias("feature"), "mean", "std")
 
 
 def sorted_categories(df: DataFrame, col: str, limit: int = MAX_CATEGORIES) -> list[str]:
@@ -68,7 +67,7 @@ def fit(df: DataFrame, numeric: list[str], categorical: list[str]) -> Preprocess
 
 
 def scaled(col: str, mean: float, std: float) -> Column:
-    return (F.col(f"`{col}`") - F.lit(mean)) / F.lit(std)
+    return F.expr(f"({ident(col)} - {num(mean)}) / {num(std)}")
 
 
 def one_hot(col: str, categories: list[str]) -> dict[str, Column]:
@@ -88,16 +87,15 @@ def transform(df: DataFrame, fitted: Preprocessor, keep: list[str]) -> DataFrame
 
 def inverse_transform(df: DataFrame, fitted: Preprocessor, keep: list[str]) -> DataFrame:
     """Back to original units; one-hot blocks snap to the nearest valid pattern, the first on ties."""
-    numeric = [(F.col(f"`{c}`") * F.lit(s) + F.lit(m)).alias(c) for c, (m, s) in fitted.numeric.items()]
+    numeric = [F.expr(f"{ident(c)} * {num(s)} + {num(m)}").alias(c) for c, (m, s) in fitted.numeric.items()]
     snapped = []
     for col, vals in fitted.categories.items():
         names = [f"{col}_{v}" for v in vals[1:]]
         if not names:
             continue
-        missing = sum((F.col(f"`{n}`") for n in names), F.lit(0.0)).isNull()
         # |x - e_j|^2 = |x|^2 - 2 x_j + 1, so only x_j separates the patterns.
-        gaps = F.array(F.lit(0.0), *[F.lit(1.0) - F.lit(2.0) * F.col(f"`{n}`") for n in names])
-        best = F.array_position(gaps, F.array_min(gaps))
-        near = F.when(missing, F.lit(None)).otherwise(best)
-        snapped += [(near == i + 2).cast("double").alias(n) for i, n in enumerate(names)]
+        gaps = ", ".join(["0D"] + [f"1D - 2D * {ident(n)}" for n in names])
+        missing = " OR ".join(f"{ident(n)} IS NULL" for n in names)
+        best = f"CASE WHEN NOT ({missing}) THEN array_position(array({gaps}), array_min(array({gaps}))) END"
+        snapped += [F.expr(f"cast({best} = {i + 2} as double)").alias(n) for i, n in enumerate(names)]
     return df.select(*[F.col(f"`{c}`") for c in keep], *numeric, *snapped)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silolens.operators.hashcut import cut_by_hash, hash_rank
-from silolens.session import SMALL_ROWS, bounded_rows
+from silolens.session import SMALL_ROWS, bounded_rows, local_table
 
 
 def largest_remainder(counts: DataFrame, by: list[str], label: str, want: Column, n: str = "n", total: str = "total",
@@ -110,12 +110,12 @@ def partition_iid(df: DataFrame, n_clients: int, label: str, keys: list[str], se
     if filled < n_clients:
         _no_empty_clients([1] * filled + [0] * (n_clients - filled))
     if n_clients * len(counts) > SMALL_ROWS:
-        runs = df.sparkSession.createDataFrame(list(run.items()), f"`{label}` {df.schema[label].dataType.simpleString()}, _run bigint")
+        runs = local_table(df.sparkSession, list(run.items()), f"`{label}` {df.schema[label].dataType.simpleString()}, _run bigint")
         ranked = hash_rank(df, [label], keys, seed, "iid", out="_rank").join(F.broadcast(runs), label)
         return ranked.withColumn("client_id", F.floor((F.col("_rank") - 1) / F.col("_run")).cast("int")).drop("_rank", "_run")
     cuts = [(c, i, i * run[c] + run[c]) for c, n in counts.items() for i in range(n_clients - 1) if (i + 1) * run[c] < n]
     schema = f"`{label}` {df.schema[label].dataType.simpleString()}, cut bigint, need bigint"
-    return cut_by_hash(df, df.sparkSession.createDataFrame(cuts, schema), [label], keys, seed, "iid", out="client_id")
+    return cut_by_hash(df, local_table(df.sparkSession, cuts, schema), [label], keys, seed, "iid", out="client_id")
 
 
 def dirichlet_shares(classes: list, n_clients: int, alpha: float, seed: int) -> dict:
@@ -141,7 +141,7 @@ def partition_dirichlet(df: DataFrame, n_clients: int, alpha: float, label: str,
     _no_empty_clients([sum(col) for col in zip(*sizes.values())])
     schema = f"`{label}` {df.schema[label].dataType.simpleString()}, cut bigint, need bigint"
     cuts = [(c, i, int(upto)) for c, s in sizes.items() for i, upto in enumerate(np.cumsum(s)[:-1])]
-    return cut_by_hash(df, df.sparkSession.createDataFrame(cuts, schema), [label], keys, seed, "dirichlet", out="client_id")
+    return cut_by_hash(df, local_table(df.sparkSession, cuts, schema), [label], keys, seed, "dirichlet", out="client_id")
 
 
 def partition_rows(df: DataFrame, strategy: str, n_clients: int, label: str, keys: list[str], alpha: float = 0.5,

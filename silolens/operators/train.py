@@ -31,7 +31,7 @@ from silolens.operators import gradients
 from silolens.operators.aggregate import aggregate_round, sample_clients
 from silolens.operators.metrics import METRICS, evaluate
 from silolens.operators.privacy import apply_mask, client_masks, mask_pairs, secure_mean
-from silolens.session import scratch_path, small
+from silolens.session import local_table, scratch_path, small
 
 ADAM = (0.9, 0.999, 1e-8)  # fixed values: decay rates and epsilon
 
@@ -81,7 +81,7 @@ class FederatedRun:
         schema = "round int, n_clients bigint, fit_loss double, comm_bytes bigint, n_rows bigint, loss double, " + ", ".join(
             f"{m} double" for m in METRICS
         )
-        return spark.createDataFrame([tuple(r.get(c.split()[0]) for c in schema.split(", ")) for r in self.rounds], schema)
+        return local_table(spark, [tuple(r.get(c.split()[0]) for c in schema.split(", ")) for r in self.rounds], schema)
 
 
 def with_shards(df: DataFrame, keys: list[str], client: str, shard_rows: int, seed: int) -> DataFrame:
@@ -308,7 +308,7 @@ def _round(rows: DataFrame, run: FederatedRun, features: Sequence[str], label: s
 
 
 def save_params(spark: SparkSession, params: Sequence[float], path: str, round_no: int) -> None:
-    table = spark.createDataFrame([(i, float(v)) for i, v in enumerate(params)], "idx int, value double")
+    table = local_table(spark, [(i, float(v)) for i, v in enumerate(params)], "idx int, value double")
     table.coalesce(1).write.parquet(f"{path}/round={round_no}")
 
 

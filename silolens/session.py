@@ -6,8 +6,11 @@ import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Largest table that may be broadcast or brought to the driver (rows, counted before use).
 SMALL_ROWS = 100_000
@@ -44,6 +47,15 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def local_table(spark: SparkSession, rows: list, schema: StructType | str) -> DataFrame:
+    """A few driver-side rows as a local relation: its size is known to the planner and no job makes it."""
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(schema)
+    columns = list(zip(*rows)) if rows else [[] for _ in arrow]
+    return spark.createDataFrame(pa.table([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow), schema=schema)
+
+
 def bounded_rows(df: DataFrame, limit: int = SMALL_ROWS) -> list | None:
     """All rows if there are at most ``limit``, else None. Never a truncated list."""
     rows = df.limit(limit + 1).collect()
@@ -55,4 +67,4 @@ def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     rows = bounded_rows(df, limit)
     if rows is None:
         return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return F.broadcast(local_table(df.sparkSession, rows, df.schema))
