@@ -191,26 +191,26 @@ def client_evaluate(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(train.client_evaluate(fx.features(spark, sf), LOGIT, (6, 1), FEATURES, by=["client_id"]))
 
 
-def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows, _ = fx.prepared(spark, sf)
     return rows.where("split = 'train'"), rows.where("split = 'test'")
 
 
 @query("d13_baseline_ann")
 def baseline_ann(spark: SparkSession, sf: str) -> DataFrame:
-    tr, te = _sides(spark, sf)
+    tr, te = sides(spark, sf)
     return baselines.central_net(tr, te, FEATURES, KEYS, SMALL, epochs=20, sync_every=10).round_table(spark)
 
 
 @query("d14_baseline_rf")
 def baseline_rf(spark: SparkSession, sf: str) -> DataFrame:
-    tr, te = _sides(spark, sf)
+    tr, te = sides(spark, sf)
     return metrics.evaluate(baselines.forest(tr, te, FEATURES))
 
 
 @query("d15_baseline_svm")
 def baseline_svm(spark: SparkSession, sf: str) -> DataFrame:
-    tr, te = _sides(spark, sf)
+    tr, te = sides(spark, sf)
     return metrics.evaluate(baselines.rbf_svm(tr, te, FEATURES))
 
 
@@ -237,7 +237,7 @@ def fourier(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("d16_baseline_comparison")
 def baseline_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    tr, te = _sides(spark, sf)
+    tr, te = sides(spark, sf)
     return baselines.run_baselines(tr, te, FEATURES, KEYS, SMALL, epochs=20, trees=50, n_maps=50, max_depth=12)
 
 
@@ -253,7 +253,7 @@ def global_evaluate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("f10_federated_rounds")
 def federated_rounds(spark: SparkSession, sf: str) -> DataFrame:
-    tr, te = _sides(spark, sf)
+    tr, te = sides(spark, sf)
     cfg = train.replace(SMALL, dp_enabled=True, noise_multiplier=0.5)
     return train.train_federated(tr, te, FEATURES, KEYS, cfg).round_table(spark)
 
@@ -261,7 +261,7 @@ def federated_rounds(spark: SparkSession, sf: str) -> DataFrame:
 @query("f10c_masked_rounds")
 def masked_rounds(spark: SparkSession, sf: str) -> DataFrame:
     """Uniform means of masked updates; the same run unmasked differs only by the fixed-point step."""
-    tr, te = _sides(spark, sf)
+    tr, te = sides(spark, sf)
     return train.train_federated(tr, te, FEATURES, KEYS, train.replace(SMALL, secure_aggregation=True)).round_table(spark)
 
 
