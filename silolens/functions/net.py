@@ -23,6 +23,7 @@ from pyspark.sql.types import DoubleType
 
 from silolens.functions.hashing import gaussian_value
 from silolens.functions.text import ident, num, weighted
+from silolens.session import spread
 
 LOGIT_LIMIT = 30.0
 PROB_FLOOR = 1e-7
@@ -142,7 +143,7 @@ def _score_batches(df: DataFrame, params: Sequence[float], sizes: Sequence[int],
             x = np.column_stack([c.to_numpy(dtype=np.float64) for c in batch])
             yield pd.Series(probabilities(theta, layout, x))
 
-    return df.withColumn(out, p1(*[F.col(f"`{c}`") for c in features]))
+    return spread(df).withColumn(out, p1(*[F.col(f"`{c}`") for c in features]))
 
 
 def predict(df: DataFrame, p: str = "p1") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql.types import IntegerType
 from silolens.functions.hashing import uniform_value
 from silolens.functions.text import ident, squares, weighted
 from silolens.operators.scale import Preprocessor, inverse_transform
-from silolens.session import local_table
+from silolens.session import local_table, spread
 
 Centroids = list[list[float]]
 
@@ -29,20 +29,11 @@ def init_centroids(k: int, d: int, seed: int = 42) -> Centroids:
     return [[2.0 * uniform_value(seed, "centroid", c, j) - 1.0 for j in range(d)] for c in range(k)]
 
 
-def _nearest(distances: Sequence[str]) -> str:
-    """Index of the smallest distance, the lowest on ties."""
-    if len(distances) == 1:
-        return "0"
-    best = f"least({', '.join(distances)})"
-    cases = " ".join(f"WHEN {d} = {best} THEN {i}" for i, d in enumerate(distances))
-    return f"CASE {cases} END"
-
-
 def assign(df: DataFrame, centroids: Centroids, features: Sequence[str], out: str = "cluster") -> DataFrame:
     """Nearest centroid by squared distance, as column arithmetic."""
-    names = [f"_d{i}" for i in range(len(centroids))]
-    gaps = [F.expr(squares(features, center)).alias(n) for n, center in zip(names, centroids)]
-    return df.select("*", *gaps).withColumn(out, F.expr(_nearest(names))).drop(*names)
+    gaps = F.expr("array(" + ", ".join(squares(features, c) for c in centroids) + ")")
+    nearest = F.expr("cast(array_position(_d, array_min(_d)) - 1 as int)")  # the lowest index on ties
+    return df.withColumn("_d", gaps).withColumn(out, nearest).drop("_d")
 
 
 def assign_vectors(df: DataFrame, centroids: Centroids, vector: str, out: str = "cluster") -> DataFrame:
@@ -59,7 +50,7 @@ def assign_vectors(df: DataFrame, centroids: Centroids, vector: str, out: str =
             gaps = np.stack([((x - c) ** 2).sum(axis=1) for c in centers], axis=1)
             yield pd.Series(gaps.argmin(axis=1).astype(np.int32))
 
-    return df.withColumn(out, nearest(F.col(vector)))
+    return spread(df).withColumn(out, nearest(F.col(vector)))
 
 
 def client_partials(assigned: DataFrame, features: Sequence[str], client: str = "client_id") -> DataFrame:
@@ -69,17 +60,20 @@ def client_partials(assigned: DataFrame, features: Sequence[str], client: str =
 
 
 def pool(partials: DataFrame, centroids: Centroids) -> DataFrame:
-    """(cluster, n, c0..): pooled means; an empty cluster keeps its old centroid."""
+    """(cluster, n, c0..): pooled means; an empty cluster keeps its old centroid.
+
+    The old centroids join the partials as rows without weight, so pooling is one group-by.
+    """
     d = len(centroids[0])
     old = local_table(
         partials.sparkSession, [(i, [float(v) for v in c]) for i, c in enumerate(centroids)], "cluster int, old array<double>"
     )
-    sums = partials.groupBy("cluster").agg(F.sum("n").alias("n"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(d)])
-    joined = old.join(sums, "cluster", "left")  # k rows on either side
-    centers = [
-        F.expr(f"CASE WHEN n > 0 THEN s{j} / n ELSE old[{j}] END").alias(f"c{j}") for j in range(d)
-    ]
-    return joined.select("cluster", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), *centers)
+    none = F.lit(None).cast("array<double>")
+    sums = [f"s{j}" for j in range(d)]
+    shipped = partials.select("cluster", "n", *sums, none.alias("old"))
+    kept = old.select("cluster", F.lit(0).cast("bigint").alias("n"), *[F.lit(0.0).alias(s) for s in sums], "old")
+    centers = [F.expr(f"coalesce(sum(s{j}) / nullif(sum(n), 0), max(old)[{j}])").alias(f"c{j}") for j in range(d)]
+    return shipped.unionByName(kept).groupBy("cluster").agg(F.sum("n").alias("n"), *centers)
 
 
 def movement(old: Centroids, new: Centroids) -> float:
@@ -89,7 +83,7 @@ def movement(old: Centroids, new: Centroids) -> float:
 
 def fit(df: DataFrame, centroids: Centroids, features: Sequence[str], rounds: int, client: str = "client_id") -> tuple[Centroids, list[float]]:
     """A fixed number of rounds; k x d numbers come back per round, and the input is reused."""
-    wanted = df.select(client, *[F.col(f"`{c}`") for c in features]).persist()
+    wanted = spread(df.select(client, *[F.col(f"`{c}`") for c in features])).persist()
     moves = []
     try:
         for _ in range(rounds):

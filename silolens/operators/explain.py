@@ -20,6 +20,7 @@ from silolens.functions import net
 from silolens.functions.hashing import stream_seed
 from silolens.functions.text import ident, num
 from silolens.operators.hashcut import key_hash
+from silolens.session import spread
 
 ScoreFn = Callable[[np.ndarray], np.ndarray]
 BATCH_BYTES = 32 << 20
@@ -106,7 +107,7 @@ def shapley_values(df: DataFrame, score: ScoreFn, background: np.ndarray, featur
             ]
             yield pd.Series(list(np.concatenate(parts)) if parts else [], dtype=object)
 
-    return df.withColumn(out, attribute(*[F.col(f"`{c}`") for c in features]))
+    return spread(df).withColumn(out, attribute(*[F.col(f"`{c}`") for c in features]))
 
 
 def long_attributions(df: DataFrame, features: Sequence[str], keep: list[str], col: str = "phi") -> DataFrame:

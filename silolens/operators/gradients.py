@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from silolens.functions import net
 from silolens.functions.hashing import gaussian, hash_hex
 from silolens.functions.text import ident, num, squares
+from silolens.session import spread
 
 # Bytes of gradient vectors one task may hold before it emits them.
 HELD_BYTES = 64 << 20
@@ -119,7 +120,7 @@ def net_gradient_sums(df: DataFrame, params: Sequence[float], sizes: Sequence[in
             yield flush()
 
     kind = df.schema[client].dataType.simpleString()
-    partials = df.select(client, *[F.col(f"`{c}`") for c in names], label).mapInPandas(
+    partials = spread(df.select(client, *[F.col(f"`{c}`") for c in names], label)).mapInPandas(
         partial_sums, f"`{client}` {kind}, n_examples bigint, g array<double>"
     )
     long = partials.select(client, "n_examples", F.posexplode("g").alias("idx", "g"))

@@ -19,6 +19,7 @@ from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from silolens.functions.hashing import hash_hex
 from silolens.session import SMALL_ROWS, bounded_rows, local_table, small
@@ -60,6 +61,12 @@ def hash_rank(
     )
 
 
+def bucket_counts(df: DataFrame, strata: list[str], keys: list[str], seed: int, salt: str = "") -> DataFrame:
+    """(strata..., bucket, n): rows per leading hash digits, the first step of every cut."""
+    hashed = df.select(*strata, key_hash(keys, seed, salt).alias("h"))
+    return hashed.groupBy(*strata, F.substring("h", 1, DIGITS).alias("bucket")).agg(F.count("*").alias("n"))
+
+
 def _locate(counts: DataFrame, marks: DataFrame, group: list[str]) -> DataFrame:
     """Find the bucket that holds the ``need``-th row of each group.
 
@@ -90,15 +97,13 @@ def _locate(counts: DataFrame, marks: DataFrame, group: list[str]) -> DataFrame:
 
 
 def _thresholds(df: DataFrame, marks: list, strata: list[str], keys: list[str], seed: int, salt: str,
-                schema) -> list:
+                schema: StructType, counts: DataFrame) -> list:
     """(strata..., cut, h) where h is the hash of the wanted row."""
     spark = df.sparkSession
     hashed = df.select(*strata, key_hash(keys, seed, salt).alias("h"))
     todo = F.broadcast(local_table(spark, marks, schema))
     group, digits = list(strata), DIGITS
-    scope = hashed
     while True:
-        counts = scope.groupBy(*group, F.substring("h", 1, digits).alias("bucket")).agg(F.count("*").alias("n"))
         table = _locate(counts, todo, group)
         found = table.collect()
         if not found:
@@ -113,6 +118,7 @@ def _thresholds(df: DataFrame, marks: list, strata: list[str], keys: list[str],
             .join(F.broadcast(todo.select(*strata, "inside").distinct()), [*strata, "inside"])
         )
         group, digits = [*strata, "inside"], digits + DIGITS
+        counts = scope.groupBy(*group, F.substring("h", 1, digits).alias("bucket")).agg(F.count("*").alias("n"))
     edges = F.broadcast(located.select(*strata, "bucket").distinct())
     rank = F.row_number().over(Window.partitionBy(*strata, "bucket").orderBy("h")).cast("bigint")
     ranked = (
@@ -133,14 +139,15 @@ def _passed(cuts: str, h: str, most: int) -> Column:
 
 def cut_by_hash(
     df: DataFrame, cuts: DataFrame, strata: list[str], keys: list[str], seed: int, salt: str = "",
-    out: str = "part",
+    out: str = "part", counts: DataFrame | None = None,
 ) -> DataFrame:
     """Number the parts of each stratum: part = how many cuts lie before the row.
 
     ``cuts`` has (strata..., cut, need): the first ``need`` rows of the stratum,
     in hash order, are in parts up to ``cut``. Exact for any number of cuts: up
     to SMALL_ROWS of them the thresholds are broadcast, beyond that rows are
-    ranked and joined with their stratum's cuts.
+    ranked and joined with their stratum's cuts. ``counts`` are the table's
+    :func:`bucket_counts`, if the caller has them already.
     """
     cuts = cuts.select(*strata, F.col("cut").cast("bigint"), F.col("need").cast("bigint"))
     marks = bounded_rows(cuts)
@@ -154,7 +161,9 @@ def cut_by_hash(
     if not marks:
         return df.withColumn(out, F.lit(0))
     real = [m for m in marks if m["need"] > 0]
-    found = _thresholds(df, real, strata, keys, seed, salt, cuts.schema) if real else []
+    if counts is None:
+        counts = bucket_counts(df, strata, keys, seed, salt)
+    found = _thresholds(df, real, strata, keys, seed, salt, cuts.schema, counts) if real else []
     by_stratum: dict[tuple, list[str]] = defaultdict(list)
     for m in marks:  # a cut at rank 0 lies before every row; one past the end lies after all
         if m["need"] <= 0:

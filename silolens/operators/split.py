@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from silolens.operators.hashcut import cut_by_hash, hash_rank
+from silolens.operators.hashcut import bucket_counts, cut_by_hash, hash_rank
 from silolens.session import SMALL_ROWS, bounded_rows, local_table
 
 
@@ -36,10 +36,10 @@ def largest_remainder(counts: DataFrame, by: list[str], label: str, want: Column
     )
 
 
-def split_quotas(df: DataFrame, by: list[str], label: str, test_fraction: float | None = None,
+def split_quotas(buckets: DataFrame, by: list[str], label: str, test_fraction: float | None = None,
                  n_train: int | None = None, n_test: int | None = None) -> DataFrame:
-    """(by..., label, n, train, test): exact rows of each class on each side."""
-    counts = df.groupBy(*by, label).agg(F.count("*").alias("n"))
+    """(by..., label, n, train, test): exact rows of each class on each side, from rows per hash bucket."""
+    counts = buckets.groupBy(*by, label).agg(F.sum("n").alias("n"))
     counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
     if test_fraction is not None:
         counts = counts.withColumn("_test", F.ceil(F.col("total") * F.lit(float(test_fraction))).cast("bigint"))
@@ -53,16 +53,25 @@ def split_quotas(df: DataFrame, by: list[str], label: str, test_fraction: float
     )
 
 
-def _split(df: DataFrame, quotas: DataFrame, strata: list[str], keys: list[str], seed: int, salt: str) -> DataFrame:
-    cuts = quotas.select(
+def _split(df: DataFrame, by: list[str], label: str, keys: list[str], seed: int, salt: str, **sizes) -> DataFrame:
+    """Quotas and cuts both come from one count of rows per stratum and hash bucket."""
+    strata = [*by, label]
+    buckets = bucket_counts(df, strata, keys, seed, salt).persist()
+    try:
+        parts = cut_by_hash(df, _split_cuts(split_quotas(buckets, by, label, **sizes), strata), strata, keys, seed, salt, "_part", buckets)
+    finally:
+        buckets.unpersist()
+    named = F.when(F.col("_part") == 0, F.lit("train")).when(F.col("_part") == 1, F.lit("test"))
+    return parts.withColumn("split", named).drop("_part").where("split is not null")
+
+
+def _split_cuts(quotas: DataFrame, strata: list[str]) -> DataFrame:
+    return quotas.select(
         *strata, F.explode(F.array(
             F.struct(F.lit(0).alias("cut"), F.col("train").alias("need")),
             F.struct(F.lit(1).alias("cut"), (F.col("train") + F.col("test")).alias("need")),
         )).alias("c"), "n",
     ).select(*strata, "c.cut", "c.need", "n").where("cut = 0 or need < n").drop("n")
-    parts = cut_by_hash(df, cuts, strata, keys, seed, salt, out="_part")
-    named = F.when(F.col("_part") == 0, F.lit("train")).when(F.col("_part") == 1, F.lit("test"))
-    return parts.withColumn("split", named).drop("_part").where("split is not null")
 
 
 def stratified_split(df: DataFrame, label: str, keys: list[str], n_train: int | None = None,
@@ -78,15 +87,13 @@ def stratified_split(df: DataFrame, label: str, keys: list[str], n_train: int |
         have = df.count()
         if have < n_train + n_test:
             raise ValueError(f"the table has {have} rows; {n_train + n_test} are asked for")
-    quotas = split_quotas(df, [], label, test_fraction, n_train, n_test)
-    return _split(df, quotas, [label], keys, seed, "split")
+    return _split(df, [], label, keys, seed, "split", test_fraction=test_fraction, n_train=n_train, n_test=n_test)
 
 
 def client_split(df: DataFrame, label: str, keys: list[str], test_fraction: float, client: str = "client_id",
                  seed: int = 42) -> DataFrame:
     """A stratified train/test split inside every client; ceil(n x fraction) test rows."""
-    quotas = split_quotas(df, [client], label, test_fraction)
-    return _split(df, quotas, [client, label], keys, seed, "client_split")
+    return _split(df, [client], label, keys, seed, "client_split", test_fraction=test_fraction)
 
 
 def _class_counts(df: DataFrame, label: str) -> dict:

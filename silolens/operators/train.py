@@ -31,7 +31,7 @@ from silolens.operators import gradients
 from silolens.operators.aggregate import aggregate_round, sample_clients
 from silolens.operators.metrics import METRICS, evaluate
 from silolens.operators.privacy import apply_mask, client_masks, mask_pairs, secure_mean
-from silolens.session import local_table, scratch_path, small
+from silolens.session import local_table, scratch_path, small, spread
 
 ADAM = (0.9, 0.999, 1e-8)  # fixed values: decay rates and epsilon
 
@@ -249,11 +249,11 @@ def train_federated(train: DataFrame, test: DataFrame, features: Sequence[str],
     sizes = cfg.sizes(features)
     run = FederatedRun(cfg, sizes, net.init_params(sizes, cfg.seed))
     run.updates_path, run.checkpoint_path = scratch_path(spark, "updates"), scratch_path(spark, "checkpoints")
-    eval_rows = test.select(*[F.col(f"`{c}`") for c in features], label).persist()
+    eval_rows = spread(test.select(*[F.col(f"`{c}`") for c in features], label)).persist()
     if cfg.mode == "fedavg":
         rows = layout_shards(train, features, label, keys, client, cfg)
     else:
-        rows = train.select(client, *[F.col(f"`{c}`") for c in features], label).persist()
+        rows = spread(train.select(client, *[F.col(f"`{c}`") for c in features], label)).persist()
     members = train.select(F.col(client).alias("client_id")).distinct().persist() if cfg.client_fraction < 1.0 else None
     try:
         for r in range(cfg.rounds + 1):

@@ -56,6 +56,15 @@ def local_table(spark: SparkSession, rows: list, schema: StructType | str) -> Da
     return spark.createDataFrame(pa.table([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow), schema=schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a compute-bound step a task per core when the input has fewer files than cores.
+
+    Large tables have many files and are left as they lie.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def bounded_rows(df: DataFrame, limit: int = SMALL_ROWS) -> list | None:
     """All rows if there are at most ``limit``, else None. Never a truncated list."""
     rows = df.limit(limit + 1).collect()
