@@ -198,24 +198,28 @@ def secure_round(updates: DataFrame, cfg: TrainConfig) -> DataFrame:
 
 
 def gradient_round(train: DataFrame, params: Sequence[float], features: Sequence[str], label: str, client: str,
-                   cfg: TrainConfig, round_no: int) -> list[float]:
-    """fed_sgd: every client's clipped mean gradient, noised, averaged by rows, one step."""
+                   cfg: TrainConfig, round_no: int) -> tuple[list[float], int]:
+    """fed_sgd: every client's clipped mean gradient, noised, averaged by rows, one step. Also counts the clients."""
     sizes = cfg.sizes(features)
     clip = cfg.clipping_norm if cfg.dp_enabled else 0.0
     weight = F.col("n_examples") if cfg.weighted else F.lit(1)
     if len(sizes) == 2:
         rows = logistic_client_gradients(train, params, features, label, client, cfg, round_no)
-        mean = rows.agg(*[(F.sum(F.col(f"g{i}") * weight) / F.sum(weight)).alias(f"g{i}") for i in range(len(params))]).first()
-        g = [mean[f"g{i}"] for i in range(len(params))]
+        means = [(F.sum(F.col(f"g{i}") * weight) / F.sum(weight)).alias(f"g{i}") for i in range(len(params))]
+        mean = rows.agg(F.count("*").alias("n"), *means).first()
+        g, n_clients = [mean[f"g{i}"] for i in range(len(params))], mean["n"]
     else:
         long = gradients.net_gradient_sums(train, params, sizes, features, label, client, cfg.pos_weight, clip or None)
         if cfg.dp_enabled and cfg.clipping_norm * cfg.noise_multiplier > 0:
             std = gradients.noise_std(clip, cfg.noise_multiplier, F.col("n_examples"), cfg.noise_scale)
             draw = gradients.gaussian(hash_hex(cfg.seed, "noise", round_no, F.col(client), 0, F.col("idx")))
             long = long.withColumn("g", F.col("g") + std * draw)
-        mean = long.groupBy("idx").agg((F.sum(F.col("g") / F.col("n_examples") * weight) / F.sum(weight)).alias("value"))
-        g = _param_vector(mean, len(params))
-    return [float(t - cfg.learning_rate * d) for t, d in zip(params, g)]
+        mean = long.groupBy("idx").agg(
+            (F.sum(F.col("g") / F.col("n_examples") * weight) / F.sum(weight)).alias("value"), F.count("*").alias("n")
+        ).persist()
+        g, n_clients = _param_vector(mean, len(params)), mean.agg(F.max("n")).first()[0]
+        mean.unpersist()
+    return [float(t - cfg.learning_rate * d) for t, d in zip(params, g)], n_clients
 
 
 def logistic_client_gradients(train: DataFrame, params: Sequence[float], features: Sequence[str], label: str,
@@ -284,8 +288,7 @@ def _participants(rows: DataFrame, members: DataFrame | None, cfg: TrainConfig,
 def _round(rows: DataFrame, run: FederatedRun, features: Sequence[str], label: str, client: str, r: int) -> dict:
     cfg, spark = run.config, rows.sparkSession
     if cfg.mode == "fed_sgd":
-        run.params = gradient_round(rows, run.params, features, label, client, cfg, r)
-        n_clients = rows.select(client).distinct().count()
+        run.params, n_clients = gradient_round(rows, run.params, features, label, client, cfg, r)
         return {"n_clients": n_clients, "comm_bytes": n_clients * len(run.params) * cfg.bytes_per_value}
     path = f"{run.updates_path}/r{r}"
     local_updates(rows, run.params, features, label, client, cfg, r).withColumnRenamed(client, "client_id").write.parquet(path)

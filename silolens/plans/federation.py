@@ -14,6 +14,7 @@ from silolens.plans.modeling import SCORED
 from silolens.plans.registry import query
 from silolens.session import scratch_path
 from silolens.sources import track
+from silolens.streaming import rounds as rounds_stream
 
 WIDTH = fx.UPDATE_WIDTH
 IDX_VALUE = f"round, idx, {r('value')}"
@@ -358,3 +359,17 @@ def ablation_table(spark: SparkSession, sf: str) -> DataFrame:
     {r(f'sum(comm_bytes) / {MB_SQL}', 'total_mb')} FROM rounds""")
 def kpis(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(report.run_kpis(rounds(spark, sf)))
+
+
+@query("f6b_streamed_rounds", f"""WITH {fx.UPDATES} SELECT round, idx, {r('sum(value * n_examples) / sum(n_examples)', 'value')}, count(*) AS n_clients
+    FROM updl GROUP BY round, idx""")
+def streamed_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The same means from uploads read as a stream; an end-of-run mark without parameters closes the last round."""
+    path = scratch_path(spark, "uploads")
+    sent = F.timestamp_seconds(F.col("round") * 3600)
+    fx.updates(spark, sf).select("round", "client_id", "n_examples", "params", sent.alias("sent_at")).write.parquet(path)
+    spark.sql("SELECT 0 AS round, 0L AS client_id, 0L AS n_examples, cast(array() AS array<double>) AS params, "
+              "timestamp_seconds(1000 * 3600) AS sent_at").write.mode("append").parquet(path)
+    means = rounds_stream.round_means(rounds_stream.read_uploads(spark, path), "1 hour", "30 minutes")
+    done = rounds_stream.run_available(means, "streamed_rounds")
+    return rounded(spark.read.schema(means.schema).parquet(done))
