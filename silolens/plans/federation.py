@@ -364,11 +364,11 @@ def kpis(spark: SparkSession, sf: str) -> DataFrame:
 @query("f6b_streamed_rounds", f"""WITH {fx.UPDATES} SELECT round, idx, {r('sum(value * n_examples) / sum(n_examples)', 'value')}, count(*) AS n_clients
     FROM updl GROUP BY round, idx""")
 def streamed_rounds(spark: SparkSession, sf: str) -> DataFrame:
-    """The same means from uploads read as a stream; an end-of-run mark without parameters closes the last round."""
+    """The same means from uploads read as a stream; a much later mark closes the last round and stays open itself."""
     path = scratch_path(spark, "uploads")
     sent = F.timestamp_seconds(F.col("round") * 3600)
     fx.updates(spark, sf).select("round", "client_id", "n_examples", "params", sent.alias("sent_at")).write.parquet(path)
-    spark.sql("SELECT 0 AS round, 0L AS client_id, 0L AS n_examples, cast(array() AS array<double>) AS params, "
+    spark.sql("SELECT 0 AS round, 0L AS client_id, 0L AS n_examples, array(0D) AS params, "
               "timestamp_seconds(1000 * 3600) AS sent_at").write.mode("append").parquet(path)
     means = rounds_stream.round_means(rounds_stream.read_uploads(spark, path), "1 hour", "30 minutes")
     done = rounds_stream.run_available(means, "streamed_rounds")

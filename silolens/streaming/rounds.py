@@ -30,7 +30,7 @@ def round_means(uploads: DataFrame, round_length: str, timeout: str, weighted: b
     sums = long.groupBy(F.window("sent_at", round_length), "round", "idx").agg(
         F.sum(F.col("v") * F.col("w")).alias("s"), F.sum("w").alias("t"), F.count("*").alias("n_clients")
     )
-    return sums.select("round", "idx", (F.col("s") / F.col("t")).alias("value"), "n_clients")
+    return sums.select("round", "idx", (F.col("s") / F.nullif(F.col("t"), F.lit(0.0))).alias("value"), "n_clients")
 
 
 def run_available(stream: DataFrame, name: str) -> str:
