@@ -83,10 +83,10 @@ def assign_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.assign_vectors(vectors, centers, "embedding").select("vec_id", "cluster")
 
 
-@query("k3_client_partials", f"""WITH {BASE} SELECT client_id, cluster, count(*) AS n, {', '.join(r(f'sum({c})', f's{j}') for j, c in enumerate(COLS))}
+@query("k3_client_partials", f"""WITH {BASE} SELECT client_id, cluster, count(*) AS n, {', '.join(r(f'sum({c})', f's{j}', 3) for j, c in enumerate(COLS))}
     FROM as0 GROUP BY client_id, cluster""")
 def client_partials(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(cluster.client_partials(first_assignment(spark, sf), FEATURES))
+    return rounded(cluster.client_partials(first_assignment(spark, sf), FEATURES), 3)
 
 
 POOLED = f"{BASE}, {pool_sql('as0', 'ct0', 'ct1')}"

@@ -129,7 +129,7 @@ def clipped_view(source: str = "gr", name: str = "cl", clip: float = CLIP) -> st
 
 
 GRAD = f"{fx.FEAT}, {gradient_view(LITERALS)}, {clipped_view()}"
-SUM_COLS = f"client_id, n_examples, {', '.join(r(g) for g in GRADS)}"
+SUM_COLS = f"client_id, n_examples, {', '.join(r(g, g, 4) for g in GRADS)}"
 
 
 def clipped(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,7 +139,7 @@ def clipped(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("d7_clipped_gradient_sum", f"WITH {GRAD} SELECT {SUM_COLS} FROM cl")
 def clipped_sum(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(clipped(spark, sf))
+    return rounded(clipped(spark, sf), 4)
 
 
 NOISED = ", ".join(
@@ -150,7 +150,7 @@ NOISED = ", ".join(
 
 @query("d8_noised_gradient_sum", f"WITH {GRAD}, nz AS (SELECT client_id, n_examples, {NOISED} FROM cl) SELECT {SUM_COLS} FROM nz")
 def noised_sum(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(gradients.add_noise(clipped(spark, sf), GRADS, CLIP, SIGMA, fx.SEED, 1))
+    return rounded(gradients.add_noise(clipped(spark, sf), GRADS, CLIP, SIGMA, fx.SEED, 1), 4)
 
 
 @query("d9_client_mean_gradient", f"""WITH {GRAD}, nz AS (SELECT client_id, n_examples, {NOISED} FROM cl)
@@ -161,10 +161,10 @@ def client_mean_gradient(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("d9b_net_gradient_sums", f"""WITH {fx.FEAT}, {gradient_view(LITERALS)}, {clipped_view()}
-    {' UNION ALL '.join(f"SELECT client_id, {i} AS idx, {r(g, 'g')}, n_examples FROM cl" for i, g in enumerate(GRADS))}""")
+    {' UNION ALL '.join(f"SELECT client_id, {i} AS idx, {r(g, 'g', 4)}, n_examples FROM cl" for i, g in enumerate(GRADS))}""")
 def net_sums(spark: SparkSession, sf: str) -> DataFrame:
     """The batch gradient of any net, checked on the layout that SQL can follow."""
-    return rounded(gradients.net_gradient_sums(fx.features(spark, sf), LOGIT, (6, 1), FEATURES, clip=CLIP))
+    return rounded(gradients.net_gradient_sums(fx.features(spark, sf), LOGIT, (6, 1), FEATURES, clip=CLIP), 4)
 
 
 SMALL = train.TrainConfig(hidden=(16, 8), rounds=2, local_epochs=2, batch_size=64, shard_rows=8_000, seed=fx.SEED)
