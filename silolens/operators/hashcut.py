@@ -42,9 +42,13 @@ def assert_unique_key(df: DataFrame, keys: list[str]) -> None:
 
 def hash_rank(
     df: DataFrame, strata: list[str], keys: list[str], seed: int, salt: str = "", digits: int = 4,
-    out: str = "rank",
+    out: str = "rank", carry: DataFrame | None = None,
 ) -> DataFrame:
-    """Exact 1-based rank in hash order within each stratum."""
+    """Exact 1-based rank in hash order within each stratum.
+
+    ``carry`` holds columns per stratum to attach to its rows. They ride on the
+    bucket table, so rows never meet on the stratum alone, however large it is.
+    """
     hashed = df.withColumn("_h", key_hash(keys, seed, salt)).withColumn("_b", F.substring("_h", 1, digits))
     group = [*strata, "_b"]
     before = Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -53,6 +57,8 @@ def hash_rank(
         .withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0)))
         .drop("count")
     )
+    if carry is not None:
+        starts = starts.join(carry, strata, "left")
     inside = Window.partitionBy(*group).orderBy("_h", *keys)
     return (
         hashed.join(small(starts), group)
@@ -153,7 +159,7 @@ def cut_by_hash(
     marks = bounded_rows(cuts)
     if marks is None:
         per_stratum = cuts.groupBy(*strata).agg(F.array_sort(F.collect_list("need")).alias("_cuts"))
-        ranked = hash_rank(df, strata, keys, seed, salt, out="_rank").join(per_stratum, strata, "left")
+        ranked = hash_rank(df, strata, keys, seed, salt, out="_rank", carry=per_stratum)
         part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_rank"))), F.lit(0))
         return ranked.withColumn(out, part.cast("int")).drop("_rank", "_cuts")
 

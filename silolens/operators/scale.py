@@ -8,6 +8,7 @@ as literals, so transforming is a projection.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,8 +63,32 @@ def sorted_categories(df: DataFrame, col: str, limit: int = MAX_CATEGORIES) -> l
 
 
 def fit(df: DataFrame, numeric: list[str], categorical: list[str]) -> Preprocessor:
-    stats = {r["feature"]: (r["mean"], r["std"]) for r in scaler_stats(df, numeric).collect()}
-    return Preprocessor({c: stats[c] for c in numeric}, {c: sorted_categories(df, c) for c in categorical})
+    """One pass: moments per combination of categories, merged on the driver while they are few."""
+    moments = [F.expr(f"{f}({ident(c)})").alias(f"{f}{i}") for i, c in enumerate(numeric) for f in ("count", "avg", "var_pop")]
+    groups = df.groupBy(*[F.col(ident(c)).alias(f"t{i}") for i, c in enumerate(categorical)]).agg(*moments)
+    rows = bounded_rows(groups) if categorical else groups.collect()
+    if rows is None or not categorical:
+        stats = {r["feature"]: (r["mean"], r["std"]) for r in scaler_stats(df, numeric).collect()} if rows is None else _merged(rows, numeric)
+        return Preprocessor({c: stats[c] for c in numeric}, {c: sorted_categories(df, c) for c in categorical})
+    seen = {c: sorted({r[f"t{i}"] for r in rows} - {None}) for i, c in enumerate(categorical)}
+    for c, values in seen.items():
+        if len(values) > MAX_CATEGORIES:
+            raise ValueError(f"{c} has more than {MAX_CATEGORIES} distinct values; one-hot encoding would not be bounded")
+    return Preprocessor(_merged(rows, numeric), seen)
+
+
+def _merged(rows: list, numeric: list[str]) -> dict[str, tuple[float, float]]:
+    """Mean and population std of a whole from the moments of its groups."""
+    out = {}
+    for i, c in enumerate(numeric):
+        parts = [(r[f"count{i}"], r[f"avg{i}"], r[f"var_pop{i}"]) for r in rows if r[f"count{i}"]]
+        n = sum(k for k, _, _ in parts)
+        if not n:
+            raise ValueError(f"{c} has no values to fit")
+        mean = math.fsum(k * m for k, m, _ in parts) / n
+        variance = math.fsum(k * (v + (m - mean) ** 2) for k, m, v in parts) / n
+        out[c] = (mean, math.sqrt(variance) or 1.0)
+    return out
 
 
 def scaled(col: str, mean: float, std: float) -> Column:

@@ -62,7 +62,8 @@ def _split(df: DataFrame, by: list[str], label: str, keys: list[str], seed: int,
     finally:
         buckets.unpersist()
     named = F.when(F.col("_part") == 0, F.lit("train")).when(F.col("_part") == 1, F.lit("test"))
-    return parts.withColumn("split", named).drop("_part").where("split is not null")
+    named_rows = parts.withColumn("split", named).drop("_part")
+    return named_rows if sizes.get("test_fraction") is not None else named_rows.where("split is not null")
 
 
 def _split_cuts(quotas: DataFrame, strata: list[str]) -> DataFrame:
@@ -118,7 +119,7 @@ def partition_iid(df: DataFrame, n_clients: int, label: str, keys: list[str], se
         _no_empty_clients([1] * filled + [0] * (n_clients - filled))
     if n_clients * len(counts) > SMALL_ROWS:
         runs = local_table(df.sparkSession, list(run.items()), f"`{label}` {df.schema[label].dataType.simpleString()}, _run bigint")
-        ranked = hash_rank(df, [label], keys, seed, "iid", out="_rank").join(F.broadcast(runs), label)
+        ranked = hash_rank(df, [label], keys, seed, "iid", out="_rank", carry=runs)
         return ranked.withColumn("client_id", F.floor((F.col("_rank") - 1) / F.col("_run")).cast("int")).drop("_rank", "_run")
     cuts = [(c, i, i * run[c] + run[c]) for c, n in counts.items() for i in range(n_clients - 1) if (i + 1) * run[c] < n]
     schema = f"`{label}` {df.schema[label].dataType.simpleString()}, cut bigint, need bigint"
