@@ -229,7 +229,7 @@ def summary(spark: SparkSession, sf: str) -> DataFrame:
     return split.partition_summary(client_rows(spark, sf))
 
 
-@query("c11_hash_rank", f"""WITH {fx.READINGS} SELECT {K}, type, row_number() OVER (PARTITION BY type ORDER BY {fx.key_md5('rank')}, {K}) AS rank FROM readings""")
+@query("c1b_hash_rank", f"""WITH {fx.READINGS} SELECT {K}, type, row_number() OVER (PARTITION BY type ORDER BY {fx.key_md5('rank')}, {K}) AS rank FROM readings""")
 def ranked(spark: SparkSession, sf: str) -> DataFrame:
     """The exact hash rank that splits beyond the broadcast bound rest on."""
     rows = fx.readings(spark, sf).select(*KEYS, "type")

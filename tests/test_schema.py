@@ -70,3 +70,15 @@ def test_snapping_prefers_the_first_pattern_on_ties(spark):
     df = spark.createDataFrame([(1, 0.5, 0.2), (2, 0.9, 0.9), (3, 0.1, 0.8)], "id int, t_b double, t_c double")
     got = [tuple(r) for r in scale.inverse_transform(df, fitted, ["id"]).orderBy("id").collect()]
     assert got == [(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 0.0, 1.0)]
+
+
+def test_moments_merge_to_the_whole(spark):
+    rows = [(float(i * i % 17), None if i % 5 == 0 else float(i), "abc"[i % 3], "xy"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "p double, q double, s string, t string")
+    fitted = scale.fit(df, ["p", "q"], ["s", "t"])
+    want = {r["feature"]: (r["mean"], r["std"]) for r in scale.scaler_stats(df, ["p", "q"]).collect()}
+    assert fitted.categories == {"s": ["a", "b", "c"], "t": ["x", "y"]}
+    for c in ("p", "q"):
+        assert fitted.numeric[c] == pytest.approx(want[c])
+    with pytest.raises(ValueError, match="no values"):
+        scale.fit(df.where("false"), ["p"], ["s"])

@@ -122,3 +122,9 @@ def test_two_rows_and_one_class(spark):
     df = spark.createDataFrame([(1, 0), (2, 0)], "id bigint, target int")
     got = split.stratified_split(df, "target", ["id"], test_fraction=0.5)
     assert sorted(r["split"] for r in got.collect()) == ["test", "train"]
+
+
+def test_labelling_rows_needs_no_shuffle(spark):
+    got = split.stratified_split(table(spark), "target", ["id"], test_fraction=0.2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "hashpartitioning" not in plan and "rangepartitioning" not in plan
