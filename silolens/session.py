@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,23 @@ def _local_dir() -> str:
     return tempfile.mkdtemp(prefix="silolens-")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context.
+
+    Workers do not share the driver's import path. The archive is made on the
+    driver only; Spark copies it to every executor, also to ones that join later.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='silolens-code-')}/silolens", "zip", root.parent, root.name)
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+
+
+_shipped: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path for one run's table; never reused, so nothing is overwritten."""
     return f"{shared_dir(spark).rstrip('/')}/silolens/{uuid.uuid4().hex}/{name}"
