@@ -5,9 +5,10 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from silolens.llm import hyperplanes, simhash
+from silolens.llm import credentials, hyperplanes, lpf, packing, simhash
 from silolens.llm.common import table
 from silolens.session import ship_package
 
@@ -30,6 +31,26 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_packing")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def _joined(spans: str) -> str:
+    """Spans in order as ``kind:start:end``, joined by commas."""
+    kinds = ", ".join(f"'{k}'" for k in credentials.KINDS)
+    return f"array_join(transform({spans}, s -> concat_ws(':', element_at(array({kinds}), s.kind + 1), s.start, s.stop)), ',')"
+
+
+@query("op3_credentials")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    found = credentials.scan(table(spark, sf, "documents"))
+    counts = [f"cast(size(filter(base, s -> s.kind = {i})) AS long) AS n_{k}" for i, k in enumerate(credentials.KINDS[:3])]
+    return found.selectExpr(
+        "doc_id", *counts, f"sha2({_joined('base')}, 256) AS base_sha256", f"{_joined('array_sort(concat(base, live))')} AS spans",
+        "n_copied AS n_copied_examples", "n_live AS n_live_credentials", "n_unclear")
+
+
 @query("op4_simhash")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"))
@@ -39,3 +60,10 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_hyperplanes")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return hyperplanes.near_duplicates(table(spark, sf, "embeddings"))
+
+
+@query("op8_suffix_array")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    found = lpf.dedup(table(spark, sf, "documents").select("doc_id", "text"))
+    removed = "aggregate(spans, 0L, (t, s) -> t + s.stop - s.start)"
+    return found.selectExpr("doc_id", "n_bytes", f"{removed} AS n_removed", "cast(size(spans) AS long) AS n_spans", "sha2(kept, 256) AS kept_sha256")
