@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from silolens.llm import credentials, hyperplanes, lpf, packing, simhash
+from silolens.llm import credentials, decision_rules, hyperplanes, lpf, packing, simhash
 from silolens.llm.common import table
 from silolens.session import ship_package
 
@@ -67,3 +67,10 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     found = lpf.dedup(table(spark, sf, "documents").select("doc_id", "text"))
     removed = "aggregate(spans, 0L, (t, s) -> t + s.stop - s.start)"
     return found.selectExpr("doc_id", "n_bytes", f"{removed} AS n_removed", "cast(size(spans) AS long) AS n_spans", "sha2(kept, 256) AS kept_sha256")
+
+
+@query("op9_decision_rules")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rules = decision_rules.fit(docs, table(spark, sf, "labels"))
+    return decision_rules.judge(docs, rules).select("doc_id", *decision_rules.STATISTICS, "base_failed", "kept")
