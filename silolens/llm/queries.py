@@ -8,8 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from silolens.llm import credentials, decision_rules, hyperplanes, lpf, packing, simhash
-from silolens.llm.common import table
+from silolens.llm import credentials, decision_rules, fixity, hyperplanes, line_blocks, lpf, packing, pieces, simhash, url_lists
+from silolens.llm.common import stored, table
 from silolens.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,46 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+OP2_SQL = f"""
+WITH each AS (
+    SELECT page_id AS record_id, coalesce(cast(page_id AS varchar), chr(0)) || chr(10) || coalesce(url, chr(0)) || chr(10) || coalesce(html, chr(0)) AS body FROM pages),
+hashed AS (
+    SELECT record_id, sha256(body) AS digest, sha256(body || '#') AS damaged, strlen(body) AS size, count(*) AS copies FROM each GROUP BY ALL),
+files AS (SELECT greatest(1, cast(ceil(sum(size * copies) / {fixity.FILE_BYTES}.0) AS bigint)) AS n FROM hashed),
+placed AS (
+    SELECT *, cast('0x' || substr(digest, 1, 12) AS bigint) % n AS file FROM hashed, files),
+laid AS (
+    SELECT *, coalesce(sum(size * copies) OVER (PARTITION BY file ORDER BY digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start FROM placed),
+leaves AS (
+    SELECT 'a' AS side, file, start, size * copies AS size, digest FROM laid
+    UNION ALL
+    SELECT 'b', file, start, size * copies, CASE WHEN substr(digest, 63) = '0a' THEN damaged ELSE digest END FROM laid WHERE substr(digest, 62) <> 'fff'),
+n0 AS (
+    SELECT side, file, start // {fixity.RANGE_BYTES} AS node, sha256(string_agg(start || ':' || size || ':' || digest, ',' ORDER BY start, size, digest)) AS digest FROM leaves GROUP BY ALL),
+n1 AS (SELECT side, file, node // {fixity.FANOUT} AS node, sha256(string_agg(n0.node || ':' || digest, ',' ORDER BY n0.node)) AS digest FROM n0 GROUP BY side, file, n0.node // {fixity.FANOUT}),
+n2 AS (SELECT side, file, node // {fixity.FANOUT} AS node, sha256(string_agg(n1.node || ':' || digest, ',' ORDER BY n1.node)) AS digest FROM n1 GROUP BY side, file, n1.node // {fixity.FANOUT}),
+roots AS (SELECT side, file, sha256(string_agg(node || ':' || digest, ',' ORDER BY node)) AS digest FROM n2 GROUP BY ALL)
+SELECT l.record_id, l.file, l.start, l.size * l.copies AS size, l.digest AS expected,
+       CASE WHEN substr(l.digest, 62) <> 'fff' THEN l.damaged END AS found,
+       CASE WHEN substr(l.digest, 62) = 'fff' THEN 'missing' ELSE 'altered' END AS status, a.digest AS expected_root, b.digest AS found_root
+FROM laid l JOIN roots a ON a.file = l.file AND a.side = 'a' LEFT JOIN roots b ON b.file = l.file AND b.side = 'b'
+WHERE substr(l.digest, 62) = 'fff' OR substr(l.digest, 63) = '0a'
+"""
+
+
+@query("op2_fixity", OP2_SQL)
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as archived records against a replica with damaged and lost records, chosen by their digests."""
+    held = stored(fixity.laid_out(fixity.records(table(spark, sf, "pages"), "page_id", ["url", "html"])), "records")
+    primary = held.selectExpr("file", "start", "size * copies AS size", "digest")
+    replica = held.where("substring(digest, 62) <> 'fff'").selectExpr("file", "start", "size * copies AS size", "CASE WHEN substring(digest, 63) = '0a' THEN damaged ELSE digest END AS digest")
+    found = fixity.audit(primary, replica)
+    roots = [fixity.tree(side)[-1].selectExpr("file", f"digest AS {name}") for side, name in ((primary, "expected_root"), (replica, "found_root"))]
+    known = held.selectExpr("record_id", "digest AS expected")
+    return found.join(known, "expected").join(roots[0], "file").join(roots[1], "file", "left").select(
+        "record_id", "file", "start", "size", "expected", "found", "status", "expected_root", "found_root")
+
+
 def _joined(spans: str) -> str:
     """Spans in order as ``kind:start:end``, joined by commas."""
     kinds = ", ".join(f"'{k}'" for k in credentials.KINDS)
@@ -62,6 +102,18 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return hyperplanes.near_duplicates(table(spark, sf, "embeddings"))
 
 
+@query("op6_pieces")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    back = pieces.decode(pieces.encode(table(spark, sf, "documents"), model), model)
+    return back.selectExpr("doc_id", "cast(size(ids) AS long) AS n_ids", "ids_crc32", "decoded <=> coalesce(text, '') AS same_text", "sha2(decoded, 256) AS decoded_sha256")
+
+
+@query("op7_line_blocks")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return line_blocks.extract(table(spark, sf, "pages"))
+
+
 @query("op8_suffix_array")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     found = lpf.dedup(table(spark, sf, "documents").select("doc_id", "text"))
@@ -74,3 +126,44 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     rules = decision_rules.fit(docs, table(spark, sf, "labels"))
     return decision_rules.judge(docs, rules).select("doc_id", *decision_rules.STATISTICS, "base_failed", "kept")
+
+
+#: The list is made from the hosts of the pages: added, removed and added again on days that follow from their hashes.
+LISTED_HOSTS = "substring(md5(host), 1, 1) < '8'"
+OP10_SQL = """
+WITH seen AS (
+    SELECT page_id, url, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+           date '2024-01-01' + cast(page_id % 365 AS integer) AS fetched FROM pages),
+hosts AS (SELECT DISTINCT host, regexp_replace(host, '^(www|m|blog)[.]', '') AS pattern FROM seen WHERE host IS NOT NULL AND substr(md5(host), 1, 1) < '8'),
+days AS (
+    SELECT pattern, date '2023-12-01' + cast(cast('0x' || substr(md5(host), 2, 2) AS integer) AS integer) AS d1,
+           30 + cast('0x' || substr(md5(host), 4, 2) AS integer) AS gap, 20 + cast('0x' || substr(md5(host), 6, 2) AS integer) AS again FROM hosts),
+entries AS (
+    SELECT pattern, d1 AS day, true AS listed FROM days
+    UNION ALL SELECT pattern, d1 + cast(gap AS integer), false FROM days
+    UNION ALL SELECT pattern, d1 + cast(gap + again AS integer), true FROM days),
+states AS (SELECT pattern, day, bool_and(listed) AS listed FROM entries GROUP BY ALL),
+asof AS (
+    SELECT s.page_id, s.host, s.url, s.fetched, p.pattern, max(e.day) AS day FROM seen s
+    JOIN (SELECT DISTINCT pattern FROM states) p ON s.host = p.pattern OR ends_with(s.host, '.' || p.pattern)
+    JOIN states e ON e.pattern = p.pattern AND e.day <= s.fetched GROUP BY ALL),
+hit AS (SELECT a.page_id, a.url, a.pattern, a.day FROM asof a JOIN states e ON e.pattern = a.pattern AND e.day = a.day AND e.listed),
+since AS (
+    SELECT h.page_id, h.url, h.pattern, (SELECT min(e.day) FROM states e WHERE e.pattern = h.pattern AND e.day <= h.day AND e.listed
+        AND NOT EXISTS (SELECT 1 FROM states r WHERE r.pattern = h.pattern AND NOT r.listed AND r.day BETWEEN e.day AND h.day)) AS since FROM hit h),
+best AS (SELECT page_id, url, max(struct_pack(n := length(pattern), pattern := pattern, since := since)) AS b FROM since GROUP BY ALL)
+SELECT s.page_id, s.host, cast(s.fetched AS varchar) AS fetched, b.b IS NOT NULL AS blocked, b.b.pattern AS pattern, cast(b.b.since AS varchar) AS listed_since
+FROM seen s LEFT JOIN best b ON b.page_id = s.page_id AND b.url = s.url
+"""
+
+
+@query("op10_url_lists", OP10_SQL)
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").selectExpr("page_id", "url", "date_add(date '2024-01-01', cast(page_id % 365 AS int)) AS fetched")
+    hosts = pages.select(url_lists.host("url").alias("host")).where("host IS NOT NULL").distinct().where(LISTED_HOSTS)
+    number = "cast(conv(substring(md5(host), {}, 2), 16, 10) AS int)"
+    first = f"date_add(date '2023-12-01', {number.format(2)})"
+    days = hosts.selectExpr("regexp_replace(host, '^(www|m|blog)[.]', '') AS pattern", f"{first} AS d1", f"30 + {number.format(4)} AS gap", f"20 + {number.format(6)} AS again")
+    entries = days.selectExpr("pattern", "inline(array(struct(d1 AS day, 'add' AS action), struct(date_add(d1, gap) AS day, 'remove' AS action), struct(date_add(d1, gap + again) AS day, 'add' AS action)))")
+    found = url_lists.judge(pages, entries)
+    return found.selectExpr("page_id", "host", "cast(fetched AS string) AS fetched", "blocked", "pattern", "cast(listed_since AS string) AS listed_since")
