@@ -143,11 +143,11 @@ entries AS (
     UNION ALL SELECT pattern, d1 + cast(gap AS integer), false FROM days
     UNION ALL SELECT pattern, d1 + cast(gap + again AS integer), true FROM days),
 states AS (SELECT pattern, day, bool_and(listed) AS listed FROM entries GROUP BY ALL),
-asof AS (
+latest AS (
     SELECT s.page_id, s.host, s.url, s.fetched, p.pattern, max(e.day) AS day FROM seen s
     JOIN (SELECT DISTINCT pattern FROM states) p ON s.host = p.pattern OR ends_with(s.host, '.' || p.pattern)
     JOIN states e ON e.pattern = p.pattern AND e.day <= s.fetched GROUP BY ALL),
-hit AS (SELECT a.page_id, a.url, a.pattern, a.day FROM asof a JOIN states e ON e.pattern = a.pattern AND e.day = a.day AND e.listed),
+hit AS (SELECT a.page_id, a.url, a.pattern, a.day FROM latest a JOIN states e ON e.pattern = a.pattern AND e.day = a.day AND e.listed),
 since AS (
     SELECT h.page_id, h.url, h.pattern, (SELECT min(e.day) FROM states e WHERE e.pattern = h.pattern AND e.day <= h.day AND e.listed
         AND NOT EXISTS (SELECT 1 FROM states r WHERE r.pattern = h.pattern AND NOT r.listed AND r.day BETWEEN e.day AND h.day)) AS since FROM hit h),
