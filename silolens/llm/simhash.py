@@ -190,10 +190,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nodes = stored(nodes, "nodes")
     roots = stored(components(linked(nodes.select("fp"))), "roots").withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.mark")
+    first = rooted.groupBy("root").agg(F.min("first").alias("first")).selectExpr("first.doc_id AS _d", "first.mark AS _m")
     times = prints.groupBy("doc_id", "mark").count()
-    first = first.join(times, first["doc_id"].eqNullSafe(times["doc_id"]) & (first["mark"] == times["mark"]))
-    first = stored(first.select(first["doc_id"].alias("_d"), first["mark"].alias("_m"), (F.col("count") > 1).alias("_again")), "first")
+    first = first.join(times, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_m") == F.col("mark")))
+    first = stored(first.selectExpr("_d", "_m", "count > 1 AS _again"), "first")
 
     def met(which: DataFrame) -> DataFrame:
         return rows.join(which, rows[key].eqNullSafe(which["_d"]) & (rows[mark] == which["_m"]), "left_semi")
