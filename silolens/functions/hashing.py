@@ -17,9 +17,9 @@ TWO32 = 4294967296.0
 
 
 def hash_hex(*parts: int | str | Column) -> Column:
-    """32 hex digits for a row: plain values are literals, Columns are key parts."""
-    cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    return F.md5(F.concat_ws(":", *[c.cast("string") for c in cols]))
+    """32 hex digits for a row: plain values are literals, Columns are key parts. A null part keeps its place."""
+    cols = [F.coalesce(p.cast("string"), F.lit("\\N")) if isinstance(p, Column) else F.lit(str(p)) for p in parts]
+    return F.md5(F.concat_ws(":", *cols))
 
 
 def word(hex_col: Column, i: int = 0) -> Column:

@@ -114,9 +114,20 @@ def sigmoid(logit: str) -> Column:
     return F.expr(f"1D / (1D + exp(-least(greatest({logit}, {num(-LOGIT_LIMIT)}), {num(LOGIT_LIMIT)})))")
 
 
+def complete(*names: str) -> str:
+    """Whether no named column is null or NaN, as expression text."""
+    return "NOT (" + " OR ".join(f"{ident(c)} IS NULL OR isnan({ident(c)})" for c in names) + ")"
+
+
+def complete_rows(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows without a missing feature or label: the others are no examples."""
+    whole = ~(np.isnan(x).any(axis=1) | np.isnan(y))
+    return (x, y) if whole.all() else (x[whole], y[whole])
+
+
 def score(df: DataFrame, params: Sequence[float], sizes: Sequence[int], features: Sequence[str],
           out: str = "p1") -> DataFrame:
-    """Add P(class 1)."""
+    """Add P(class 1); null where a feature is null or NaN, whatever the net's width."""
     check_params(params, sizes)
     if len(features) != sizes[0]:
         raise ValueError(f"the net takes {sizes[0]} features, got {len(features)}")
@@ -129,7 +140,7 @@ def score(df: DataFrame, params: Sequence[float], sizes: Sequence[int], features
         df = df.select("*", *[F.expr(f"greatest({weighted(inputs, w[:, j], b[j])}, 0D)").alias(n) for j, n in enumerate(names)])
         inputs, made = names, made + names
     w, b = stack[-1]
-    return df.withColumn(out, sigmoid(weighted(inputs, w[:, 0], b[0]))).drop(*made)
+    return df.withColumn(out, F.when(F.expr(complete(*features)), sigmoid(weighted(inputs, w[:, 0], b[0])))).drop(*made)
 
 
 def _score_batches(df: DataFrame, params: Sequence[float], sizes: Sequence[int], features: Sequence[str],
@@ -155,7 +166,8 @@ def predict(df: DataFrame, p: str = "p1") -> DataFrame:
 
 
 def clipped_probability(p: str) -> str:
-    return f"least(greatest({ident(p)}, {num(PROB_FLOOR)}), {num(1.0 - PROB_FLOOR)})"
+    # least and greatest skip nulls, so a missing probability is kept apart
+    return f"(CASE WHEN {ident(p)} IS NOT NULL THEN least(greatest({ident(p)}, {num(PROB_FLOOR)}), {num(1.0 - PROB_FLOOR)}) END)"
 
 
 def row_log_loss(p: str, y: str) -> Column:

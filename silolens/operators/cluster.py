@@ -120,6 +120,29 @@ def centroid_profiles(df: DataFrame, centroids: Centroids, fitted: Preprocessor)
     return inverse_transform(table, fitted, ["cluster"])
 
 
+def report(df: DataFrame, centroids: Centroids, moves: Sequence[float], features: Sequence[str], client: str = "client_id") -> DataFrame:
+    """One clustering run as rows (section, item, cluster, value).
+
+    Sections: ``movement`` by round (cluster -1), ``centroid`` by feature position and
+    cluster, ``rows`` of each cluster, ``share`` of each cluster in a client's
+    rows (item is the client as text). The assigned rows are counted once, by
+    client and cluster; sections that the driver knows are a few literals.
+    """
+    spark, k = df.sparkSession, len(centroids)
+    known = [("movement", str(i + 1), -1, float(m)) for i, m in enumerate(moves)]
+    known += [("centroid", str(j), c, float(v)) for c, row in enumerate(centroids) for j, v in enumerate(row)]
+    schema = "section string, item string, cluster int, value double"
+    shares = client_distribution(assign(df, centroids, features), k, client)
+    parts = F.expr("inline(array(" + ", ".join(f"struct({c} AS cluster, n_c{c} AS rows, f_c{c} AS share)" for c in range(k)) + "))")
+    each = shares.select(F.col(client).cast("string").alias("item"), parts)
+    counts = each.groupBy("cluster").agg(F.sum("rows").cast("double").alias("value"))
+    return (
+        local_table(spark, known, schema)
+        .unionByName(counts.select(F.lit("rows").alias("section"), F.lit("all").alias("item"), "cluster", "value"))
+        .unionByName(each.select(F.lit("share").alias("section"), "item", "cluster", F.col("share").alias("value")))
+    )
+
+
 def covariance(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(i, j, cov) for i <= j: the population covariance, from one aggregate pass."""
     pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -91,9 +91,13 @@ def sampled_shapley(score: ScoreFn, x: np.ndarray, background: np.ndarray, permu
 
 
 def shapley_values(df: DataFrame, score: ScoreFn, background: np.ndarray, features: Sequence[str],
-                   out: str = "phi", permutations: int = 64, seed: int = 42) -> DataFrame:
-    """Add an array of attributions per row: exact up to 12 features, sampled above."""
+                   out: str = "phi", permutations: int = 64, seed: int = 42, method: str = "exact") -> DataFrame:
+    """Add an array of attributions per row by the caller's ``method``: "exact" (up to 12 features) or "sampled"."""
     d = len(features)
+    if method not in ("exact", "sampled"):
+        raise ValueError(f"method {method!r}: use 'exact' or 'sampled'")
+    if method == "exact" and d > EXACT_FEATURES:
+        raise ValueError(f"exact values of {d} features need 2^{d} coalitions a row; choose method='sampled' above {EXACT_FEATURES}")
     rows_per_slice = max(1, BATCH_BYTES // (8 * (len(background) * d * 4 + (1 << min(d, EXACT_FEATURES)))))
 
     @F.pandas_udf(ArrayType(DoubleType()))
@@ -101,7 +105,7 @@ def shapley_values(df: DataFrame, score: ScoreFn, background: np.ndarray, featur
         for batch in batches:
             x = np.column_stack([c.to_numpy(dtype=np.float64) for c in batch])
             parts = [
-                exact_shapley(score, x[i : i + rows_per_slice], background) if d <= EXACT_FEATURES
+                exact_shapley(score, x[i : i + rows_per_slice], background) if method == "exact"
                 else sampled_shapley(score, x[i : i + rows_per_slice], background, permutations, seed)
                 for i in range(0, len(x), rows_per_slice)
             ]
@@ -169,10 +173,12 @@ def weight_rows(df: DataFrame, keep: list[str], col: str = "weights") -> DataFra
 
 def global_weights(df: DataFrame, col: str = "weights") -> DataFrame:
     """(feature, importance): sum of |weight| over the number of explained rows; absent counts as 0."""
-    entries = df.select(F.explode(col).alias("_e"))
-    sums = entries.groupBy(F.col("_e.feature").alias("feature")).agg(F.sum(F.abs(F.col("_e.weight"))).alias("total"))
-    n = df.count()
-    return sums.select("feature", (F.col("total") / F.lit(float(n))).alias("importance"))
+    entries = df.select(F.posexplode_outer(col).alias("_i", "_e"))
+    first = F.count_if(F.coalesce(F.col("_i"), F.lit(0)) == 0).alias("rows")  # each explained row has one first entry, even if empty
+    sums = entries.groupBy(F.col("_e.feature").alias("feature")).agg(F.sum(F.abs(F.col("_e.weight"))).alias("total"), first)
+    # as many rows as there are features, so the total is a short window
+    n = F.sum("rows").over(Window.partitionBy(F.lit(0)))
+    return sums.select("feature", (F.col("total") / n).alias("importance")).where("feature IS NOT NULL")
 
 
 def prediction_table(df: DataFrame, params: Sequence[float], sizes: Sequence[int], features: Sequence[str],

@@ -50,10 +50,10 @@ def clip_factor(cols: Sequence[str], clip: float) -> Column:
 
 
 def clipped_sums(df: DataFrame, cols: Sequence[str], clip: float, by: list[str]) -> DataFrame:
-    """Sum of clipped gradients and the row count per group; partial sums before the shuffle."""
+    """Sum of clipped gradients and the count of rows that have one, per group; partial sums before the shuffle."""
     factored = df.withColumn("_f", clip_factor(cols, clip))
     return factored.groupBy(*by).agg(
-        *[F.expr(f"sum({ident(c)} * _f)").alias(c) for c in cols], F.count("*").alias("n_examples")
+        *[F.expr(f"sum({ident(c)} * _f)").alias(c) for c in cols], F.count(F.col(f"`{cols[-1]}`")).alias("n_examples")
     )
 
 
@@ -109,7 +109,7 @@ def net_gradient_sums(df: DataFrame, params: Sequence[float], sizes: Sequence[in
         step = max(1, HELD_BYTES // (8 * 3 * sum(layout)))
         for batch in batches:
             for cid, rows in batch.groupby(client, sort=False):
-                x, y = rows[names].to_numpy(dtype=np.float64), rows[label].to_numpy(dtype=np.float64)
+                x, y = net.complete_rows(rows[names].to_numpy(dtype=np.float64), rows[label].to_numpy(dtype=np.float64))
                 for i in range(0, len(x), step):
                     g = net.gradient_sum(theta, layout, x[i : i + step], y[i : i + step], pos_weight, clip)
                     n, acc = held.get(cid, (0, 0.0))

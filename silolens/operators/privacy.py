@@ -124,19 +124,29 @@ def quantise(value: Column) -> Column:
     return F.round(value * F.lit(SCALE)).cast("bigint")
 
 
-def apply_mask(updates: DataFrame, masks: DataFrame, how: str = "left") -> DataFrame:
+def apply_mask(updates: DataFrame, masks: DataFrame, how: str = "left", expected: DataFrame | None = None) -> DataFrame:
     """Fixed-point params plus the client's mask, modulo 2^48.
 
     A participant without a mask, or with one of another length, fails the query:
-    an unmasked update must never leave its client.
+    an unmasked update must never leave its client. ``expected`` (round, n) gives
+    the number of participants: a value that could make their sum leave the ring
+    then fails the query at its client. Without it, a value over the ring's half fails.
     """
     joined = updates.join(masks, ["round", "client_id"], how)
+    if expected is None:
+        joined = joined.withColumn("_room", F.lit(RING // 2))
+    else:
+        joined = joined.join(small(expected.select("round", F.floor(F.lit(RING // 2) / F.col("n")).alias("_room"))), "round")
+    too_large = F.raise_error(F.concat(
+        F.lit("an update of client "), F.col("client_id").cast("string"), F.lit(" is too large for the ring of masks"),
+    )).cast("bigint")
+    inside = lambda q: F.when(F.abs(q) < F.col("_room"), q).otherwise(too_large)
     wrong = F.raise_error(F.concat(
         F.lit("mask does not match the update of client "), F.col("client_id").cast("string"),
     )).cast("array<bigint>")
     fits = F.col("mask").isNotNull() & (F.size("mask") == F.size("params"))
-    masked = F.transform("params", lambda v, i: _ring(quantise(v) + F.get("mask", i)))
-    return joined.withColumn("masked", F.when(fits, masked).otherwise(wrong)).drop("mask", "params")
+    masked = F.transform("params", lambda v, i: _ring(inside(quantise(v)) + F.get("mask", i)))
+    return joined.withColumn("masked", F.when(fits, masked).otherwise(wrong)).drop("mask", "params", "_room")
 
 
 def secure_mean(masked: DataFrame, expected: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 A client is a grouping key. ``fedavg`` mode trains every (client, shard) group
 in its own task: a client larger than ``shard_rows`` is dealt by row hash into
 equal shards that train as sub-participants with their own row counts, so no
-group grows with the data. ``fed_sgd`` mode takes one clipped full-batch
+group grows with the data. Sharding is the caller's choice: without ``shard_rows``
+a client above ``GROUP_ROWS`` is refused, never trained in another way. ``fed_sgd`` mode takes one clipped full-batch
 gradient per client and round and has no per-client state at all.
 
 Training rows are laid out by (client, shard) once and reused by every round;
@@ -33,6 +34,8 @@ from silolens.operators.metrics import METRICS, evaluate
 from silolens.operators.privacy import apply_mask, client_masks, mask_pairs, secure_mean
 from silolens.session import local_table, scratch_path, small, spread
 
+# Rows of one client that a task may train on without sharding.
+GROUP_ROWS = 2_000_000
 ADAM = (0.9, 0.999, 1e-8)  # fixed values: decay rates and epsilon
 
 
@@ -55,7 +58,7 @@ class TrainConfig:
     secure_aggregation: bool = False
     mask_secret: str = "simulation-only"
     mask_reach: int = 2
-    shard_rows: int = 50_000
+    shard_rows: int | None = None
     bytes_per_value: int = 4
     mode: str = "fedavg"
     seed: int = 42
@@ -84,11 +87,19 @@ class FederatedRun:
         return local_table(spark, [tuple(r.get(c.split()[0]) for c in schema.split(", ")) for r in self.rounds], schema)
 
 
-def with_shards(df: DataFrame, keys: list[str], client: str, shard_rows: int, seed: int) -> DataFrame:
-    """Deal each client's rows by hash into ceil(n / shard_rows) shards; ``_order`` fixes the row order."""
+def with_shards(df: DataFrame, keys: list[str], client: str, shard_rows: int | None, seed: int) -> DataFrame:
+    """Deal each client's rows by hash into ceil(n / shard_rows) shards; ``_order`` fixes the row order.
+
+    Without ``shard_rows`` every client is one group, and one above ``GROUP_ROWS`` is an error.
+    """
+    digest = hash_hex(seed, "shard", *[F.col(k) for k in keys])
+    if shard_rows is None:
+        large = df.groupBy(client).count().where(F.col("count") > GROUP_ROWS).limit(1).collect()
+        if large:
+            raise ValueError(f"client {large[0][0]} has {large[0][1]} rows, over {GROUP_ROWS}: set shard_rows, or use mode='fed_sgd'")
+        return df.withColumns({"shard": F.lit(0), "_order": order_word(digest)})
     n_shards = F.ceil(F.count("*") / F.lit(shard_rows)).cast("bigint").alias("_shards")
     counts = df.groupBy(client).agg(n_shards)
-    digest = hash_hex(seed, "shard", *[F.col(k) for k in keys])
     return (
         df.withColumn("_h", digest)
         .join(small(counts), client)
@@ -155,7 +166,7 @@ def local_updates(shards: DataFrame, params: Sequence[float], features: Sequence
 
     def train_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_order", kind="stable")
-        x, y = rows[names].to_numpy(dtype=np.float64), rows[label].to_numpy(dtype=np.float64)
+        x, y = net.complete_rows(rows[names].to_numpy(dtype=np.float64), rows[label].to_numpy(dtype=np.float64))
         new, loss = adam_epochs(theta, sizes, x, y, cfg, (cfg.seed, round_no, *key))
         return pd.DataFrame({
             "round": [round_no], client: [key[0]], "shard": [key[1]], "n_examples": [len(x)], "loss": [loss], "params": [new],
@@ -188,23 +199,31 @@ def _param_vector(mean: DataFrame, width: int) -> list[float]:
     return [values[i] for i in range(width)]
 
 
-def secure_round(updates: DataFrame, cfg: TrainConfig) -> DataFrame:
-    """Mask every update, then take the uniform mean of the masked ones."""
-    width = updates.select(F.size("params")).first()[0]
-    pairs = mask_pairs(updates, cfg.mask_secret, cfg.mask_reach, cfg.seed)
-    masked = apply_mask(updates, client_masks(pairs, width))
-    expected = updates.groupBy("round").agg(F.count("*").alias("n"))
-    return secure_mean(masked, expected)
+def secure_round(updates: DataFrame, participants: DataFrame, width: int, cfg: TrainConfig) -> DataFrame:
+    """Mask every update, then take the uniform mean of the masked ones.
+
+    Masks are made for the ``participants`` (round, client_id) drawn before
+    training; an update that does not arrive fails the round.
+    """
+    expected = participants.groupBy("round").agg(F.count("*").alias("n"))
+    pairs = mask_pairs(participants, cfg.mask_secret, cfg.mask_reach, cfg.seed)
+    return secure_mean(apply_mask(updates, client_masks(pairs, width), expected=expected), expected)
 
 
 def gradient_round(train: DataFrame, params: Sequence[float], features: Sequence[str], label: str, client: str,
                    cfg: TrainConfig, round_no: int) -> tuple[list[float], int]:
-    """fed_sgd: every client's clipped mean gradient, noised, averaged by rows, one step. Also counts the clients."""
+    """fed_sgd: every client's clipped mean gradient, noised, averaged, one step. Also counts the clients.
+
+    The average is weighted by rows, uniform without ``weighted`` and under masks.
+    """
     sizes = cfg.sizes(features)
     clip = cfg.clipping_norm if cfg.dp_enabled else 0.0
     weight = F.col("n_examples") if cfg.weighted else F.lit(1)
     if len(sizes) == 2:
         rows = logistic_client_gradients(train, params, features, label, client, cfg, round_no)
+        if cfg.secure_aggregation:
+            vectors = rows.select(F.col(client).alias("client_id"), F.array(*[f"g{i}" for i in range(len(params))]).alias("params"))
+            return _masked_step(vectors, train, params, client, cfg, round_no)
         means = [(F.sum(F.col(f"g{i}") * weight) / F.sum(weight)).alias(f"g{i}") for i in range(len(params))]
         mean = rows.agg(F.count("*").alias("n"), *means).first()
         g, n_clients = [mean[f"g{i}"] for i in range(len(params))], mean["n"]
@@ -214,6 +233,10 @@ def gradient_round(train: DataFrame, params: Sequence[float], features: Sequence
             std = gradients.noise_std(clip, cfg.noise_multiplier, F.col("n_examples"), cfg.noise_scale)
             draw = gradients.gaussian(hash_hex(cfg.seed, "noise", round_no, F.col(client), 0, F.col("idx")))
             long = long.withColumn("g", F.col("g") + std * draw)
+        if cfg.secure_aggregation:
+            entries = F.array_sort(F.collect_list(F.struct("idx", (F.col("g") / F.col("n_examples")).alias("v"))))
+            vectors = long.groupBy(F.col(client).alias("client_id")).agg(F.transform(entries, lambda s: s["v"]).alias("params"))
+            return _masked_step(vectors, train, params, client, cfg, round_no)
         mean = long.groupBy("idx").agg(
             (F.sum(F.col("g") / F.col("n_examples") * weight) / F.sum(weight)).alias("value"), F.count("*").alias("n")
         ).persist()
@@ -222,6 +245,23 @@ def gradient_round(train: DataFrame, params: Sequence[float], features: Sequence
     return [float(t - cfg.learning_rate * d) for t, d in zip(params, g)], n_clients
 
 
+def _masked_step(vectors: DataFrame, train: DataFrame, params: Sequence[float], client: str, cfg: TrainConfig,
+                 round_no: int) -> tuple[list[float], int]:
+    """One step along the uniform mean of the clients' masked mean gradients."""
+    spark = train.sparkSession
+    path = scratch_path(spark, "gradients")  # read by the masking and by the count
+    vectors.select(F.lit(round_no).alias("round"), "client_id", "params").write.parquet(path)
+    members = _members(train, client, round_no)
+    mean = secure_round(spark.read.parquet(path), members, len(params), cfg)
+    g = _param_vector(mean, len(params))
+    return [float(t - cfg.learning_rate * d) for t, d in zip(params, g)], spark.read.parquet(path).count()
+
+
+def _members(rows: DataFrame, client: str, round_no: int) -> DataFrame:
+    """(round, client_id): the clients that a round was asked of."""
+    return rows.select(F.lit(round_no).alias("round"), F.col(client).alias("client_id")).distinct()
+
+
 def logistic_client_gradients(train: DataFrame, params: Sequence[float], features: Sequence[str], label: str,
                               client: str, cfg: TrainConfig, round_no: int) -> DataFrame:
     """(client, n_examples, g0..): the mean clipped, noised gradient of each client."""
@@ -298,7 +338,7 @@ def _round(rows: DataFrame, run: FederatedRun, features: Sequence[str], label: s
         F.sum(F.col("loss") * F.col("n_examples")).alias("l"), F.sum("n_examples").alias("n"),
     ).first()
     if cfg.secure_aggregation:
-        mean = secure_round(merge_shards(updates), cfg)
+        mean = secure_round(merge_shards(updates), _members(rows, client, r), len(run.params), cfg)
     elif cfg.weighted:
         mean = aggregate_round(updates)  # n-weighted over shards equals n-weighted over clients
     else:

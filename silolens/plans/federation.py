@@ -145,13 +145,20 @@ RING = f"""mem AS (SELECT round, client_id, row_number() OVER (PARTITION BY roun
   ps AS (SELECT *, CAST('0x' || substr(sha256('{SECRET}:' || client_a || ':' || client_b), 1, 8) AS BIGINT) AS pair_seed FROM pr)"""
 
 
-def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return privacy.mask_pairs(fx.updates(spark, sf), SECRET, REACH, fx.SEED)
+def stored_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """The updates as a table: pairs, masks and counts all read it."""
+    path = scratch_path(spark, "updates")
+    fx.updates(spark, sf).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def pairs(updates: DataFrame) -> DataFrame:
+    return privacy.mask_pairs(updates, SECRET, REACH, fx.SEED)
 
 
 @query("p5_pair_seeds", f"WITH {fx.UPDATES}, {RING} SELECT round, client_a, client_b, pair_seed FROM ps")
 def pair_seeds(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs(spark, sf)
+    return pairs(stored_updates(spark, sf))
 
 
 WORD = "CAST('0x' || substr(" + fx.md5("'mask'", "round", "pair_seed", "idx") + ", 1, 12) AS BIGINT)"
@@ -164,30 +171,36 @@ MASKS = f"""{RING}, wd AS (SELECT *, {WORD} AS w FROM ps CROSS JOIN (SELECT unne
 
 @query("p6_client_masks", f"WITH {fx.UPDATES}, {MASKS} SELECT round, client_id, idx, mask FROM mk")
 def client_masks(spark: SparkSession, sf: str) -> DataFrame:
-    masks = privacy.client_masks(pairs(spark, sf), WIDTH)
+    masks = privacy.client_masks(pairs(stored_updates(spark, sf)), WIDTH)
     return masks.select("round", "client_id", F.posexplode("mask").alias("idx", "mask"))
 
 
 FIXED = f"CAST(round(value * {fx.lit(privacy.SCALE)}) AS BIGINT)"
 
 
-def masked(spark: SparkSession, sf: str) -> DataFrame:
-    return privacy.apply_mask(fx.updates(spark, sf), privacy.client_masks(pairs(spark, sf), WIDTH))
+def masked(updates: DataFrame, expected: DataFrame) -> DataFrame:
+    return privacy.apply_mask(updates, privacy.client_masks(pairs(updates), WIDTH), expected=expected)
+
+
+def participants(updates: DataFrame) -> DataFrame:
+    return updates.groupBy("round").agg(F.count("*").alias("n"))
 
 
 @query("p7_masked_updates", f"""WITH {fx.UPDATES}, {MASKS} SELECT mk.round, mk.client_id, mk.idx,
     CAST(((CAST({FIXED} AS HUGEINT) + mask) % {RING_SIZE} + {RING_SIZE}) % {RING_SIZE} AS BIGINT) AS masked
     FROM mk JOIN updl ON mk.round = updl.round AND mk.client_id = updl.client_id AND mk.idx = updl.idx""")
 def masked_updates(spark: SparkSession, sf: str) -> DataFrame:
-    return masked(spark, sf).select("round", "client_id", F.posexplode("masked").alias("idx", "masked"))
+    updates = stored_updates(spark, sf)
+    return masked(updates, participants(updates)).select("round", "client_id", F.posexplode("masked").alias("idx", "masked"))
 
 
 # The check never sees a mask: masked updates must average to the plain fixed-point mean.
 @query("p8_secure_aggregate", f"""WITH {fx.UPDATES} SELECT round, idx,
     {r(f'CAST(sum({FIXED}) AS DOUBLE) / {fx.lit(privacy.SCALE)} / count(*)', 'value', 9)} FROM updl GROUP BY round, idx""")
 def secure_aggregate(spark: SparkSession, sf: str) -> DataFrame:
-    expected = fx.updates(spark, sf).groupBy("round").agg(F.count("*").alias("n"))
-    return rounded(privacy.secure_mean(masked(spark, sf), expected), 9)
+    updates = stored_updates(spark, sf)
+    expected = participants(updates)
+    return rounded(privacy.secure_mean(masked(updates, expected), expected), 9)
 
 
 # --- log and reports -------------------------------------------------------------------------
@@ -276,7 +289,7 @@ ABLATION = train.TrainConfig(hidden=(8,), rounds=1, local_epochs=1, shard_rows=2
 def ablation(spark: SparkSession, sf: str) -> DataFrame:
     tr, te = modeling.sides(spark, sf)
     out = report.run_ablation(tr, te, FEATURES, KEYS, ABLATION, epochs=2, cluster_rounds=2, lime_samples=200)
-    return out.withColumn("cluster_counts", F.to_json("cluster_counts"))
+    return out.withColumns({c: F.to_json(c) for c in ("cluster_counts", "shap_importance", "lime_importance")})
 
 
 SHOWN = ", ".join(r(m, m, 4) for m in metrics.METRICS)
@@ -364,12 +377,16 @@ def kpis(spark: SparkSession, sf: str) -> DataFrame:
 @query("f6b_streamed_rounds", f"""WITH {fx.UPDATES} SELECT round, idx, {r('sum(value * n_examples) / sum(n_examples)', 'value')}, count(*) AS n_clients
     FROM updl GROUP BY round, idx""")
 def streamed_rounds(spark: SparkSession, sf: str) -> DataFrame:
-    """The same means from uploads read as a stream; a much later mark closes the last round and stays open itself."""
+    """The same means from uploads read as a stream; a much later mark closes the last round and stays open itself.
+
+    Uploads of a round are spread over half an hour that crosses the full hour, and every client sends twice.
+    """
     path = scratch_path(spark, "uploads")
-    sent = F.timestamp_seconds(F.col("round") * 3600)
-    fx.updates(spark, sf).select("round", "client_id", "n_examples", "params", sent.alias("sent_at")).write.parquet(path)
+    sent = F.timestamp_seconds(F.col("round") * 7200 + 2700 + F.pmod(F.col("client_id") * 7, F.lit(1800)))
+    ups = fx.updates(spark, sf).select("round", "client_id", "n_examples", "params", sent.alias("sent_at"))
+    ups.withColumn("sent_at", F.explode(F.array("sent_at", F.expr("sent_at + interval 1 minute")))).write.parquet(path)
     spark.sql("SELECT 0 AS round, 0L AS client_id, 0L AS n_examples, array(0D) AS params, "
-              "timestamp_seconds(1000 * 3600) AS sent_at").write.mode("append").parquet(path)
-    means = rounds_stream.round_means(rounds_stream.read_uploads(spark, path), "1 hour", "30 minutes")
+              "timestamp_seconds(1000 * 7200) AS sent_at").write.mode("append").parquet(path)
+    means = rounds_stream.round_means(rounds_stream.read_uploads(spark, path), "40 minutes", "30 minutes")
     done = rounds_stream.run_available(means, "streamed_rounds")
     return rounded(spark.read.schema(means.schema).parquet(done))

@@ -173,6 +173,34 @@ def pca_projection(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.project(rows, means, axes, FEATURES, KEYS)
 
 
+# Axes are unit vectors without cross products, and projections have no covariance; the variances add up below the trace.
+@query("k10c_axes_quality", f"""WITH {fx.FEAT} SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(0 AS DOUBLE) AS mean1, CAST(0 AS DOUBLE) AS mean2,
+    CAST(0 AS DOUBLE) AS cross, TRUE AS ordered, TRUE AS below_trace,
+    {r(f"{' + '.join(f'var_pop({c})' for c in COLS)}", 'trace')} FROM feat""")
+def axes_quality(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.features(spark, sf)
+    means, axes = cluster.principal_axes(rows, FEATURES, D)
+    out = cluster.project(rows, means, axes, FEATURES, KEYS)
+    total = " + ".join(f"var_pop(pc{i + 1})" for i in range(D))
+    checked = out.selectExpr(
+        "count(*) AS n_rows", "avg(pc1) AS mean1", "avg(pc2) AS mean2", "covar_pop(pc1, pc2) AS cross", "var_pop(pc1) >= var_pop(pc2) AS ordered",
+        f"var_pop(pc1) + var_pop(pc2) < {total} AS below_trace", f"{total} AS trace")
+    return rounded(checked).withColumns({c: F.abs(F.col(c)) for c in ("mean1", "mean2", "cross")})
+
+
+@query("k11_clustering_report", f"""WITH {FINAL},
+    mv AS ({' UNION ALL '.join(f"SELECT {i + 1} AS round, avg({SHIFT}) AS movement FROM ct{i} a JOIN ct{i + 1} b ON a.cluster = b.cluster" for i in range(ROUNDS))}),
+    cl AS (SELECT client_id, count(*) AS n FROM asz GROUP BY client_id)
+    SELECT 'movement' AS section, CAST(round AS VARCHAR) AS item, CAST(-1 AS INTEGER) AS cluster, {r('movement', 'value')} FROM mv
+    UNION ALL {' UNION ALL '.join(f"SELECT 'centroid', '{j}', CAST(cluster AS INTEGER), {r(f'c{j}', 'value')} FROM {LAST}" for j in range(D))}
+    UNION ALL SELECT 'rows', 'all', CAST(ct.cluster AS INTEGER), CAST(count(asz.cluster) AS DOUBLE) FROM {LAST} ct LEFT JOIN asz ON ct.cluster = asz.cluster GROUP BY ct.cluster
+    UNION ALL SELECT 'share', CAST(cl.client_id AS VARCHAR), CAST(ct.cluster AS INTEGER), round(count(asz.cluster) / CAST(max(cl.n) AS DOUBLE), 4)
+      FROM cl CROSS JOIN {LAST} ct LEFT JOIN asz ON asz.client_id = cl.client_id AND asz.cluster = ct.cluster GROUP BY cl.client_id, ct.cluster""")
+def clustering_report(spark: SparkSession, sf: str) -> DataFrame:
+    rows, centers, moves = fitted(spark, sf)
+    return rounded(cluster.report(rows, centers, moves, FEATURES))
+
+
 @query("k10b_covariance", f"WITH {fx.FEAT} " + " UNION ALL ".join(
     f"SELECT {i} AS i, {j} AS j, {r(f'covar_pop({COLS[i]}, {COLS[j]})', 'cov')} FROM feat" for i in range(D) for j in range(i, D)))
 def covariance(spark: SparkSession, sf: str) -> DataFrame:

@@ -83,11 +83,30 @@ def mlp_score(spark: SparkSession, sf: str) -> DataFrame:
 WIDE_NET = (6, 64, 32, 1)
 
 
-@query("d3b_wide_net_score")
+def _literal_stack(sizes: tuple[int, ...]) -> tuple[list, list]:
+    stack = net.layers(np.asarray(net.init_params(sizes, fx.SEED)), sizes)
+    return [[[fx.lit(v) for v in row] for row in w] for w, _ in stack], [[fx.lit(v) for v in b] for _, b in stack]
+
+
+@query("d3b_wide_net_score", f"WITH {fx.FEAT} SELECT {K}, {r('p1')} FROM {net_sql('feat', *_literal_stack(WIDE_NET), COLS)}")
 def wide_score(spark: SparkSession, sf: str) -> DataFrame:
     """Past the unrolling limit: Arrow batches."""
     out = net.score(fx.features(spark, sf), net.init_params(WIDE_NET, fx.SEED), WIDE_NET, FEATURES)
-    return out.select(*KEYS, "p1")
+    return rounded(out.select(*KEYS, "p1"))
+
+
+# A row with a null or NaN feature has no probability, class or confidence, and is no example of a gradient.
+@query("d3c_missing_features", f"""WITH {SCORED} SELECT {K}, CASE WHEN k1 % 7 > 1 THEN {r('p1').rsplit(' AS ', 1)[0]} END AS p1,
+    CASE WHEN k1 % 7 > 1 THEN y_pred END AS y_pred, k1 % 7 < 2 AS no_logistic, k1 % 7 < 2 AS no_narrow, k1 % 7 < 2 AS no_wide, k1 % 7 < 2 AS no_gradient FROM pr""")
+def missing_features(spark: SparkSession, sf: str) -> DataFrame:
+    gap = F.expr(f"CASE WHEN k1 % 7 = 0 THEN NULL WHEN k1 % 7 = 1 THEN double('NaN') ELSE `{FEATURES[0]}` END")
+    rows = fx.features(spark, sf).withColumn(FEATURES[0], gap)
+    out = net.predict(net.score(rows, LOGIT, (6, 1), FEATURES))
+    out = net.score(out, NET_PARAMS, NET, FEATURES, "narrow")
+    out = net.score(out, net.init_params(WIDE_NET, fx.SEED), WIDE_NET, FEATURES, "wide")
+    out = gradients.logistic_gradients(out, LOGIT, FEATURES)
+    none = {"no_logistic": "p1", "no_narrow": "narrow", "no_wide": "wide", "no_gradient": "g0"}
+    return rounded(out.select(*KEYS, "p1", "y_pred", *[F.isnull(c).alias(n) for n, c in none.items()]))
 
 
 @query("d4_predict", f"WITH {SCORED} SELECT {K}, y_pred, {r('confidence')} FROM pr")
@@ -186,6 +205,43 @@ def adam_step(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(means.select("client_id", *steps))
 
 
+LOCAL = train.TrainConfig(hidden=(), local_epochs=2, batch_size=1 << 30, learning_rate=LR, seed=fx.SEED)
+
+
+def _adam_sql(n: int, theta: list[str], moments: str) -> str:
+    """Step ``n`` of every client from its mean gradient ``a0..``: moments, then parameters ``t0..``."""
+    b1, b2, eps = (fx.lit(v) for v in train.ADAM)
+    old = [(f"{fx.lit(0)}", f"{fx.lit(0)}")] * P if n == 1 else [(f"m{i}", f"v{i}") for i in range(P)]
+    moved = ", ".join(f"{b1} * {m} + (1 - {b1}) * a{i} AS nm{i}, {b2} * {v} + (1 - {b2}) * a{i} * a{i} AS nv{i}" for i, (m, v) in enumerate(old))
+    step = ", ".join(
+        f"{theta[i]} - {fx.lit(LR)} * (nm{i} / (1 - {b1} ** {n})) / (sqrt(nv{i} / (1 - {b2} ** {n})) + {eps}) AS t{i}, nm{i} AS m{i}, nv{i} AS v{i}" for i in range(P))
+    return f"(SELECT client_id, n_examples, {step} FROM (SELECT *, {moved} FROM {moments}))"
+
+
+def _local_sql() -> str:
+    """Two full-batch steps of every client, unrolled."""
+    def mean(n: int) -> str:
+        keep = "" if n == 1 else ", " + ", ".join(f"any_value({c}{i}) AS {c}{i}" for c in "tmv" for i in range(P))
+        return f"mg{n} AS (SELECT client_id, count(*) AS n_examples, {', '.join(f'avg(g{i}) AS a{i}' for i in range(P))}{keep} FROM gr{n} GROUP BY client_id)"
+
+    second = "(SELECT feat.*, " + ", ".join(f"s1.{c}{i}" for c in "tmv" for i in range(P)) + " FROM feat JOIN s1 ON feat.client_id = s1.client_id)"
+    names = [f"t{i}" for i in range(P)]
+    return f"""{fx.FEAT}, {gradient_view(START_SQL, name='gr1')}, {mean(1)}, s1 AS {_adam_sql(1, START_SQL, 'mg1')},
+      {gradient_view(names, second, 'gr2')}, {mean(2)}, s2 AS {_adam_sql(2, names, 'mg2')}"""
+
+
+START_SQL = [fx.lit(v) for v in net.init_params((6, 1), fx.SEED)]
+
+
+@query("d10c_two_local_steps", f"""WITH {_local_sql()} {' UNION ALL '.join(f"SELECT client_id, n_examples, {i} AS idx, {r(f't{i}', 'value')} FROM s2" for i in range(P))}""")
+def two_local_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """The training that rounds call, on the layout that SQL can follow: two Adam steps over all rows of a client."""
+    shards = train.layout_shards(fx.features(spark, sf), FEATURES, "target", KEYS, "client_id", LOCAL)
+    start = net.init_params((6, 1), fx.SEED)
+    out = train.local_updates(shards, start, FEATURES, "target", "client_id", LOCAL, 1)
+    return rounded(out.select("client_id", "n_examples", F.posexplode("params").alias("idx", "value")))
+
+
 @query("d12_client_evaluate", f"WITH {SCORED} SELECT client_id, {EVAL} FROM pr GROUP BY client_id")
 def client_evaluate(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(train.client_evaluate(fx.features(spark, sf), LOGIT, (6, 1), FEATURES, by=["client_id"]))
@@ -296,6 +352,29 @@ def two_rounds(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(spark.read.schema("idx int, value double, round int").parquet(run.checkpoint_path))
 
 
+SECURE_SGD = train.replace(SGD, secure_aggregation=True)
+
+
+def masked_sql(n: int, params: list[str]) -> str:
+    """One round whose client means are rounded to the fixed-point step and averaged without weights."""
+    source = "feat" if n == 1 else f"(SELECT feat.*, {', '.join(f't{i}' for i in range(P))} FROM feat CROSS JOIN th{n - 1})"
+    scale = fx.lit(1 << 20)
+    old = params if n == 1 else [f"max(t{i})" for i in range(P)]
+    step = ", ".join(f"{old[i]} - {fx.lit(ROUND_LR)} * (sum(round(g{i} / n_examples * {scale})) / {scale} / count(*)) AS t{i}" for i in range(P))
+    clip_rows = f"cl{n}" if n == 1 else f"(SELECT * FROM cl{n} CROSS JOIN th{n - 1})"
+    names = [f"t{i}" for i in range(P)] if n > 1 else params
+    return f"{gradient_view(names, source, f'gr{n}')}, {clipped_view(f'gr{n}', f'cl{n}')}, th{n} AS (SELECT {step} FROM {clip_rows})"
+
+
+# The check never sees a mask: masked rounds must follow the plain fixed-point means.
+@query("f10d_masked_gradient_rounds", f"""WITH {fx.FEAT}, {masked_sql(1, START)}, {masked_sql(2, START)}
+    {' UNION ALL '.join(f"SELECT {n} AS round, {i} AS idx, {r(f't{i}', 'value')} FROM th{n}" for n in (1, 2) for i in range(P))}""")
+def masked_gradient_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.features(spark, sf)
+    run = train.train_federated(rows, rows, FEATURES, KEYS, SECURE_SGD)
+    return rounded(spark.read.schema("idx int, value double, round int").parquet(run.checkpoint_path).where("round > 0"))
+
+
 @query("a6_checkpoints", f"""WITH {fx.UPDATES}, m AS (SELECT round, idx, sum(value * n_examples) / sum(n_examples) AS value FROM updl GROUP BY round, idx)
     SELECT round, idx, {r('value')}, CAST(round = (SELECT max(round) FROM m) AS INTEGER) AS is_final FROM m""")
 def checkpoints(spark: SparkSession, sf: str) -> DataFrame:

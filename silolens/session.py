@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType
 
 # Largest table that may be broadcast or brought to the driver (rows, counted before use).
 SMALL_ROWS = 100_000
+# What a scan partition holds at most by default.
+SCAN_BYTES = 128 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,11 +78,15 @@ def local_table(spark: SparkSession, rows: list, schema: StructType | str) -> Da
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a compute-bound step a task per core when the input has fewer files than cores.
+    """Give a compute-bound step a task per core when a small input has fewer files than cores.
 
-    Large tables have many files and are left as they lie.
+    A table that fills a scan partition for every core is left as it lies, in
+    however few files: its scan is spread already, and its files are not listed.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if int(str(plan.stats().sizeInBytes())) >= cores * SCAN_BYTES:
+        return df
     return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 

@@ -1,9 +1,12 @@
 """Rounds whose updates arrive as a stream.
 
-Clients upload whenever they finish; a round stays open for its length plus a
-timeout and its mean is published once. The watermark is the timeout: updates
-later than that are left out, as a server that gave up waiting would. State is
-one partial sum per open round and position, whatever the number of clients.
+Clients upload whenever they finish; a round opens with its first upload and
+stays open while the next one comes within the round's length, so no hour or
+day boundary can cut it. Its mean is published once, when a timeout has passed.
+The watermark is the timeout: updates later than that are left out, as a server
+that gave up waiting would. A client counts once a round, with the first upload
+that arrived. State is one partial sum per open round and position, and the ids
+of the clients that a round has counted.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ def read_uploads(spark: SparkSession, path: str, files_per_batch: int | None = N
 def round_means(uploads: DataFrame, round_length: str, timeout: str, weighted: bool = True) -> DataFrame:
     """(round, idx, value, n_clients) of every round, published when its timeout has passed."""
     weight = F.col("n_examples").cast("double") if weighted else F.lit(1.0)
-    long = uploads.withWatermark("sent_at", timeout).select(
+    once = uploads.withWatermark("sent_at", timeout).dropDuplicatesWithinWatermark(["round", "client_id"])
+    long = once.select(
         "round", "sent_at", weight.alias("w"), F.posexplode("params").alias("idx", "v")
     )
-    sums = long.groupBy(F.window("sent_at", round_length), "round", "idx").agg(
+    sums = long.groupBy(F.session_window("sent_at", round_length), "round", "idx").agg(
         F.sum(F.col("v") * F.col("w")).alias("s"), F.sum("w").alias("t"), F.count("*").alias("n_clients")
     )
     return sums.select("round", "idx", (F.col("s") / F.nullif(F.col("t"), F.lit(0.0))).alias("value"), "n_clients")
