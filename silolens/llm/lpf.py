@@ -37,9 +37,11 @@ GRAMS = WINDOW - GRAM + 1
 SEGMENT = 1 << 20
 #: Anchors are counted in one of so many documents to find those to spread; this only balances the load.
 SAMPLED = 32
-HOT_FOUND = 200
+HOT_FOUND = 64
 HOT_MOST = 50_000
 HOT_PARTS = 256
+#: Windows sorted at a time, whole anchors apart.
+FACTOR_WINDOWS = 100_000
 
 _U = np.uint64
 _BASE, _BACK = _U(0x9E3779B97F4A7C15), _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -150,8 +152,11 @@ def _cover_rows(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, d: np.ndar
 
 
 def _batch_order(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents of a batch in order; of rows that are one document, one."""
     d, tie = batch.column("d").to_numpy(), batch.column("tie").to_numpy()
-    return d, tie, np.lexsort((tie, d))
+    order = np.lexsort((tie, d))
+    again = (d[order][1:] == d[order][:-1]) & (tie[order][1:] == tie[order][:-1])
+    return d, tie, order[np.concatenate([[True], ~again])] if len(order) else order
 
 
 def _bytes_of(cell: pa.Scalar) -> np.ndarray:
@@ -213,7 +218,9 @@ def _classes(hot: np.ndarray):
                 continue
             new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
             first = new_anchor | np.concatenate([[True], whole[1:] != whole[:-1]])
-            late = ~first
+            head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+            # rows that are one document give the same block twice
+            late = (d != d[head]) | (tie != tie[head]) | (start != start[head])
             zero = np.zeros(late.sum(), np.int64)
             yield _rows(COVER, zero, zero, zero, d[late], tie[late], start[late], n[late] - 1 + WINDOW)
             group = np.cumsum(new_anchor) - 1
@@ -287,33 +294,47 @@ def longest_previous(windows: np.ndarray, position: np.ndarray) -> np.ndarray:
 def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks' bytes sorted by anchor: byte ranges of windows whose longest previous factor fills the window."""
     for chunk in groups(batches, "part"):
-        d, tie, start, n = (chunk.column(c).to_numpy() for c in ("d", "tie", "start", "n"))
-        data = chunk.column("data").combine_chunks()
-        data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
-        lengths = np.fromiter((len(x) for x in data.to_pylist()), np.int64, len(data))
-        buffer = np.frombuffer(b"".join(data.to_pylist()), np.uint8)
-        base = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        order = np.lexsort((start, tie, d))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        row = np.repeat(np.arange(len(n)), n)
-        inner = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-        position = (place[row] << 32) + inner
-        done = np.flatnonzero(n == 0)  # found equal to an earlier window on the way
-        key = np.stack([d, tie], axis=1)
-        _, doc = np.unique(key, axis=0, return_inverse=True)
-        doc = doc.ravel()
-        hits = [(doc[done], start[done])]
-        if len(row):
-            windows = buffer[(base[row] + inner)[:, None] + np.arange(WINDOW)]
-            late = longest_previous(np.ascontiguousarray(windows), position) >= WINDOW
-            hits.append((doc[row[late]], start[row[late]] + inner[late]))
-        who, at = (np.concatenate(x) for x in zip(*hits))
-        if len(who):
-            who, lo, hi = merged(who, at, at + WINDOW)
-            back = np.zeros(doc.max() + 1, np.int64)
-            back[doc] = np.arange(len(doc))
-            yield pa.RecordBatch.from_arrays([pa.array(d[back[who]]), pa.array(tie[back[who]]), pa.array(lo), pa.array(hi - lo)], names=["d", "tie", "start", "n"])
+        first, last = runs(chunk.column("part").to_numpy())
+        windows = np.concatenate([[0], np.cumsum(chunk.column("n").to_numpy())])
+        lo = 0
+        while lo < len(first):  # whole anchors, about FACTOR_WINDOWS windows at a time
+            hi = lo + 1
+            while hi < len(first) and windows[last[hi]] - windows[first[lo]] <= FACTOR_WINDOWS:
+                hi += 1
+            yield from _factor_part(chunk.slice(first[lo], last[hi - 1] - first[lo]).combine_chunks())
+            lo = hi
+
+
+def _factor_part(chunk: pa.Table) -> Iterator[pa.RecordBatch]:
+    part, d, tie, start, n = (chunk.column(c).to_numpy() for c in ("part", "d", "tie", "start", "n"))
+    order = np.lexsort((part, start, tie, d))
+    again = np.concatenate([[False], np.all([x[order][1:] == x[order][:-1] for x in (part, start, tie, d)], axis=0)])
+    if again.any():  # rows that are one document give the same block twice
+        chunk = chunk.take(pa.array(np.sort(order[~again])))
+        part, d, tie, start, n = (chunk.column(c).to_numpy() for c in ("part", "d", "tie", "start", "n"))
+        order = np.lexsort((part, start, tie, d))
+    strings = chunk.column("data").to_pylist()
+    buffer = np.frombuffer(b"".join(strings), np.uint8)
+    base = np.concatenate([[0], np.cumsum([len(x) for x in strings])[:-1]]).astype(np.int64)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    moved = (d[order][1:] != d[order][:-1]) | (tie[order][1:] != tie[order][:-1])
+    doc = np.empty(len(order), np.int64)
+    doc[order] = np.concatenate([[0], np.cumsum(moved)])
+    row = np.repeat(np.arange(len(n)), n)
+    inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    done = np.flatnonzero(n == 0)  # found equal to an earlier window on the way
+    hits = [(doc[done], start[done])]
+    if len(row):
+        windows = np.lib.stride_tricks.sliding_window_view(buffer, WINDOW)[base[row] + inner]
+        late = longest_previous(windows, (place[row] << 32) + inner) >= WINDOW
+        hits.append((doc[row[late]], start[row[late]] + inner[late]))
+    who, at = (np.concatenate(x) for x in zip(*hits))
+    if len(who):
+        who, lo, hi = merged(who, at, at + WINDOW)
+        back = np.zeros(doc.max() + 1, np.int64)
+        back[doc] = np.arange(len(doc))
+        yield pa.RecordBatch.from_arrays([pa.array(d[back[who]]), pa.array(tie[back[who]]), pa.array(lo), pa.array(hi - lo)], names=["d", "tie", "start", "n"])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
