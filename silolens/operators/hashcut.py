@@ -15,9 +15,12 @@ The row key must be unique; :func:`assert_unique_key` checks that.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
+from functools import reduce
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -102,20 +105,41 @@ def _locate(counts: DataFrame, marks: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
+def _locate_rows(counts: list[Row], marks: list, strata: list[str]) -> list[tuple]:
+    """:func:`_locate` over counts that the driver holds: (strata..., cut, need, bucket, n)."""
+    of: dict[tuple, list[tuple[str, int]]] = defaultdict(list)
+    for r in counts:
+        of[tuple(r[s] for s in strata)].append((r["bucket"], r["n"]))
+    upto = {k: list(accumulate(n for _, n in sorted(v))) for k, v in of.items()}
+    out = []
+    for m in marks:
+        *stratum, cut, need = m
+        ends = upto.get(tuple(stratum), [])
+        at = bisect_left(ends, need)
+        if at < len(ends):
+            bucket, n = sorted(of[tuple(stratum)])[at]
+            out.append((*stratum, cut, need - (ends[at] - n), bucket, n))
+    return out
+
+
 def _thresholds(df: DataFrame, marks: list, strata: list[str], keys: list[str], seed: int, salt: str,
-                schema: StructType, counts: DataFrame) -> list:
+                schema: StructType, counts: DataFrame | list[Row]) -> list:
     """(strata..., cut, h) where h is the hash of the wanted row."""
     spark = df.sparkSession
     hashed = df.select(*strata, key_hash(keys, seed, salt).alias("h"))
     todo = F.broadcast(local_table(spark, marks, schema))
     group, digits = list(strata), DIGITS
     while True:
-        table = _locate(counts, todo, group)
-        found = table.collect()
+        if isinstance(counts, list):
+            found = _locate_rows(counts, marks, strata)
+            fields = StructType([*[schema[s] for s in strata], *StructType.fromDDL("cut bigint, need bigint, bucket string, n bigint").fields])
+        else:
+            table = _locate(counts, todo, group)
+            found, fields = [tuple(r) for r in table.collect()], table.schema
         if not found:
             return []
-        located = local_table(spark, found, table.schema)
-        if max(r["n"] for r in found) <= EDGE_ROWS or digits >= MAX_DIGITS:
+        located = local_table(spark, found, fields)
+        if max(r[-1] for r in found) <= EDGE_ROWS or digits >= MAX_DIGITS:
             break
         # Refine: only rows inside a located bucket are counted again.
         todo = F.broadcast(located.select(*strata, F.col("bucket").alias("inside"), "cut", "need"))
@@ -157,26 +181,64 @@ def cut_by_hash(
     """
     cuts = cuts.select(*strata, F.col("cut").cast("bigint"), F.col("need").cast("bigint"))
     marks = bounded_rows(cuts)
-    if marks is None:
-        per_stratum = cuts.groupBy(*strata).agg(F.array_sort(F.collect_list("need")).alias("_cuts"))
-        ranked = hash_rank(df, strata, keys, seed, salt, out="_rank", carry=per_stratum)
-        part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_rank"))), F.lit(0))
-        return ranked.withColumn(out, part.cast("int")).drop("_rank", "_cuts")
+    if marks is not None:
+        return cut_at(df, [tuple(m) for m in marks], cuts.schema, strata, keys, seed, salt, out, counts)
+    return _cut_by_rank(df, cuts, strata, keys, seed, salt, out)
+
+
+def _cut_by_rank(df: DataFrame, cuts: DataFrame, strata: list[str], keys: list[str], seed: int, salt: str, out: str) -> DataFrame:
+    """Any number of cuts: rows and cuts are merged on one axis of ranks inside each hash bucket.
 
+    A bucket's rows see the number of cuts before it, and the cuts inside it as
+    rows between theirs: no row carries a list of cuts.
+    """
+    hashed = df.withColumn("_h", key_hash(keys, seed, salt)).withColumn("_b", F.substring("_h", 1, 4))
+    group = [*strata, "_b"]
+    starts = hashed.groupBy(*group).agg(F.count("*").alias("n"))
+    located = _locate(starts.withColumnRenamed("_b", "bucket"), cuts.where("need > 0"), list(strata))
+    inside = located.select(*strata, F.col("bucket").alias("_b"), "need")
+    tally = inside.groupBy(*group).agg(F.count("*").alias("_in"))
+    zero = cuts.where("need <= 0").groupBy(*strata).agg(F.count("*").alias("_zero"))
+    passed = _attach(starts.drop("n"), tally, group)
+    passed = _attach(passed, zero, strata) if strata else passed.withColumn("_zero", F.lit(zero.first()[0]))
+    before = Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.coalesce(F.sum("_in").over(before), F.lit(0)) + F.coalesce("_zero", F.lit(0))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("_h", *keys)).cast("bigint")
+    ranked = hashed.withColumns({"_rank": rank, "_mark": F.lit(0)})
+    marks = inside.select(*group, F.col("need").alias("_rank"), F.lit(1).alias("_mark"))
+    upto = Window.partitionBy(*group).orderBy("_rank", "_mark").rowsBetween(Window.unboundedPreceding, 0)
+    axis = ranked.unionByName(marks, allowMissingColumns=True).withColumn("_over", F.sum("_mark").over(upto)).where("_mark = 0")
+    labelled = _attach(axis, small(passed.select(*group, base.cast("int").alias("_base"))), group)
+    return labelled.withColumn(out, (F.coalesce("_base", F.lit(0)) + F.col("_over")).cast("int")).select(*df.columns, out)
+
+
+def _attach(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+    """Left join on columns that may be null; right rows are unique on them."""
+    renamed = right.withColumnsRenamed({c: f"_of_{c}" for c in names})
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in names])
+    return left.join(renamed, on, "left").drop(*[f"_of_{c}" for c in names])
+
+
+def cut_at(df: DataFrame, marks: list[tuple], schema: StructType, strata: list[str], keys: list[str], seed: int, salt: str,
+           out: str, counts: DataFrame | list[Row] | None = None) -> DataFrame:
+    """:func:`cut_by_hash` at marks (strata..., cut, need) that the driver holds, at most SMALL_ROWS of them.
+
+    With collected ``counts`` one job finds the thresholds; the labels are a projection.
+    """
     spark = df.sparkSession
     if not marks:
         return df.withColumn(out, F.lit(0))
-    real = [m for m in marks if m["need"] > 0]
+    real = [m for m in marks if m[-1] > 0]
     if counts is None:
         counts = bucket_counts(df, strata, keys, seed, salt)
-    found = _thresholds(df, real, strata, keys, seed, salt, cuts.schema, counts) if real else []
+    found = _thresholds(df, real, strata, keys, seed, salt, schema, counts) if real else []
     by_stratum: dict[tuple, list[str]] = defaultdict(list)
     for m in marks:  # a cut at rank 0 lies before every row; one past the end lies after all
-        if m["need"] <= 0:
-            by_stratum[tuple(m[s] for s in strata)].append("")
+        if m[-1] <= 0:
+            by_stratum[tuple(m[: len(strata)])].append("")
     for t in found:
         by_stratum[tuple(t[s] for s in strata)].append(t["h"])
-    fields = ", ".join(f"`{s}` {cuts.schema[s].dataType.simpleString()}" for s in strata)
+    fields = ", ".join(f"`{s}` {schema[s].dataType.simpleString()}" for s in strata)
     lead = f"{fields}, " if fields else ""
     most = max((len(v) for v in by_stratum.values()), default=0)
     if most == 0:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from silolens.operators.hashcut import bucket_counts, cut_by_hash, hash_rank
+from silolens.operators.hashcut import bucket_counts, cut_at, cut_by_hash, hash_rank
 from silolens.session import SMALL_ROWS, bounded_rows, local_table
 
 
@@ -54,18 +55,63 @@ def split_quotas(buckets: DataFrame, by: list[str], label: str, test_fraction: f
 
 
 def _split(df: DataFrame, by: list[str], label: str, keys: list[str], seed: int, salt: str, **sizes) -> DataFrame:
-    """Quotas and cuts both come from one count of rows per stratum and hash bucket."""
+    """Quotas and cuts both come from one count of rows per stratum and hash bucket.
+
+    Few strata: the counts come to the driver, so that one more job finds the
+    edges. Many: everything stays distributed.
+    """
     strata = [*by, label]
     buckets = bucket_counts(df, strata, keys, seed, salt).persist()
     try:
+        rows = bounded_rows(buckets)
+        if rows is not None:
+            marks = _split_marks(rows, by, label, **sizes)
+            schema = StructType([*[buckets.schema[s] for s in strata], *StructType.fromDDL("cut bigint, need bigint").fields])
+            if len(marks) <= SMALL_ROWS:
+                return _named_sides(cut_at(df, marks, schema, strata, keys, seed, salt, "_part", rows), sizes)
         parts = cut_by_hash(df, _split_cuts(split_quotas(buckets, by, label, **sizes), strata), strata, keys, seed, salt, "_part", buckets)
     finally:
         buckets.unpersist()
+    return _named_sides(parts, sizes)
+
+
+def _named_sides(parts: DataFrame, sizes: dict) -> DataFrame:
     named = F.when(F.col("_part") == 0, F.lit("train")).when(F.col("_part") == 1, F.lit("test"))
     named_rows = parts.withColumn("split", named).drop("_part")
     return named_rows if sizes.get("test_fraction") is not None else named_rows.where("split is not null")
 
 
+def _quotas(counts: dict, want: int) -> dict:
+    """:func:`largest_remainder` of one group whose counts the driver holds."""
+    total = sum(counts.values())
+    if not total:
+        return dict.fromkeys(counts, 0)
+    base = {c: want * n // total for c, n in counts.items()}
+    left = want - sum(base.values())
+    order = sorted(counts, key=lambda c: (-(want * counts[c] % total), c is not None, c))
+    return {c: base[c] + (i < left) for i, c in enumerate(order)}
+
+
+def _split_marks(rows: list[Row], by: list[str], label: str, test_fraction: float | None = None,
+                 n_train: int | None = None, n_test: int | None = None) -> list[tuple]:
+    """(by..., label, cut, need) of each class, from collected bucket counts: as :func:`split_quotas`."""
+    groups: dict[tuple, dict] = {}
+    for r in rows:
+        counts = groups.setdefault(tuple(r[b] for b in by), {})
+        counts[r[label]] = counts.get(r[label], 0) + r["n"]
+    marks = []
+    for group, counts in groups.items():
+        total = sum(counts.values())
+        test = math.ceil(total * float(test_fraction)) if test_fraction is not None else n_test
+        train = _quotas(counts, total - test if test_fraction is not None else n_train)
+        held = _quotas({c: n - train[c] for c, n in counts.items()}, test)
+        for c, n in counts.items():
+            marks.append((*group, c, 0, train[c]))
+            if train[c] + held[c] < n:
+                marks.append((*group, c, 1, train[c] + held[c]))
+    return marks
+
+
 def _split_cuts(quotas: DataFrame, strata: list[str]) -> DataFrame:
     return quotas.select(
         *strata, F.explode(F.array(
