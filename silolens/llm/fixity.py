@@ -63,15 +63,16 @@ def tree(leaves: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT
     return nodes
 
 
-def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
+def audit(primary: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT, levels: int = LEVELS,
+          trees: tuple[list[DataFrame], list[DataFrame]] | None = None) -> DataFrame:
     """``file, start, size, expected, found, status``: the records in which two replicas differ.
 
-    Both are ``file, start, size, digest``. ``status`` is altered, missing or
+    Both are ``file, start, size, digest``; ``trees`` are theirs, if the caller has built them. ``status`` is altered, missing or
     added. Equal replicas, or two empty ones, give an empty result; a file that
     one side lacks is reported whole. A last level gathers at most the nodes of
     one file: raise ``levels`` for files over range_bytes * fanout ** levels.
     """
-    ours, theirs = tree(primary, range_bytes, fanout, levels), tree(replica, range_bytes, fanout, levels)
+    ours, theirs = trees or (tree(primary, range_bytes, fanout, levels), tree(replica, range_bytes, fanout, levels))
     branch = None
     for level in range(levels, -1, -1):
         up = F.lit(0) if level == levels - 1 else F.expr(f"node div {fanout}")

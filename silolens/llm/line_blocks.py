@@ -31,18 +31,20 @@ RAW = "script|style|noscript|template|svg|iframe|textarea|title|select|object|ma
 BOILERPLATE = frozenset("nav footer aside form menu dialog button fieldset head".split())
 MAIN = frozenset(("article", "main"))
 NEVER = frozenset(
-    "ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead "
+    "ad ads adbox adslot adunit adsbygoogle adv advert advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead "
     "topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register search searchbox share sharing social "
     "related recommended recommendations comment comments disqus reply replies respond discussion pagination pager widget toolbar copyright legal disclaimer skip hidden tags tagcloud".split())
+STEMS = ("comment", "sidebar", "cookie", "advert", "newsletter", "breadcrumb", "navbar", "navigation", "masthead", "disqus", "sponsor")
 MILD = frozenset(("header", "head", "site", "top", "bottom"))  # boilerplate only outside the main element
-GOOD = frozenset("article articlebody content post entry main story body text page".split())
+GOOD = frozenset("article articlebody content post entry story".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + RAW + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.DOTALL | re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_WORD = re.compile(r"[A-Za-z]+")
+_WORD = re.compile(r"[a-z]+")
+_LAYOUT = re.compile(r"\b(?:has|with|no|without|show|hide)[-_]\w[\w-]*")  # says what stands beside an element, not what it is
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _BLOCK_ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
@@ -63,13 +65,15 @@ def _is_boilerplate(name: str, attributes: str, inside: bool) -> bool:
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id"):
-            words.update(_WORD.findall(value))
+            words.update(_WORD.findall(_LAYOUT.sub(" ", html.unescape(value))))
         elif key == "role" and value in ROLES:
             return True
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
             return True
     if name in MAIN or name in ("body", "html"):
         return False
+    if any(stem in word and word != "commentary" for word in words for stem in STEMS):
+        return True
     return bool(words & NEVER) or (not inside and bool(words & MILD) and not words & GOOD)
 
 

@@ -69,8 +69,9 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     held = stored(fixity.laid_out(fixity.records(table(spark, sf, "pages"), "page_id", ["url", "html"])), "records")
     primary = held.selectExpr("file", "start", "size * copies AS size", "digest")
     replica = held.where("substring(digest, 62) <> 'fff'").selectExpr("file", "start", "size * copies AS size", "CASE WHEN substring(digest, 63) = '0a' THEN damaged ELSE digest END AS digest")
-    found = fixity.audit(primary, replica)
-    roots = [fixity.tree(side)[-1].selectExpr("file", f"digest AS {name}") for side, name in ((primary, "expected_root"), (replica, "found_root"))]
+    trees = fixity.tree(primary), fixity.tree(replica)
+    found = fixity.audit(primary, replica, trees=trees)
+    roots = [side[-1].selectExpr("file", f"digest AS {name}") for side, name in zip(trees, ("expected_root", "found_root"))]
     known = held.selectExpr("record_id", "digest AS expected")
     return found.join(known, "expected").join(roots[0], "file").join(roots[1], "file", "left").select(
         "record_id", "file", "start", "size", "expected", "found", "status", "expected_root", "found_root")

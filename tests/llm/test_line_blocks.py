@@ -13,13 +13,15 @@ MENU = "<ul><li><a href=a>Home page of the site</a><li><a href=b>All of the othe
 
 @pytest.mark.parametrize("before, after", [
     ("<article>", "</article>"), ("<main>", "</main>"), ("<div role='main'>", "</div>"), ("<div class='post-content'>", "</div>"), ("<div>", "</div>"), ("", ""),
-    ("<article><header>", "</header></article>"),
+    ("<article><header>", "</header></article>"), ("<div class='main has-sidebar no-comments'>", "</div>"),
 ])
 @pytest.mark.parametrize("around", [
     "<nav>%s</nav>", "<header>Site name and a slogan long enough to look like a text of its own, really it is</header>", "<aside>%s and a text beside it that is rather long, so that it would surge alone</aside>",
     "<div id='cookie-notice'>We use cookies to give you the best experience on this site of ours, and so on and on.</div>", "<form>Your name and address please, so that we can write to you about all our offers <input></form>",
     "<script>if (a < b) { document.write('<p>no</p>') }</script>", "<style>p > a { color: red }</style>", "<!-- <p>an old paragraph that is long enough to be a text of its own, if it were shown</p> -->", "%s",
     "<div class='ad banner'>Buy this now, it is the best thing that you can buy for money, and it is cheap too</div>",
+    "<ol class='commentList'><li>I like this, it is the best thing that I have read all day, thank you for it all.</ol>",
+    "<div class='page-header'>Site name and a slogan that is long enough to look like a text of its own, really it is</div>",
     "<section class=comments><p>I like this, it is the best thing that I have read all day, thank you for it all.</p></section>", "<div style='display:none'>Hidden words that nobody sees, however many of them there may be in the page</div>",
     "<footer>&copy; all rights reserved, and other things that nobody reads at the end of a page</footer>", "<template><p>a template of a paragraph that is not shown anywhere on the page as it is</p></template>",
 ])
