@@ -133,6 +133,28 @@ def stratified(spark: SparkSession, sf: str) -> DataFrame:
     return fx.split_readings(spark, sf).select(*KEYS, "target", "split")
 
 
+N_TRAIN, N_TEST = 4000, 1000
+
+
+def exact_sizes_sql() -> str:
+    """Rows of each class on each side: largest remainders of the train side, then of the test side among the rest."""
+    def shared(source: str, want: int, n: str, total: str, out: str, name: str) -> str:
+        return f"""{name}_b AS (SELECT *, ({want} * ({n})) // ({total}) AS base, ({want} * ({n})) % ({total}) AS rest FROM {source}),
+          {name} AS (SELECT * EXCLUDE (base, rest), base + CASE WHEN row_number() OVER (ORDER BY rest DESC, target) <= {want} - sum(base) OVER () THEN 1 ELSE 0 END AS {out} FROM {name}_b)"""
+
+    return f"""{fx.READINGS}, cn AS (SELECT target, CAST(count(*) AS HUGEINT) AS n, CAST(sum(count(*)) OVER () AS HUGEINT) AS total FROM readings GROUP BY target),
+      {shared('cn', N_TRAIN, 'n', 'total', 'n_train', 'tr')}, {shared('tr', N_TEST, 'n - n_train', f'total - {N_TRAIN}', 'n_test', 'te')},
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY {fx.key_md5('split')}, {K}) AS rn FROM readings)"""
+
+
+# Sizes given as rows; the rest of the table is left out, and the split checks that it has enough rows.
+@query("c1c_exact_sizes", f"""WITH {exact_sizes_sql()} SELECT {K}, ranked.target, CASE WHEN rn <= n_train THEN 'train' ELSE 'test' END AS split
+    FROM ranked JOIN te ON ranked.target = te.target WHERE rn <= n_train + n_test""")
+def exact_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = split.stratified_split(fx.readings(spark, sf), "target", KEYS, n_train=N_TRAIN, n_test=N_TEST, seed=fx.SEED)
+    return rows.select(*KEYS, "target", "split")
+
+
 @query("c2_scaler_stats", f"""WITH {fx.SPLIT}, t AS (SELECT * FROM rows_split WHERE split = 'train')
     {' UNION ALL '.join(f"SELECT '{c}' AS feature, {r(f'avg({c})', 'mean')}, {r(f'stddev_pop({c})', 'std')} FROM t" for c in NUMERIC)}""")
 def scaler_stats(spark: SparkSession, sf: str) -> DataFrame:
