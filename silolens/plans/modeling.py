@@ -97,7 +97,7 @@ def wide_score(spark: SparkSession, sf: str) -> DataFrame:
 
 # A row with a null or NaN feature has no probability, class or confidence, and is no example of a gradient.
 @query("d3c_missing_features", f"""WITH {SCORED} SELECT {K}, CASE WHEN k1 % 7 > 1 THEN {r('p1').rsplit(' AS ', 1)[0]} END AS p1,
-    CASE WHEN k1 % 7 > 1 THEN y_pred END AS y_pred, k1 % 7 < 2 AS no_logistic, k1 % 7 < 2 AS no_narrow, k1 % 7 < 2 AS no_wide, k1 % 7 < 2 AS no_gradient FROM pr""")
+    CASE WHEN k1 % 7 > 1 THEN y_pred ELSE -1 END AS y_pred, k1 % 7 < 2 AS no_logistic, k1 % 7 < 2 AS no_narrow, k1 % 7 < 2 AS no_wide, k1 % 7 < 2 AS no_gradient FROM pr""")
 def missing_features(spark: SparkSession, sf: str) -> DataFrame:
     gap = F.expr(f"CASE WHEN k1 % 7 = 0 THEN NULL WHEN k1 % 7 = 1 THEN double('NaN') ELSE `{FEATURES[0]}` END")
     rows = fx.features(spark, sf).withColumn(FEATURES[0], gap)
@@ -106,7 +106,7 @@ def missing_features(spark: SparkSession, sf: str) -> DataFrame:
     out = net.score(out, net.init_params(WIDE_NET, fx.SEED), WIDE_NET, FEATURES, "wide")
     out = gradients.logistic_gradients(out, LOGIT, FEATURES)
     none = {"no_logistic": "p1", "no_narrow": "narrow", "no_wide": "wide", "no_gradient": "g0"}
-    return rounded(out.select(*KEYS, "p1", "y_pred", *[F.isnull(c).alias(n) for n, c in none.items()]))
+    return rounded(out.select(*KEYS, "p1", F.coalesce("y_pred", F.lit(-1)).alias("y_pred"), *[F.isnull(c).alias(n) for n, c in none.items()]))
 
 
 @query("d4_predict", f"WITH {SCORED} SELECT {K}, y_pred, {r('confidence')} FROM pr")
