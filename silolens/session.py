@@ -12,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StructType
 
 # Largest table that may be broadcast or brought to the driver (rows, counted before use).
 SMALL_ROWS = 100_000
+# Bytes that such a table may hold in columns without a fixed width.
+SMALL_BYTES = 64 << 20
 # What a scan partition holds at most by default.
 SCAN_BYTES = 128 << 20
 
@@ -91,7 +93,15 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def bounded_rows(df: DataFrame, limit: int = SMALL_ROWS) -> list | None:
-    """All rows if there are at most ``limit``, else None. Never a truncated list."""
+    """All rows if there are at most ``limit``, else None. Never a truncated list.
+
+    Rows with arrays, maps or binary values have no size of their own: those are
+    summed up first, and more than ``SMALL_BYTES`` of them give None too.
+    """
+    if any(isinstance(f.dataType, (ArrayType, MapType, BinaryType)) for f in df.schema.fields):
+        size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+        if (df.agg(size).first()[0] or 0) > SMALL_BYTES:
+            return None
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
 

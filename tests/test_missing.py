@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from silolens import session
 from silolens.functions import hashing, net
 from silolens.operators import explain, gradients, privacy, train
 from silolens.session import scratch_path
@@ -114,3 +115,28 @@ def test_null_keys_keep_their_place(spark):
 def test_empty_weight_lists_count_as_explained_rows(spark):
     table = spark.createDataFrame([([("a", 2.0)],), ([],), ([("a", -4.0), ("b", 1.0)],)], "weights array<struct<feature: string, weight: double>>")
     assert {r.feature: r.importance for r in explain.global_weights(table).collect()} == {"a": 2.0, "b": pytest.approx(1 / 3)}
+
+
+def test_wide_rows_are_bounded_by_bytes(spark, monkeypatch):
+    table = spark.range(5).selectExpr("id", "sequence(1, 100) AS v")
+    assert len(session.bounded_rows(table)) == 5 and session.bounded_rows(table, 4) is None
+    monkeypatch.setattr(session, "SMALL_BYTES", 1000)
+    assert session.bounded_rows(table) is None
+    assert len(session.bounded_rows(table.drop("v"))) == 5
+    assert session.small(table).count() == 5
+
+
+def test_cuts_past_the_bound_with_null_strata(spark, monkeypatch):
+    from silolens.operators import hashcut
+
+    rows = spark.range(500).selectExpr("id", "CASE WHEN id % 3 > 0 THEN id % 3 END AS s")
+    cuts = spark.createDataFrame([(s, c, n) for s in (1, 2, None) for c, n in enumerate((0, 5, 40, 41, 120))], "s long, cut long, need long")
+    want = hashcut.cut_by_hash(rows, cuts, ["s"], ["id"], 7).where("s IS NOT NULL").collect()
+    ranked = hashcut._cut_by_rank(rows, cuts.selectExpr("s", "cut", "need"), ["s"], ["id"], 7, "", "part")
+    got = {r.id: r.part for r in ranked.collect()}
+    assert {r.id: r.part for r in want} == {i: p for i, p in got.items() if i % 3}
+    counts = {}
+    for i, p in got.items():
+        if i % 3 == 0:
+            counts[p] = counts.get(p, 0) + 1
+    assert counts == {1: 5, 2: 35, 3: 1, 4: 79, 5: 47}
