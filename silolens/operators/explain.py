@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from silolens.functions import net
 from silolens.functions.hashing import stream_seed
@@ -100,8 +100,11 @@ def shapley_values(df: DataFrame, score: ScoreFn, background: np.ndarray, featur
         raise ValueError(f"exact values of {d} features need 2^{d} coalitions a row; choose method='sampled' above {EXACT_FEATURES}")
     rows_per_slice = max(1, BATCH_BYTES // (8 * (len(background) * d * 4 + (1 << min(d, EXACT_FEATURES)))))
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def attribute(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    # a struct of doubles travels as d flat buffers; an array would be a Python object per row
+    names = [f"p{j}" for j in range(d)]
+
+    @F.pandas_udf(StructType([StructField(n, DoubleType()) for n in names]))
+    def attribute(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.column_stack([c.to_numpy(dtype=np.float64) for c in batch])
             parts = [
@@ -109,15 +112,17 @@ def shapley_values(df: DataFrame, score: ScoreFn, background: np.ndarray, featur
                 else sampled_shapley(score, x[i : i + rows_per_slice], background, permutations, seed)
                 for i in range(0, len(x), rows_per_slice)
             ]
-            yield pd.Series(list(np.concatenate(parts)) if parts else [], dtype=object)
+            yield pd.DataFrame(np.concatenate(parts) if parts else np.empty((0, d)), columns=names)
 
-    return spread(df).withColumn(out, attribute(*[F.col(f"`{c}`") for c in features]))
+    made = spread(df).withColumn("_phi", attribute(*[F.col(f"`{c}`") for c in features]))
+    return made.withColumn(out, F.array(*[F.col(f"_phi.{n}") for n in names])).drop("_phi")
 
 
 def long_attributions(df: DataFrame, features: Sequence[str], keep: list[str], col: str = "phi") -> DataFrame:
     """(keep..., feature, phi), one row per feature."""
     names = F.array(*[F.lit(f) for f in features])
-    long = df.select(*keep, F.posexplode(col).alias("_i", "phi"))
+    # the outer form: the other one first filters by the array's size, which would compute the attributions twice
+    long = df.select(*keep, F.posexplode_outer(col).alias("_i", "phi"))
     return long.select(*keep, F.get(names, F.col("_i")).alias("feature"), "phi")
 
 
