@@ -20,6 +20,9 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from silolens.llm.common import runs
 
 BATCH_CHARS = 1 << 22
 CELLS = 1 << 21
@@ -40,7 +43,9 @@ class Model:
     longest: int
     unknown: float
     bytes_: np.ndarray  # id of each byte piece
-    texts: list[bytes]  # what each id decodes to
+    pool: np.ndarray  # the bytes that ids decode to, one after another
+    first: np.ndarray  # where each id's bytes start
+    sizes: np.ndarray  # and how many they are
 
 
 def _mixed(x: np.ndarray, length: np.ndarray | int) -> np.ndarray:
@@ -80,12 +85,16 @@ def load(path: str) -> Model:
     order = np.argsort(keys)
     if len(np.unique(keys)) != len(keys):
         raise ValueError("two pieces share a hash")
-    scores = np.array([s for _, _, s in pieces])
-    return Model(keys[order], np.array([i for i, _, _ in pieces])[order], scores[order], max(len(p) for _, p, _ in pieces), float(scores.min()) - UNKNOWN_PENALTY, bytes_, texts)
+    scores, sizes = np.array([s for _, _, s in pieces]), np.array([len(t) for t in texts])
+    return Model(keys[order], np.array([i for i, _, _ in pieces])[order], scores[order], max(len(p) for _, p, _ in pieces), float(scores.min()) - UNKNOWN_PENALTY, bytes_,
+                 np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, sizes)
+
 
+def viterbi(words: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words of one length, one word after another, and how many each has.
 
-def viterbi(words: list[str], model: Model) -> list[np.ndarray]:
-    """Ids of words of one length: the best sum of scores, on ties the shorter last piece."""
+    The best sum of scores wins, on ties the shorter last piece.
+    """
     n, size = len(words), len(words[0])
     codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(np.int64)
     codes = np.where(codes == SPACE, MARK, np.where(codes == MARK, NO_PIECE, codes))
@@ -121,52 +130,53 @@ def viterbi(words: list[str], model: Model) -> list[np.ndarray]:
         start = place[open_] - length
         out[open_, start] = piece[open_, start, length - 1]
         place[open_] = start
-    found = []
-    plain = (out != -1).all(axis=1)
-    for i in range(n):
-        row = out[i]
-        if plain[i]:
-            found.append(row[row >= 0])
-            continue
+    odd = np.flatnonzero((out == -1).any(axis=1))
+    if not len(odd):
+        taken = out >= 0
+        return out[taken], taken.sum(axis=1)
+    rows = [row[row >= 0] for row in out]
+    for i in odd.tolist():  # words with a character that has no piece: its bytes
         ids: list[int] = []
-        for place_, value in enumerate(row.tolist()):
+        for at, value in enumerate(out[i].tolist()):
             if value >= 0:
                 ids.append(value)
             elif value == -1:
-                ids += model.bytes_[list(words[i][place_].encode("utf-8", "surrogatepass"))].tolist()
-        found.append(np.array(ids, np.int64))
-    return found
+                ids += model.bytes_[list(words[i][at].encode("utf-8", "surrogatepass"))].tolist()
+        rows[i] = np.array(ids, np.int64)
+    return np.concatenate(rows), np.array([len(r) for r in rows])
+
+
+def _gathered(pool: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs (first, size) of ``pool``, one after another."""
+    return pool[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
 
 
 def encode_texts(texts: list[str], model: Model) -> list[np.ndarray]:
     """Ids (uint32) of each text; an empty text has none. A space is put before the first word."""
     index: dict[str, int] = {}
-    of_text = [np.fromiter((index.setdefault(w, len(index)) for w in WORD.findall(" " + t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
+    number = index.setdefault
+    of_text = [np.array([number(w, len(index)) for w in WORD.findall(" " + t)], np.int64) if t else np.zeros(0, np.int64) for t in texts]
     words = list(index)
-    ids: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
-    by_length: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        by_length.setdefault(len(w), []).append(i)
-    for length, members in by_length.items():
+    first, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    flat, total = [np.zeros(0, np.uint32)], 0
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(lengths, kind="stable")
+    for lo, hi in zip(*runs(lengths[order])):
+        length = int(lengths[order[lo]])
         at_once = max(1, CELLS // (length * min(length, model.longest)))
-        for lo in range(0, len(members), at_once):
-            part = members[lo : lo + at_once]
-            for i, found in zip(part, viterbi([words[i] for i in part], model)):
-                ids[i] = found
-    sizes = np.array([len(x) for x in ids], np.int64)
-    flat = np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.uint32)
-    first = np.cumsum(sizes) - sizes
-    out = []
-    for mine in of_text:
-        n = sizes[mine]
-        total = int(n.sum())
-        out.append(flat[np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(total)] if total else np.zeros(0, np.uint32))
-    return out
-
-
-def decode_ids(ids: list[int], model: Model) -> str:
+        for a in range(lo, hi, at_once):
+            part = order[a : min(a + at_once, hi)]
+            ids, counts = viterbi([words[i] for i in part.tolist()], model)
+            first[part], sizes[part] = total + np.cumsum(counts) - counts, counts
+            flat.append(ids.astype(np.uint32))
+            total += len(ids)
+    pool = np.concatenate(flat)
+    return [_gathered(pool, first[mine], sizes[mine]) for mine in of_text]
+
+
+def decode_ids(ids: np.ndarray, model: Model) -> str:
     """The text of the ids; the space before the first word goes."""
-    data = b"".join([model.texts[i] for i in ids])
+    data = _gathered(model.pool, model.first[ids], model.sizes[ids]).tobytes()
     return (data[1:] if data.startswith(b" ") else data).decode("utf-8", "replace")
 
 
@@ -208,7 +218,7 @@ def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for batch in batches:
-            texts = [None if ids.as_py() is None else decode_ids(ids.values.to_pylist(), model) for ids in batch.column("ids")]
+            texts = [decode_ids(ids.values.to_numpy(zero_copy_only=False), model) if ids.is_valid else None for ids in batch.column("ids")]
             rest = [n for n in batch.schema.names if n != "decoded"]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in rest], pa.array(texts, pa.string())], names=[*rest, "decoded"])
     return run
@@ -218,6 +228,4 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     """``encoded`` with the column ``decoded``, the text of its ``ids``; null ids decode to null."""
     if "decoded" in encoded.columns:
         raise ValueError("decoded is the name of the result")
-    from pyspark.sql.types import StringType, StructField, StructType
-
     return encoded.mapInArrow(_decode(model_file), StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
