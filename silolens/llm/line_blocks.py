@@ -3,8 +3,10 @@
 Markup is stripped to lines, one per block element. A line weighs its text
 length, or nothing if it stands in a menu, notice, form or the like, or is
 mostly links. Sums over sliding line windows surge where the main text starts
-and dive where it ends; the lines between are kept, short ones included. An
-article or main element bounds the search where a page has one.
+and dive where it ends; the lines between are kept, short ones included. The
+surge follows the page's own lines, and after a dive the text resumes with the
+next line that weighs. An article or main element bounds the search where a
+page has one.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW_LINES = 3
-#: A window sum over SURGE characters starts a text where no element bounds it; DIVE ends it.
+#: A window sum over half of SURGE, or of the page's median window if that is less, starts a text; one under DIVE ends it.
 SURGE, DIVE = 90, 1
 LINK_PART = 0.6
 
@@ -148,33 +150,33 @@ def lines(page: str) -> list[Line]:
     return out
 
 
-def between_surge_and_dive(weights: np.ndarray, surge: int, dive: int = DIVE, window: int = WINDOW_LINES) -> np.ndarray:
-    """Which lines lie between a surge and the following dive of the window sums."""
+def between_surge_and_dive(weights: np.ndarray, surge: float, dive: int = DIVE, window: int = WINDOW_LINES, resume: bool = False) -> np.ndarray:
+    """Which lines lie in a run between dives of the window sums that surges; with ``resume`` also those of later runs."""
     n = len(weights)
     total = np.concatenate([[0], np.cumsum(weights)])
     sums = total[np.minimum(np.arange(n) + window, n)] - total[:n]
-    keep, inside = np.zeros(n, bool), False
-    for i in range(n):
-        if not inside and weights[i] and sums[i] > surge:
-            inside = True
-        elif inside and sums[i] < dive:
-            inside = False
-        keep[i] = inside and weights[i] > 0
-    return keep
+    run = np.cumsum(sums < dive)  # a dive starts the next run
+    surges = np.zeros(run[-1] + 1 if n else 0, bool)
+    surges[run[sums > surge]] = True
+    if resume:
+        surges = np.maximum.accumulate(surges)
+    return surges[run] & (weights > 0)
+
+
+def page_surge(weights: np.ndarray) -> float:
+    """Half of SURGE, or of three median lines of the page if they are shorter."""
+    return min(SURGE, WINDOW_LINES * float(np.median(weights[weights > 0]))) / 2 if weights.any() else SURGE / 2
 
 
 def main_text(page: str | None) -> str:
     found = lines(page or "")
-    if any(line.inside and line.weight for line in found):
-        found, surge = [line for line in found if line.inside], 0
-    else:
-        surge = SURGE
+    bounded = any(line.inside and line.weight for line in found)
+    if bounded:
+        found = [line for line in found if line.inside]
     weights = np.array([line.weight for line in found], np.int64)
-    keep = between_surge_and_dive(weights, surge)
-    if not keep.any() and surge:
-        keep = weights > 0  # no window is long enough: a page of one short text
-        if keep.any() and not (weights[keep] >= 40).any():
-            keep = np.zeros(len(weights), bool)
+    keep = between_surge_and_dive(weights, 0 if bounded else page_surge(weights), resume=True)
+    if not keep.any() and weights.sum() > 1:  # no window is long enough; a lone character is no text
+        keep = weights > 0
     return " ".join(line.text for line, k in zip(found, keep) if k)
 
 

@@ -51,6 +51,21 @@ def test_surge_and_dive():
     assert between_surge_and_dive(np.zeros(0, np.int64), 1).tolist() == []
 
 
+@pytest.mark.parametrize("line", ["a line of verse of 28 letters", "短い行の文", "2 eggs"])
+def test_short_lines_are_a_text(line):
+    page = f"<body>{MENU}<div>" + f"<p>{line}</p>" * 1000 + "</div></body>"
+    assert main_text(page) == " ".join([line] * 1000)
+    assert main_text(f"<p>{line}</p>") == line
+
+
+def test_text_resumes_after_boilerplate():
+    links = "<p><a href=x>another page of this site</a></p>" * 3
+    tail = "<p>A short end that stands behind three lines of links.</p><p>Finis.</p>"
+    page = f"<div><p>{FIRST}</p><p>{FIRST}</p>{links}{tail}</div>"
+    assert main_text(page) == " ".join([FIRST.replace("&amp;", "&")] * 2 + ["A short end that stands behind three lines of links. Finis."])
+    assert main_text(f"<div><p>Site</p>{links}<p>{FIRST}</p><p>{FIRST}</p></div>") == " ".join([FIRST.replace("&amp;", "&")] * 2)
+
+
 def test_tables(spark):
     page = f"<article>{BODY}</article>"
     rows = [(1, "u", page, 9), (1, "u", page, 9), (None, None, None, 9), (2, None, "", 9), (3, "v", "<article><p>" + "long words " * 50000, 9)]
