@@ -5,8 +5,8 @@ length, or nothing if it stands in a menu, notice, form or the like, or is
 mostly links. Sums over sliding line windows surge where the main text starts
 and dive where it ends; the lines between are kept, short ones included. The
 surge follows the page's own lines, and after a dive the text resumes with the
-next line that weighs. An article or main element bounds the search where a
-page has one.
+next line that weighs. Lines of an article or main element surge alone; beside
+them, other runs have to surge themselves.
 """
 
 from __future__ import annotations
@@ -170,11 +170,9 @@ def page_surge(weights: np.ndarray) -> float:
 
 def main_text(page: str | None) -> str:
     found = lines(page or "")
-    bounded = any(line.inside and line.weight for line in found)
-    if bounded:
-        found = [line for line in found if line.inside]
     weights = np.array([line.weight for line in found], np.int64)
-    keep = between_surge_and_dive(weights, 0 if bounded else page_surge(weights), resume=True)
+    main = np.array([line.inside for line in found], bool) & (weights > 0)
+    keep = between_surge_and_dive(weights + SURGE * main, page_surge(weights), resume=not main.any())
     if not keep.any() and weights.sum() > 1:  # no window is long enough; a lone character is no text
         keep = weights > 0
     return " ".join(line.text for line, k in zip(found, keep) if k)

@@ -66,6 +66,17 @@ def test_text_resumes_after_boilerplate():
     assert main_text(f"<div><p>Site</p>{links}<p>{FIRST}</p><p>{FIRST}</p></div>") == " ".join([FIRST.replace("&amp;", "&")] * 2)
 
 
+def test_sums_decide_beside_an_article():
+    links = "<p><a href=x>another page of this site</a></p>" * 3
+    teasers = "<article><h3>A card</h3><p>Its teaser.</p></article>" * 2
+    body = f"<div><p>{FIRST}</p><p>Short.</p></div>"
+    text = FIRST.replace("&amp;", "&") + " Short."
+    cards = " ".join(["A card Its teaser."] * 2)
+    assert main_text(f"<body>{body}{links}{teasers}</body>") == f"{text} {cards}"
+    assert main_text(f"<body>{teasers}{links}{body}</body>") == f"{cards} {text}"
+    assert main_text(f"<body><p>Site</p>{links}<article>{BODY}</article>{links}<p>Since 1999</p></body>") == TEXT
+
+
 def test_tables(spark):
     page = f"<article>{BODY}</article>"
     rows = [(1, "u", page, 9), (1, "u", page, 9), (None, None, None, 9), (2, None, "", 9), (3, "v", "<article><p>" + "long words " * 50000, 9)]
