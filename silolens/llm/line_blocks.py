@@ -2,11 +2,13 @@
 
 Markup is stripped to lines, one per block element. A line weighs its text
 length, or nothing if it stands in a menu, notice, form or the like, or is
-mostly links. Sums over sliding line windows surge where the main text starts
-and dive where it ends; the lines between are kept, short ones included. The
-surge follows the page's own lines, and after a dive the text resumes with the
-next line that weighs. Lines of an article or main element surge alone; beside
-them, other runs have to surge themselves.
+mostly links. Inside an article or main element, words that may name a topic
+and link-heavy lines lower the weight; both together take it. Sums over
+sliding line windows surge where the main text starts and dive where it ends;
+the lines between are kept, short ones included. The surge follows the page's
+own lines, and after a dive the text resumes with the next line that weighs.
+Lines of an article or main element surge alone; beside them, other runs have
+to surge themselves.
 """
 
 from __future__ import annotations
@@ -37,6 +39,9 @@ NEVER = frozenset(
     "topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register search searchbox share sharing social "
     "related recommended recommendations comment comments disqus reply replies respond discussion pagination pager widget toolbar copyright legal disclaimer skip hidden tags tagcloud".split())
 STEMS = ("comment", "sidebar", "cookie", "advert", "newsletter", "breadcrumb", "navbar", "navigation", "masthead", "disqus", "sponsor")
+#: Inside the main element these are boilerplate as class words; the other words only lower a weight there.
+FIXTURES = frozenset("ad ads adbox adslot adunit adsbygoogle adv advert advertisement adsense nav navbar breadcrumb breadcrumbs sidebar masthead topbar gdpr popup modal newsletter share disqus pagination pager widget toolbar skip tagcloud".split())
+DOUBT = 4  # a doubted line weighs a quarter of its text
 MILD = frozenset(("header", "head", "site", "top", "bottom"))  # boilerplate only outside the main element
 GOOD = frozenset("article articlebody content post entry story".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -46,6 +51,8 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.DOTALL | re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[a-z]+")
+_HEADING = re.compile(r"h[1-6]")
+_THREAD = re.compile(r"(?:comments|disqus)|(?:comments?|disqus)(?:[-_]?(?:list|area|section|thread|form|respond|wrap|wrapper|container|box|body|content|\d+))+")  # how comments are built, not what a text is about
 _LAYOUT = re.compile(r"\b(?:has|with|no|without|show|hide)[-_]\w[\w-]*")  # says what stands beside an element, not what it is
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _BLOCK_ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -58,41 +65,54 @@ class Line:
     inside: bool
 
 
-def _is_boilerplate(name: str, attributes: str, inside: bool) -> bool:
+def _evidence(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is boilerplate, and whether its text is doubted."""
     if name in BOILERPLATE or (name == "header" and not inside):
-        return True
+        return True, False
     if not attributes.strip(" /"):
-        return False
+        return False, False
     words: set[str] = set()
+    classes: set[str] = set()
+    thread = False
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id"):
-            words.update(_WORD.findall(_LAYOUT.sub(" ", html.unescape(value))))
+            names = _LAYOUT.sub(" ", html.unescape(value))
+            words.update(found := _WORD.findall(names))
+            classes.update(found if key == "class" else ())
+            thread = thread or any(_THREAD.fullmatch(part) for part in names.split())
         elif key == "role" and value in ROLES:
-            return True
+            return True, False
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
+            return True, False
     if name in MAIN or name in ("body", "html"):
-        return False
-    if any(stem in word and word != "commentary" for word in words for stem in STEMS):
-        return True
-    return bool(words & NEVER) or (not inside and bool(words & MILD) and not words & GOOD)
+        return False, False
+    doubted = bool(words & NEVER) or any(stem in word and word != "commentary" for word in words for stem in STEMS)
+    if not inside:
+        return doubted or (bool(words & MILD) and not words & GOOD), False
+    if _HEADING.fullmatch(name):
+        return False, False  # named after its own words
+    return thread or bool(classes & FIXTURES), doubted
 
 
 def lines(page: str) -> list[Line]:
     """The page's blocks in order, with their weights."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, made its content boilerplate, made it main
+    stack: list[tuple[str, bool, bool, bool]] = []  # element, made its content boilerplate, made it main, doubted it
     parts: list[str] = []
     linked = total = 0
-    dropped = main = anchors = 0
+    dropped = main = anchors = doubts = 0
 
     def flush() -> None:
         nonlocal linked, total
         text = " ".join("".join(parts).split())
         if text:
-            link_heavy = total and linked >= LINK_PART * total
-            out.append(Line(text, 0 if dropped or link_heavy else len(text), main > 0))
+            against = bool(total and linked >= LINK_PART * total) + (doubts > 0)
+            if dropped or against == 2 or (against and not main):
+                weight = 0
+            else:
+                weight = -(-len(text) // DOUBT) if against else len(text)
+            out.append(Line(text, weight, main > 0 and not against))
         parts.clear()
         linked = total = 0
 
@@ -106,10 +126,11 @@ def lines(page: str) -> list[Line]:
             linked += n if anchors else 0
 
     def pop() -> None:
-        nonlocal dropped, main, anchors
-        name, bad, good = stack.pop()
+        nonlocal dropped, main, anchors, doubts
+        name, bad, good, doubted = stack.pop()
         dropped -= bad
         main -= good
+        doubts -= doubted
         anchors -= name == "a"
 
     at = 0
@@ -139,11 +160,12 @@ def lines(page: str) -> list[Line]:
         if name in MAIN and dropped and not any(e[1] and e[0] in BOILERPLATE for e in stack):
             while any(e[1] for e in stack):  # a notice that was never closed ends where the main text starts
                 pop()
-        bad = _is_boilerplate(name, token[4], main > 0)
+        bad, doubted = _evidence(name, token[4], main > 0)
         good = not dropped and not bad and (name in MAIN or bool(re.search(r"""(?:role\s*=\s*["']?main|itemprop\s*=\s*["']?articleBody)""", token[4])))
-        stack.append((name, bad, good))
+        stack.append((name, bad, good, doubted))
         dropped += bad
         main += good
+        doubts += doubted
         anchors += name == "a"
     add(page[at:])
     flush()

@@ -1,5 +1,8 @@
 """Main text of pages whose text is known."""
 
+import html
+import re
+
 import numpy as np
 import pytest
 
@@ -77,6 +80,24 @@ def test_sums_decide_beside_an_article():
     assert main_text(f"<body><p>Site</p>{links}<article>{BODY}</article>{links}<p>Since 1999</p></body>") == TEXT
 
 
+@pytest.mark.parametrize("part", [
+    "<section id='discussion'>%s</section>", "<section id='related-work'>%s</section>", "<h2 id='legal-status'>Legal status</h2>%s", "<div class='notice'>%s</div>", "<h2 id=comments-on-method>Legal status</h2>%s",
+    "<h2>References</h2><ul><li><a href=a>The first work that is cited here</a><li><a href=b>The second work that is cited</a></ul>%s",
+])
+def test_words_of_a_topic_inside_an_article(part):
+    inner = part.replace("%s", f"<p>{FIRST}</p>")
+    plain = " ".join(html.unescape(re.sub("<[^>]*>", " ", inner)).split())
+    assert main_text(f"<article>{BODY}{inner}</article>") == f"{TEXT} {plain}"
+
+
+@pytest.mark.parametrize("part", [
+    "<div class='related'><ul><li><a href=a>Another page of the site</a><li><a href=b>And one more of them</a></ul></div>", "<div class='comment-list'><p>I like this.</p></div>",
+    "<aside>Beside it.</aside>", "<div class='ad'>Buy this now.</div>", "<div role=search>Find more.</div>",
+])
+def test_clear_evidence_inside_an_article(part):
+    assert main_text(f"<article>{BODY}{part}</article>") == TEXT
+
+
 def test_tables(spark):
     page = f"<article>{BODY}</article>"
     rows = [(1, "u", page, 9), (1, "u", page, 9), (None, None, None, 9), (2, None, "", 9), (3, "v", "<article><p>" + "long words " * 50000, 9)]
