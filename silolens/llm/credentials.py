@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency.
 
 A scan finds candidates in every text. Their hashes are counted by distinct
-owners and repositories: a value that many owners hold is a copied example, a
-value of one owner that looks random is a live credential of that owner.
+owners and repositories: a value that three owners or many repositories hold is
+a copied example, a rarer one that looks random is a live credential.
 """
 
 from __future__ import annotations
@@ -26,11 +26,14 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so shorter ones need not be matched first
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-#: A value of at least so many owners is an example that people copy.
-COPIED_OWNERS = 3
-#: A live-looking value: long enough, of mixed characters, and at least so many bits a character.
-LIVE_LENGTH, LIVE_BITS = 16, 3.0
+#: A value of at least so many owners, or of so many repositories even of one owner, is an example that people copy.
+COPIED_OWNERS, COPIED_REPOS = 3, 10
+#: A live-looking value has so many bits a character, or such a part of what its length allows if that is less, and mixed characters.
+LIVE_BITS, LIVE_PART = 3.0, 0.8
+#: Letters alone are mixed if they fall into words of fewer letters than this; names in code have longer ones.
+MIXED_LETTERS = 3
 
 SPAN = "struct<kind: int, start: int, stop: int, vstart: int, vstop: int, vhash: binary, random: boolean>"
 
@@ -44,10 +47,13 @@ def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
 
 
 def looks_random(value: str) -> bool:
-    if len(value) < LIVE_LENGTH or not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
+    letters = [c for c in value if c.isalpha()]
+    if not letters:
+        return False
+    if not any(c.isdigit() for c in value) and len(WORD.findall(value)) * MIXED_LETTERS <= len(letters):
         return False
     n = len(value)
-    return -sum(k / n * math.log2(k / n) for k in Counter(value).values()) >= LIVE_BITS
+    return -sum(k / n * math.log2(k / n) for k in Counter(value).values()) >= min(LIVE_BITS, LIVE_PART * math.log2(n))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,11 +70,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in rest], pa.array(rows, kind)], names=[*rest, "spans"])
 
 
-def _scanned(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str) -> DataFrame:
+def _scanned(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str | None) -> DataFrame:
     """Each row's base spans with the hashes of their values; the text itself is left behind."""
     slim = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), row_hash(docs).alias("mark"),
-        F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), F.col(text_col).alias("text"))
+        F.col(owner_col).cast("string").alias("owner"), (F.lit(None) if repo_col is None else F.col(repo_col)).cast("string").alias("repo"), F.col(text_col).alias("text"))
     return stored(slim.mapInArrow(_scan, f"row long, doc_id long, mark long, owner string, repo string, spans array<{SPAN}>"), "candidates")
 
 
@@ -77,12 +83,13 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
     Partial sums over (value, owner, repository), then (value, owner), then the
     value: a value that a third of all rows holds is a few rows after the first.
-    A repository is named within its owner; null owners count as one owner.
+    A repository is named within its owner; null owners count as one owner, null
+    repositories of an owner as one repository.
     """
     by_repo = candidates.groupBy("vhash", "random", "owner", "repo").agg(F.count("*").alias("n"))
     by_owner = by_repo.groupBy("vhash", "random", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("repos"))
     total = by_owner.groupBy("vhash", "random").agg(F.sum("n").alias("n_found"), F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
-    verdict = F.expr(f"CASE WHEN n_owners >= {COPIED_OWNERS} THEN 'copied' WHEN n_owners = 1 AND random THEN 'live' ELSE 'unclear' END")
+    verdict = F.expr(f"CASE WHEN n_owners >= {COPIED_OWNERS} OR n_repos >= {COPIED_REPOS} THEN 'copied' WHEN random THEN 'live' ELSE 'unclear' END")
     return total.withColumn("verdict", verdict).drop("random")
 
 
@@ -93,14 +100,15 @@ def _judged(rows: DataFrame) -> DataFrame:
     return each.join(stored(ownership(each), "ownership"), "vhash")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
     """``doc_id, base, live, n_copied, n_live, n_unclear``: one row per row of ``docs``.
 
     ``base`` holds the spans of the three patterns, ``live`` the value spans of
-    credentials that one owner alone holds and that look random; both in code
-    points of the whole text, by start, then kind. A null text is empty. Rows
-    that repeat others count as further finds of the same owner. An empty table
-    gives an empty result; columns other than the four named are not shown.
+    credentials that are no copied examples and look random; both in code points
+    of the whole text, by start, then kind. Without ``repo_col`` an owner counts
+    as one repository. A null text is empty. Rows that repeat others count as
+    further finds of the same owner. An empty table gives an empty result;
+    columns other than those named are not shown.
     """
     rows = _scanned(docs, id_col, text_col, owner_col, repo_col)
     return _assembled(rows, _judged(rows))
@@ -116,7 +124,7 @@ def _assembled(rows: DataFrame, judged: DataFrame) -> DataFrame:
         F.expr("coalesce(live, array())").alias("live"), *[F.coalesce(f"n_{v}", F.lit(0)).cast("long").alias(f"n_{v}") for v in ("copied", "live", "unclear")])
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang") -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
     """``docs`` with every live credential's characters replaced by ``*``; copied examples stay.
 
     Lengths and all other columns are unchanged, rows without a live credential

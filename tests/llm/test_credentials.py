@@ -56,6 +56,29 @@ def test_redaction_masks_live_values_only(spark):
     assert credentials.redact(frame).schema == frame.schema
 
 
+def owned(spark, rows):
+    return spark.createDataFrame([(i, f"token={value}", owner, repo) for i, (value, owner, repo) in enumerate(rows)], "doc_id long, text string, source string, repo string")
+
+
+def test_repositories_decide_beside_owners(spark):
+    many = owned(spark, [(COPIED, "a", f"r{i}") for i in range(credentials.COPIED_REPOS)])
+    assert {(r.n_copied, r.n_live) for r in credentials.scan(many, repo_col="repo").collect()} == {(1, 0)}
+    assert credentials.redact(many, repo_col="repo").where("instr(text, '*') > 0").count() == 0
+    few = many.where("doc_id > 0")
+    assert {(r.n_copied, r.n_live) for r in credentials.scan(few, repo_col="repo").collect()} == {(0, 1)}
+    assert {(r.n_copied, r.n_live) for r in credentials.scan(many).collect()} == {(0, 1)}  # one owner, no repositories known
+
+
+def test_two_owners_short_values_and_letters(spark):
+    rows = [(LIVE, "a", None), (LIVE, "b", None), ("x7Kq2mZp", "a", None), ("hT5-vR9w.Lq3", "b", None), ("wJalrXUtnFEMIqKbPxRfiCY", "a", None)]
+    plain_words = [("something", "a", None), ("getAccessToken", "a", None), ("config.session", "b", None), ("aaaaaaa1", "b", None)]
+    frame = owned(spark, rows + plain_words)
+    got = [(r.n_copied, r.n_live, r.n_unclear) for r in credentials.scan(frame).orderBy("doc_id").collect()]
+    assert got == [(0, 1, 0)] * len(rows) + [(0, 0, 1)] * len(plain_words)
+    texts = [r.text for r in credentials.redact(frame).orderBy("doc_id").collect()]
+    assert texts == ["token=" + "*" * len(v) for v, _, _ in rows] + [f"token={v}" for v, _, _ in plain_words]
+
+
 def test_odd_and_empty_tables(spark):
     frame = odd_docs(spark)
     assert credentials.scan(frame).count() == frame.count() == credentials.redact(frame).count()
