@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from silolens.llm.common import fresh, stored
 from silolens.session import small
 
-#: Names above a host that are looked up, itself included.
-MOST_LABELS = 10
-
 
 def host(url: str) -> Column:
     """Lower-case host of an address; null if there is none."""
@@ -43,15 +40,17 @@ def active(visits: DataFrame, listed: DataFrame) -> DataFrame:
 
     Intervals are laid out by month, visits meet those of their month: a host
     that holds a third of all visits spreads over the months it was seen in, and
-    each day of it is one row.
+    each day of it is one row. Parents of a host are looked up to the number of
+    labels of the deepest pattern.
     """
     span = visits.agg(F.max("day")).first()[0]
-    if span is None:
+    deepest = listed.agg(F.max(F.size(F.split("pattern", r"\.")))).first()[0]
+    if span is None or deepest is None:
         return visits.selectExpr("host", "day", "host AS pattern", "day AS since").where("false")
     months = listed.where(F.col("since") <= F.lit(span)).withColumn(
         "month", F.explode(F.sequence(F.trunc("since", "month"), F.trunc(F.least(F.coalesce("until", F.lit(span)), F.lit(span)), "month"), F.expr("interval 1 month"))))
     labels = F.split("host", r"\.")
-    parents = F.expr(f"transform(sequence(1, least(size(l), {MOST_LABELS})), i -> array_join(slice(l, -i, i), '.'))")
+    parents = F.expr(f"transform(sequence(1, least(size(l), {deepest})), i -> array_join(slice(l, -i, i), '.'))")
     asked = visits.withColumn("l", labels).withColumn("pattern", F.explode(F.array_union(F.array("host"), parents))).drop("l").withColumn("month", F.trunc("day", "month"))
     met = asked.join(small(months), ["pattern", "month"]).where("day >= since AND (until IS NULL OR day < until)")
     best = met.groupBy("host", "day").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", "since")).alias("best"))

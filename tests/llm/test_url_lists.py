@@ -50,6 +50,13 @@ def test_against_a_replay(spark, seed):
         assert want is None or got[i].listed_since <= day(when)
 
 
+def test_deep_hosts(spark):
+    parent = ".".join(f"l{i}" for i in range(11)) + ".org"
+    deep = ".".join(f"d{i}" for i in range(115)) + "." + parent
+    found = url_lists.judge(captures(spark, [(f"http://{deep}/", 3), (f"http://x.{parent}/", 3), (f"http://{parent[1:]}/", 3)]), entries(spark, [(parent, 1, "add")]))
+    assert [r.pattern for r in found.orderBy("page_id").collect()] == [parent, parent, None]
+
+
 def test_hosts(spark):
     urls = ["HTTP://User:pw@Example.COM:80/x", "https://h", "ftp://h?x", "no address", "", None, "//h/x", "https:///x"]
     frame = spark.createDataFrame([(u,) for u in urls], "url string")
