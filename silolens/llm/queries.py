@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from silolens.llm import credentials, decision_rules, fixity, hyperplanes, line_blocks, lpf, packing, pieces, simhash, url_lists
+from silolens.llm import credentials, decision_rules, fixity, hyperplanes, line_blocks, line_dedup, lpf, packing, pieces, simhash, url_lists
 from silolens.llm.common import stored, table
 from silolens.session import ship_package
 
@@ -168,3 +169,22 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     entries = days.selectExpr("pattern", "inline(array(struct(d1 AS day, 'add' AS action), struct(date_add(d1, gap) AS day, 'remove' AS action), struct(date_add(d1, gap + again) AS day, 'add' AS action)))")
     found = url_lists.judge(pages, entries)
     return found.selectExpr("page_id", "host", "cast(fetched AS string) AS fetched", "blocked", "pattern", "cast(listed_since AS string) AS listed_since")
+
+
+OP12_SQL = f"""
+WITH each AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+keyed AS (
+    SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{line_dedup.UPPER}', '{line_dedup.LOWER}') AS key FROM each),
+repeated AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+judged AS (SELECT k.doc_id, k.line, k.pos, r.key IS NOT NULL AND k.doc_id <> r.keeper AS dropped FROM keyed k LEFT JOIN repeated r ON r.key = k.key)
+SELECT doc_id, count(*) AS n_lines, cast(count(*) FILTER (dropped) AS bigint) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256 FROM judged GROUP BY doc_id
+"""
+
+
+@query("op12_line_dedup", OP12_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    found = line_dedup.dedup(table(spark, sf, "documents").select("doc_id", "text"))
+    kept = F.when(F.col("keep").isNull(), F.coalesce("text", F.lit(""))).otherwise(line_dedup.apply_keep("text", "keep"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(kept, 256).alias("kept_sha256"))
