@@ -10,8 +10,9 @@ partitions, and only one sum a part meets again under the hash.
 
 Lines to drop are found by joining the stored hashes with the repeated keys.
 Keys with more than 1/``HOT_SHARE`` of all lines are at most ``HOT_SHARE`` and
-are broadcast; every other key is small and joins by shuffle. Per document the
-dropped positions become a keep bitmap, run-length coded. All of it is column
+are broadcast; every other key is small and joins by shuffle, at every size of
+the table. Per document the dropped positions become a keep bitmap, run-length
+coded, which meets its text again by the document's id. All of it is column
 functions.
 """
 
@@ -21,7 +22,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silolens.llm.common import fresh, stored
-from silolens.session import small
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -79,7 +79,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = stored(repeated_keys(hashes, min_docs), "repeated_lines")
     hot = F.col("docs") > hashes.count() / HOT_SHARE
     pairs = ["h1", "h2"]
-    met = hashes.join(F.broadcast(keys.where(hot)), pairs).unionByName(hashes.join(small(keys.where(~hot)), pairs))
+    met = hashes.join(F.broadcast(keys.where(hot)), pairs).unionByName(hashes.join(keys.where(~hot).hint("merge"), pairs))
     gone = met.where(~F.col("doc").eqNullSafe(F.col("keeper")))
     placed = gone.groupBy("doc", "row").agg(F.max("lines").alias("n_lines"), F.array_sort(F.collect_set("pos")).alias("at"))
     # Where a run of dropped lines starts, and the first line past it, both in order.
@@ -105,7 +105,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     held = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken])
     left, right = fresh(held, "_doc"), fresh(held, "_row")
     marks = stored(keep_bitmaps(docs, id_col, text_col, min_chars, min_docs), "keep_bitmaps")
-    marks = small(marks.select(F.col("doc").alias(left), F.col("row").alias(right), "keep"))
+    marks = marks.select(F.col("doc").alias(left), F.col("row").alias(right), "keep").hint("merge")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     on = marks[left].eqNullSafe(held[f"`{id_col}`"]) & (marks[right] == F.xxhash64(text))
     total = F.size(F.split(text, "\n", -1)).cast("long")
