@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silolens.llm import credentials, decision_rules, fixity, hyperplanes, line_blocks, line_dedup, lpf, packing, pieces, simhash, url_lists
+from silolens.llm import credentials, decision_rules, fixity, hyperplanes, line_blocks, line_dedup, lpf, packing, pieces, search, simhash, url_lists
 from silolens.llm.common import stored, table
 from silolens.session import ship_package
 
@@ -188,3 +188,29 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     found = line_dedup.dedup(table(spark, sf, "documents").select("doc_id", "text"))
     kept = F.when(F.col("keep").isNull(), F.coalesce("text", F.lit(""))).otherwise(line_dedup.apply_keep("text", "keep"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(kept, 256).alias("kept_sha256"))
+
+
+OP13_SQL = f"""
+WITH words AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{line_dedup.UPPER}', '{line_dedup.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+asked AS (
+    SELECT item_id, term, count(*) AS repeats FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{line_dedup.UPPER}', '{line_dedup.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+held AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+size AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+corpus AS (SELECT count(*) AS n_docs, cast(sum(n) AS bigint) AS n_terms FROM size),
+scale AS (SELECT doc_id, 75 + (25 * n * n_docs) // n_terms AS m FROM size, corpus),
+weight AS (SELECT term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS bigint) AS w FROM held, corpus WHERE term IN (SELECT term FROM asked) GROUP BY term, n_docs),
+scores AS (
+    SELECT a.item_id, h.doc_id, cast(sum(a.repeats * w.w * ((1000000000 * h.tf) // (1000 * h.tf + 12 * s.m))) AS bigint) AS score
+    FROM asked a JOIN weight w ON w.term = a.term JOIN held h ON h.term = a.term JOIN scale s ON s.doc_id = h.doc_id GROUP BY ALL),
+ranked AS (SELECT *, cast(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS integer) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query("op13_lexical_search", OP13_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    blocks = stored(search.index(docs), "blocks")
+    return search.search(docs, table(spark, sf, "benchmark"), blocks)
