@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silolens.llm import credentials, decision_rules, fixity, hyperplanes, line_blocks, line_dedup, lpf, packing, pieces, search, simhash, url_lists
+from silolens.llm import align, credentials, decision_rules, fixity, hyperplanes, line_blocks, line_dedup, lpf, packing, pieces, search, simhash, url_lists
 from silolens.llm.common import stored, table
 from silolens.session import ship_package
 
@@ -171,6 +171,12 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return found.selectExpr("page_id", "host", "cast(fetched AS string) AS fetched", "blocked", "pattern", "cast(listed_since AS string) AS listed_since")
 
 
+@query("op11_alignment")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    files = [public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken")]
+    return align.align(table(spark, sf, "documents"), *files)
+
+
 OP12_SQL = f"""
 WITH each AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
