@@ -1,7 +1,7 @@
 """Cross-tokenizer alignment in Arrow: flattened lists, segmented sums, hash joins on ends, partial group counts.
 
-Texts are encoded by a byte-level tokenizer (A) and a piece model (B), some MB
-at a time. The id lists are flattened beside the index of their document; token
+Texts are encoded by a byte-level tokenizer (A) and a piece model (B), some
+hundred KB at a time. The id lists are flattened beside the index of their document; token
 lengths in bytes, summed within each document, give every token's end. An Acero
 hash join of the ends on (document, end) finds where tokens of both end
 together: these are the cuts between groups, and the two tokens that end at a
@@ -34,12 +34,16 @@ from silolens.llm.packing import encoder
 from silolens.session import spread
 
 #: Bytes of text that are aligned at once; a longer text is aligned alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Bytes of packed links that are counted or judged at once.
+LINK_BYTES = 1 << 21
 #: Distinct links that a task counts before it passes them on.
-HELD_PAIRS = 1 << 20
+HELD_PAIRS = 1 << 19
 #: Id pairs whose counts are broadcast at once.
 PAIR_BLOCK = 2_000_000
-SUMMARY = "n_a long, n_b long, n_groups long, groups_sha256 string, link_a array<int>, link_b array<int>"
+#: Row groups of the stored links.
+GROUP_BYTES = 16 << 20
+SUMMARY = "n_a long, n_b long, n_groups long, groups_sha256 string, links binary"
 GROUPS = "a_ids array<int>, b_ids array<int>, a_ends array<int>, b_ends array<int>"
 
 
@@ -77,13 +81,11 @@ def coder(vocabulary: str, model: str, ranks: str | None = None) -> Coder:
         piece = pieces.id_to_piece(i)
         bytes_b.append(bytes([int(piece[3:5], 16)]) if pieces.is_byte(i) else piece.replace("▁", " ").encode())
     spelled = [f"{i}{after}".encode() for i in range(max(size, len(bytes_b))) for after in ",|;"]
-    return Coder(_plain_encoder(vocabulary, ranks), pieces, *(pa.array(x, pa.binary()) for x in (bytes_a, bytes_b, spelled)))
+    return Coder(_plain_encoder(own, encoder(vocabulary, ranks)), pieces, *(pa.array(x, pa.binary()) for x in (bytes_a, bytes_b, spelled)))
 
 
-def _plain_encoder(vocabulary: str, ranks: str | None):
+def _plain_encoder(own: Tokenizer, quick):
     """``text -> ids`` where special tokens spelled in a text are ordinary text."""
-    quick = encoder(vocabulary, ranks)
-    own = Tokenizer.from_file(vocabulary)
     special = [t.content for t in own.get_added_tokens_decoder().values()]
     own.encode_special_tokens = True
 
@@ -170,11 +172,12 @@ def _spell(found: Aligned, by: Coder) -> list[str]:
     return [hashlib.sha256(text[s : e - 1]).hexdigest() for s, e in zip(ends, ends[1:])]
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+def _chunks(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows in order, cut so that a column's values stay within ``most`` bytes; a larger value goes alone."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < batch.num_rows:
-        past = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK_BYTES, "right"))
+        past = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right"))
         past = max(past, at + 1)
         yield batch.slice(at, past - at)
         at = past
@@ -192,7 +195,7 @@ def _per_text(docs: DataFrame, id_col: str, text_col: str, schema: str, paths: t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = coder(*paths)
         for batch in batches:
-            for chunk in _chunks(batch):
+            for chunk in _chunks(batch, "text", CHUNK_BYTES):
                 found = align_chunk([t or "" for t in chunk.column("text").to_pylist()], by)
                 yield pa.RecordBatch.from_arrays([chunk.column("doc"), *make(found, by)], names)
 
@@ -222,15 +225,24 @@ def _summary_columns(found: Aligned, by: Coder) -> list[pa.Array]:
     counts = [np.diff(found.a.offsets.to_numpy()), np.diff(found.b.offsets.to_numpy()), found.groups]
     out = [pc.fill_null(_spread_out(pa.array(c.astype(np.int64)), found.whole), 0) for c in counts]
     out.append(pc.fill_null(_spread_out(pa.array(_spell(found, by), pa.string()), found.whole), ""))
-    offsets = pa.array(np.concatenate([[0], np.cumsum(found.groups)]).astype(np.int32))
-    for cut, x in ((found.cut_a, found.a), (found.cut_b, found.b)):
-        linked = pa.ListArray.from_arrays(offsets, x.flatten().take(pa.array(cut)))
-        out.append(pc.fill_null(_spread_out(linked, found.whole), pa.scalar([], pa.list_(pa.int32()))))
-    return out
+    pairs = np.stack([x.flatten().to_numpy()[cut] for cut, x in ((found.cut_a, found.a), (found.cut_b, found.b))], axis=1).astype("<i4")
+    offsets = 8 * np.concatenate([[0], np.cumsum(found.groups)]).astype(np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(found.groups), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(pairs))])
+    return [*out, pc.fill_null(_spread_out(packed, found.whole), b"")]
+
+
+def _links(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, id of A and id of B of every link in a column of packed pairs."""
+    pairs = np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(-1, 2)
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False) // 8
+    return np.repeat(np.arange(len(column)), sizes), pairs[:, 0], pairs[:, 1]
 
 
 def summaries(docs: DataFrame, vocabulary: str, model: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, n_a, n_b, n_groups, groups_sha256, link_a, link_b): counts, digest and linked ids of each text, as :func:`groups`."""
+    """(doc, n_a, n_b, n_groups, groups_sha256, links): counts and digest of each text's :func:`groups`, and its links.
+
+    ``links`` packs the linked ids of A and B as pairs of 32-bit integers.
+    """
     return _per_text(docs, id_col, text_col, SUMMARY, (vocabulary, model, ranks), _summary_columns)
 
 
@@ -246,8 +258,8 @@ def pair_counts(links: DataFrame) -> DataFrame:
         def counted() -> pa.Table:
             return pa.concat_tables(held).group_by(["a", "b"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["a", "b", "n"])
 
-        for batch in batches:
-            a, b = batch.column("link_a").flatten(), batch.column("link_b").flatten()
+        for chunk in (c for batch in batches for c in _chunks(batch, "links", LINK_BYTES)):
+            _, a, b = _links(chunk.column("links"))
             held.append(pa.table({"a": a, "b": b}).group_by(["a", "b"], use_threads=False).aggregate([([], "count_all")]).rename_columns(["a", "b", "n"]))
             if sum(t.num_rows for t in held) > HELD_PAIRS:
                 held = [counted()]
@@ -256,7 +268,7 @@ def pair_counts(links: DataFrame) -> DataFrame:
         if held:
             yield from counted().to_batches()
 
-    sums = links.select("link_a", "link_b").mapInArrow(partial, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    sums = links.select("links").mapInArrow(partial, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     return sums.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("b")))
 
 
@@ -268,12 +280,11 @@ def _judge(links: DataFrame, block: pa.Table) -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts, best = known.value
-        for batch in batches:
-            a, b = batch.column("link_a"), batch.column("link_b")
-            asked = (a.flatten().to_numpy().astype(np.int64) << 32) | b.flatten().to_numpy()
+        for batch in (c for whole in batches for c in _chunks(whole, "links", LINK_BYTES)):
+            doc, a, b = _links(batch.column("links"))
+            asked = (a.astype(np.int64) << 32) | b
             at = np.minimum(np.searchsorted(codes, asked), max(len(codes) - 1, 0))
             met = codes[at] == asked if len(codes) else np.zeros(len(asked), bool)
-            doc = pc.list_parent_indices(a).to_numpy()
             more = {"n_best": np.zeros(batch.num_rows, np.int64), "count_sum": np.zeros(batch.num_rows, np.int64)}
             if len(codes):
                 np.add.at(more["n_best"], doc[met], best[at[met]].astype(np.int64))
@@ -295,7 +306,7 @@ def align(docs: DataFrame, vocabulary: str, model: str, ranks: str | None = None
     Null, empty and irreproducible texts have zeros and an empty digest; rows
     that repeat count as often as they stand.
     """
-    links = stored(summaries(docs, vocabulary, model, ranks, id_col, text_col), "links")
+    links = stored(summaries(docs, vocabulary, model, ranks, id_col, text_col), "links", GROUP_BYTES)
     pairs = stored(pair_counts(links), "pairs")
     blocks = max(1, -(-pairs.count() // pair_block))
     judged = links.withColumns({"n_best": F.lit(0).cast("long"), "count_sum": F.lit(0).cast("long")})
@@ -303,5 +314,5 @@ def align(docs: DataFrame, vocabulary: str, model: str, ranks: str | None = None
         part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(blocks)) == k)
         judged = _judge(judged, part.toArrow())
         if k + 1 < blocks:
-            judged = stored(judged, "judged")
-    return judged.select(F.col("doc").alias(id_col), "n_a", "n_b", "n_groups", F.size("link_a").cast("long").alias("n_links"), "n_best", "count_sum", "groups_sha256")
+            judged = stored(judged, "judged", GROUP_BYTES)
+    return judged.select(F.col("doc").alias(id_col), "n_a", "n_b", "n_groups", F.expr("cast(octet_length(links) div 8 AS long)").alias("n_links"), "n_best", "count_sum", "groups_sha256")

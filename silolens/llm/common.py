@@ -16,10 +16,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, group_bytes: int = 128 << 20) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage and survives lost executors.
+
+    A writing task holds a row group in memory; ``group_bytes`` bounds it.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", group_bytes).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
