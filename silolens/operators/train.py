@@ -1,43 +1,44 @@
 """Local training and federated rounds.
 
-A client is a grouping key. ``fedavg`` mode trains every (client, shard) group
-in its own task: a client larger than ``shard_rows`` is dealt by row hash into
-equal shards that train as sub-participants with their own row counts, so no
-group grows with the data. Sharding is the caller's choice: without ``shard_rows``
-a client above ``GROUP_ROWS`` is refused, never trained in another way. ``fed_sgd`` mode takes one clipped full-batch
-gradient per client and round and has no per-client state at all.
-
-Training rows are laid out by (client, shard) once and reused by every round;
-a round's plan is that table plus the parameters as a closure, so plans do not
-grow with rounds. A round's updates are written to the shared folder: the mean,
-the client losses and the byte counts all read that one table.
+A client is a grouping key. ``fedavg`` mode trains every client in a group of
+its own, in batches of ``batch_size``; a client above ``GROUP_ROWS`` is refused.
+With ``local_steps`` an epoch has that many batches, drawn by row hash, and
+``slices`` above 1 trains the same batches with each client dealt over many
+groups (:mod:`synchronous`): the result does not depend on ``slices``. ``fed_sgd``
+mode takes one clipped full-batch gradient per client and round and has no
+per-client state at all. Nothing follows from the number of rows.
+
+Training rows are laid out by client once and reused by every round; a round's
+plan is that table plus the parameters as a closure, so plans do not grow with
+rounds. A round's updates are written to the run's folder: the mean, the client
+losses and the byte counts all read that one table. A round is committed by the
+row that is written last; a run over a folder that holds committed rounds goes
+on after them.
 """
 
 from __future__ import annotations
 
 import math
 import time
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field, replace
+from collections.abc import Sequence
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silolens.functions import net
-from silolens.functions.hashing import hash_hex, order_word, stream_seed, word
+from silolens.functions.hashing import hash_hex, order_word, stream_seed
 from silolens.operators import gradients
 from silolens.operators.aggregate import aggregate_round, sample_clients
 from silolens.operators.metrics import METRICS, evaluate
 from silolens.operators.privacy import apply_mask, client_masks, mask_pairs, secure_mean
+from silolens.operators.synchronous import ADAM, GROUP_ROWS, adam_step, batch_slot, client_steps, noisy_mean, slot_order  # noqa: F401
 from silolens.session import local_table, scratch_path, small, spread
 
-# Rows of one client that a task may train on without sharding.
-GROUP_ROWS = 2_000_000
-ADAM = (0.9, 0.999, 1e-8)  # fixed values: decay rates and epsilon
-
 
 @dataclass(frozen=True)
 class TrainConfig:
@@ -58,7 +59,8 @@ class TrainConfig:
     secure_aggregation: bool = False
     mask_secret: str = "simulation-only"
     mask_reach: int = 2
-    shard_rows: int | None = None
+    local_steps: int | None = None
+    slices: int = 1
     bytes_per_value: int = 4
     mode: str = "fedavg"
     seed: int = 42
@@ -81,114 +83,77 @@ class FederatedRun:
     seconds: float = 0.0
 
     def round_table(self, spark: SparkSession) -> DataFrame:
-        schema = "round int, n_clients bigint, fit_loss double, comm_bytes bigint, n_rows bigint, loss double, " + ", ".join(
-            f"{m} double" for m in METRICS
-        )
-        return local_table(spark, [tuple(r.get(c.split()[0]) for c in schema.split(", ")) for r in self.rounds], schema)
+        return local_table(spark, [tuple(r.get(c) for c in ROUND_COLUMNS) for r in self.rounds], ROUND_SCHEMA)
 
 
-def with_shards(df: DataFrame, keys: list[str], client: str, shard_rows: int | None, seed: int) -> DataFrame:
-    """Deal each client's rows by hash into ceil(n / shard_rows) shards; ``_order`` fixes the row order.
+ROUND_SCHEMA = "round int, n_clients bigint, fit_loss double, comm_bytes bigint, n_rows bigint, loss double, " + ", ".join(f"{m} double" for m in METRICS)
+ROUND_COLUMNS = [c.split()[0] for c in ROUND_SCHEMA.split(", ")]
 
-    Without ``shard_rows`` every client is one group, and one above ``GROUP_ROWS`` is an error.
-    """
-    digest = hash_hex(seed, "shard", *[F.col(k) for k in keys])
-    if shard_rows is None:
-        large = df.groupBy(client).count().where(F.col("count") > GROUP_ROWS).limit(1).collect()
-        if large:
-            raise ValueError(f"client {large[0][0]} has {large[0][1]} rows, over {GROUP_ROWS}: set shard_rows, or use mode='fed_sgd'")
-        return df.withColumns({"shard": F.lit(0), "_order": order_word(digest)})
-    n_shards = F.ceil(F.count("*") / F.lit(shard_rows)).cast("bigint").alias("_shards")
-    counts = df.groupBy(client).agg(n_shards)
-    return (
-        df.withColumn("_h", digest)
-        .join(small(counts), client)
-        .withColumns({"shard": F.pmod(word(F.col("_h"), 3), F.col("_shards")).cast("int"), "_order": order_word(F.col("_h"))})
-        .drop("_h", "_shards")
-    )
 
+def layout_clients(df: DataFrame, features: Sequence[str], label: str, keys: list[str], client: str, cfg: TrainConfig) -> DataFrame:
+    """Training rows hash-partitioned and sorted by client: every round reads this without a shuffle.
 
-def layout_shards(df: DataFrame, features: Sequence[str], label: str, keys: list[str], client: str, cfg: TrainConfig) -> DataFrame:
-    """Training rows hash-partitioned and sorted by (client, shard): every round reads this without a shuffle."""
+    ``_order`` fixes the order of a client's rows, ``slot`` its batches under ``local_steps``.
+    """
     spark = df.sparkSession
-    sharded = with_shards(df, keys, client, cfg.shard_rows, cfg.seed)
-    groups = sharded.groupBy(client, "shard").agg(F.count("*").alias("n")).count()
-    cores = spark.sparkContext.defaultParallelism
-    ceiling = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores)
+    large = df.groupBy(client).count().where(F.col("count") > GROUP_ROWS).limit(1).collect()
+    if large:
+        raise ValueError(f"client {large[0][0]} has {large[0]['count']} rows, over {GROUP_ROWS}: set local_steps and slices, or use mode='fed_sgd'")
+    digest = order_word(hash_hex(cfg.seed, "shard", *[F.col(f"`{k}`") for k in keys]))
+    slot = batch_slot(keys, cfg.local_steps, cfg.seed) if cfg.local_steps else F.lit(0)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     return (
-        sharded.select(client, "shard", "_order", *[F.col(f"`{c}`").cast("double").alias(c) for c in features], F.col(label).cast("double").alias(label))
-        .repartition(max(1, min(4 * groups, ceiling)), client, "shard")
-        .sortWithinPartitions(client, "shard")
-        .persist(StorageLevel.MEMORY_AND_DISK)
+        df.select(F.col(f"`{client}`"), digest.alias("_order"), slot.alias("slot"), *[F.col(f"`{c}`").cast("double").alias(c) for c in features], F.col(f"`{label}`").cast("double").alias(label))
+        .repartition(parts, client).sortWithinPartitions(client).persist(StorageLevel.MEMORY_AND_DISK)
     )
 
 
+def epoch_batches(n: int, cfg: TrainConfig, epoch: int, order: np.random.Generator, slots: np.ndarray | None = None) -> list[np.ndarray]:
+    """The rows of each batch: runs of a shuffled order, or the slots in the epoch's order, empty ones left out."""
+    if cfg.local_steps is None:
+        return np.split(order.permutation(n), range(cfg.batch_size, n, cfg.batch_size)) if n else []
+    batches = [np.flatnonzero(slots == s) for s in slot_order(cfg.local_steps, epoch, cfg.seed)]
+    return [b for b in batches if len(b)]
+
+
 def adam_epochs(theta: np.ndarray, sizes: Sequence[int], x: np.ndarray, y: np.ndarray, cfg: TrainConfig,
-                stream: tuple) -> tuple[np.ndarray, float]:
+                stream: tuple, slots: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Mini-batch Adam from a fresh state; returns parameters and the last epoch's mean batch loss.
 
     Batch order and noise come from generators seeded by the stream key
-    (seed, round, client, shard), so a retried task repeats itself.
+    (seed, round, client), noise also by the step, so a retried task repeats itself.
     """
     theta = theta.copy()
-    if cfg.local_epochs < 1:
-        return theta, math.nan
     order = np.random.default_rng(stream_seed("order", *stream))
-    noise = np.random.default_rng(stream_seed("noise", *stream))
-    b1, b2, eps = ADAM
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     clip = cfg.clipping_norm if cfg.dp_enabled else None
-    step, loss = 0, math.nan
-    for _ in range(cfg.local_epochs):
-        shuffled = order.permutation(len(x))
+    step, losses = 0, []
+    for epoch in range(cfg.local_epochs):
         losses = []
-        for rows in np.split(shuffled, range(cfg.batch_size, len(x), cfg.batch_size)):
+        for rows in epoch_batches(len(x), cfg, epoch, order, slots):
             xb, yb = x[rows], y[rows]
-            g = net.gradient_sum(theta, sizes, xb, yb, cfg.pos_weight, clip)
-            if cfg.dp_enabled and cfg.clipping_norm * cfg.noise_multiplier > 0:
-                std = cfg.clipping_norm * cfg.noise_multiplier
-                g = g + noise.normal(0.0, std if cfg.noise_scale == "documented" else std / len(rows), g.shape)
-            g /= len(rows)
             step += 1
-            m += (1 - b1) * (g - m)
-            v += (1 - b2) * (g * g - v)
-            theta -= cfg.learning_rate * (m / (1 - b1**step)) / (np.sqrt(v / (1 - b2**step)) + eps)
+            g = noisy_mean(net.gradient_sum(theta, sizes, xb, yb, cfg.pos_weight, clip), len(rows), cfg, *stream, step)
+            theta, m, v = adam_step(theta, m, v, g, step, cfg.learning_rate)
             losses.append(net.mean_log_loss(net.probabilities(theta, sizes, xb), yb))
-        loss = float(np.mean(losses))
-    return theta, loss
+    return theta, float(np.mean(losses)) if losses else math.nan
 
 
-def local_updates(shards: DataFrame, params: Sequence[float], features: Sequence[str], label: str, client: str,
+def local_updates(rows: DataFrame, params: Sequence[float], features: Sequence[str], label: str, client: str,
                   cfg: TrainConfig, round_no: int) -> DataFrame:
-    """One update row per (client, shard): (round, client, shard, n_examples, loss, params)."""
+    """One update row per client: (round, client, n_examples, loss, params), from the laid out rows."""
     theta, sizes, names = np.asarray(params, dtype=np.float64), cfg.sizes(features), list(features)
     net.check_params(params, sizes)
 
-    def train_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_order", kind="stable")
-        x, y = net.complete_rows(rows[names].to_numpy(dtype=np.float64), rows[label].to_numpy(dtype=np.float64))
-        new, loss = adam_epochs(theta, sizes, x, y, cfg, (cfg.seed, round_no, *key))
-        return pd.DataFrame({
-            "round": [round_no], client: [key[0]], "shard": [key[1]], "n_examples": [len(x)], "loss": [loss], "params": [new],
-        })
-
-    kind = shards.schema[client].dataType.simpleString()
-    return shards.groupBy(client, "shard").applyInPandas(
-        train_group, f"round int, `{client}` {kind}, shard int, n_examples bigint, loss double, params array<double>"
-    )
+    def train_group(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("_order", kind="stable")
+        x, y = held[names].to_numpy(dtype=np.float64), held[label].to_numpy(dtype=np.float64)
+        whole = ~(np.isnan(x).any(axis=1) | np.isnan(y))
+        new, loss = adam_epochs(theta, sizes, x[whole], y[whole], cfg, (cfg.seed, round_no, *key), held["slot"].to_numpy()[whole])
+        return pd.DataFrame({"round": [round_no], client: [key[0]], "n_examples": [int(whole.sum())], "loss": [loss], "params": [new]})
 
-
-def merge_shards(updates: DataFrame, client: str = "client_id") -> DataFrame:
-    """One update per client: the n-weighted mean over its shards (the update itself for one shard)."""
-    heads = updates.groupBy("round", client).agg(
-        F.sum(F.col("loss") * F.col("n_examples")).alias("_l"), F.sum("n_examples").alias("n_examples")
-    ).select("round", client, "n_examples", (F.col("_l") / F.col("n_examples")).alias("loss"))
-    long = updates.select("round", client, "n_examples", F.posexplode("params").alias("idx", "v"))
-    means = long.groupBy("round", client, "idx").agg((F.sum(F.col("v") * F.col("n_examples")) / F.sum("n_examples")).alias("v"))
-    vectors = means.groupBy("round", client).agg(F.array_sort(F.collect_list(F.struct("idx", "v"))).alias("p"))
-    return heads.join(vectors, ["round", client]).select(
-        "round", client, "n_examples", "loss", F.transform("p", lambda s: s["v"]).alias("params")
-    )
+    kind = rows.schema[client].dataType.simpleString()
+    return rows.groupBy(client).applyInPandas(train_group, f"round int, `{client}` {kind}, n_examples bigint, loss double, params array<double>")
 
 
 def _param_vector(mean: DataFrame, width: int) -> list[float]:
@@ -282,32 +247,41 @@ def client_evaluate(df: DataFrame, params: Sequence[float], sizes: Sequence[int]
 
 
 def train_federated(train: DataFrame, test: DataFrame, features: Sequence[str], keys: list[str], cfg: TrainConfig,
-                    label: str = "target", client: str = "client_id", client_test: DataFrame | None = None) -> FederatedRun:
+                    label: str = "target", client: str = "client_id", client_test: DataFrame | None = None,
+                    run_path: str | None = None) -> FederatedRun:
     """Rounds of local training and averaging; the model is evaluated on ``test`` after each.
 
     Round 0 is the untrained model. Checkpoints (round, idx, value) of every
-    round, round 0 included, lie under ``checkpoint_path``.
+    round, round 0 included, lie under ``checkpoint_path``. With ``run_path`` the
+    run is kept in that folder: called again over it, with the same settings or
+    more rounds, it takes committed rounds as they are and goes on after the
+    last; a round that was broken off is done anew.
     """
     spark = train.sparkSession
     started = time.time()
     sizes = cfg.sizes(features)
     run = FederatedRun(cfg, sizes, net.init_params(sizes, cfg.seed))
-    run.updates_path, run.checkpoint_path = scratch_path(spark, "updates"), scratch_path(spark, "checkpoints")
+    folder = run_path or scratch_path(spark, "run")
+    run.updates_path, run.checkpoint_path = f"{folder}/updates", f"{folder}/checkpoints"
+    done = committed_rounds(spark, folder, _settings(cfg, features, label)) if run_path else {}
+    run.rounds = [done[r] for r in range(cfg.rounds + 1) if r in done]
+    if done:
+        run.params = load_params(spark, run.checkpoint_path, len(run.rounds) - 1)
     eval_rows = spread(test.select(*[F.col(f"`{c}`") for c in features], label)).persist()
-    if cfg.mode == "fedavg":
-        rows = layout_shards(train, features, label, keys, client, cfg)
-    else:
-        rows = spread(train.select(client, *[F.col(f"`{c}`") for c in features], label)).persist()
-    members = train.select(F.col(client).alias("client_id")).distinct().persist() if cfg.client_fraction < 1.0 else None
+    rows = members = None
+    if len(run.rounds) <= cfg.rounds:
+        rows = _training_rows(train, features, label, keys, client, cfg)
+        members = train.select(F.col(client).alias("client_id")).distinct().persist() if cfg.client_fraction < 1.0 else None
     try:
-        for r in range(cfg.rounds + 1):
+        for r in range(len(run.rounds), cfg.rounds + 1):
             record: dict = {"round": r, "comm_bytes": 0, "n_clients": 0, "fit_loss": None}
             if r:
                 part = _participants(rows, members, cfg, client, r)
-                record.update(_round(part, run, features, label, client, r))
+                record.update(_round(part, run, features, keys, label, client, r))
             save_params(spark, run.params, run.checkpoint_path, r)
             record.update(client_evaluate(eval_rows, run.params, sizes, features, label).first().asDict())
-            run.rounds.append(record)
+            run.rounds.append({c: record.get(c) for c in ROUND_COLUMNS})
+            _commit_round(spark, folder, run.rounds[-1], _settings(cfg, features, label))
         if client_test is not None:
             run.clients = client_evaluate(client_test, run.params, sizes, features, label, by=[client])
     finally:
@@ -318,6 +292,42 @@ def train_federated(train: DataFrame, test: DataFrame, features: Sequence[str],
     return run
 
 
+def _training_rows(train: DataFrame, features: Sequence[str], label: str, keys: list[str], client: str, cfg: TrainConfig) -> DataFrame:
+    if cfg.slices > 1 and not cfg.local_steps:
+        raise ValueError("slices need local_steps: batches that do not depend on where rows lie")
+    if cfg.mode == "fedavg" and cfg.slices == 1:
+        return layout_clients(train, features, label, keys, client, cfg)
+    kept = dict.fromkeys([client, *(keys if cfg.mode == "fedavg" else []), *features, label])
+    return spread(train.select(*[F.col(f"`{c}`") for c in kept])).persist()
+
+
+def _settings(cfg: TrainConfig, features: Sequence[str], label: str) -> str:
+    """What must be equal for a run to go on: all but the number of rounds and how the work is dealt."""
+    kept = {k: v for k, v in asdict(cfg).items() if k not in ("rounds", "slices")}
+    return repr((sorted(kept.items()), list(features), label))
+
+
+def _commit_round(spark: SparkSession, folder: str, record: dict, settings: str) -> None:
+    """The row that makes a round count: written after its updates and parameters."""
+    row = (*[record[c] for c in ROUND_COLUMNS], settings)
+    local_table(spark, [row], f"{ROUND_SCHEMA}, settings string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/rounds/r{record['round']}")
+
+
+def committed_rounds(spark: SparkSession, folder: str, settings: str | None = None) -> dict[int, dict]:
+    """The records of a run's whole rounds, without a gap from round 0 on; of other ``settings`` an error."""
+    try:
+        rows = spark.read.schema(f"{ROUND_SCHEMA}, settings string").parquet(f"{folder}/rounds/*").collect()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    if settings is not None and any(r["settings"] != settings for r in rows):
+        raise ValueError(f"{folder} holds a run with other settings")
+    found = {r["round"]: {c: r[c] for c in ROUND_COLUMNS} for r in rows}
+    whole = next(n for n in range(len(found) + 1) if n not in found)
+    return {n: found[n] for n in range(whole)}
+
+
 def _participants(rows: DataFrame, members: DataFrame | None, cfg: TrainConfig, client: str, r: int) -> DataFrame:
     if members is None:
         return rows
@@ -325,24 +335,26 @@ def _participants(rows: DataFrame, members: DataFrame | None, cfg: TrainConfig,
     return rows.join(small(drawn.select(F.col("client_id").alias(client))), client, "left_semi")
 
 
-def _round(rows: DataFrame, run: FederatedRun, features: Sequence[str], label: str, client: str, r: int) -> dict:
+def _round(rows: DataFrame, run: FederatedRun, features: Sequence[str], keys: list[str], label: str, client: str, r: int) -> dict:
     cfg, spark = run.config, rows.sparkSession
     if cfg.mode == "fed_sgd":
         run.params, n_clients = gradient_round(rows, run.params, features, label, client, cfg, r)
         return {"n_clients": n_clients, "comm_bytes": n_clients * len(run.params) * cfg.bytes_per_value}
     path = f"{run.updates_path}/r{r}"
-    local_updates(rows, run.params, features, label, client, cfg, r).withColumnRenamed(client, "client_id").write.parquet(path)
+    if cfg.slices > 1:
+        made = client_steps(rows, run.params, features, keys, label, client, cfg, r)
+    else:
+        made = local_updates(rows, run.params, features, label, client, cfg, r)
+    made.withColumnRenamed(client, "client_id").write.mode("overwrite").parquet(path)
     updates = spark.read.parquet(path)
     totals = updates.agg(
-        F.countDistinct("client_id").alias("n_clients"),
+        F.count("client_id").alias("n_clients"),
         F.sum(F.col("loss") * F.col("n_examples")).alias("l"), F.sum("n_examples").alias("n"),
     ).first()
     if cfg.secure_aggregation:
-        mean = secure_round(merge_shards(updates), _members(rows, client, r), len(run.params), cfg)
-    elif cfg.weighted:
-        mean = aggregate_round(updates)  # n-weighted over shards equals n-weighted over clients
+        mean = secure_round(updates, _members(rows, client, r), len(run.params), cfg)
     else:
-        mean = aggregate_round(merge_shards(updates), weighted=False)
+        mean = aggregate_round(updates, weighted=cfg.weighted)
     run.params = _param_vector(mean, len(run.params))
     return {
         "n_clients": totals["n_clients"], "fit_loss": totals["l"] / totals["n"],
@@ -352,7 +364,7 @@ def _round(rows: DataFrame, run: FederatedRun, features: Sequence[str], label: s
 
 def save_params(spark: SparkSession, params: Sequence[float], path: str, round_no: int) -> None:
     table = local_table(spark, [(i, float(v)) for i, v in enumerate(params)], "idx int, value double")
-    table.coalesce(1).write.parquet(f"{path}/round={round_no}")
+    table.coalesce(1).write.mode("overwrite").parquet(f"{path}/round={round_no}")
 
 
 def load_params(spark: SparkSession, path: str, round_no: int | None = None) -> list[float]:

@@ -282,13 +282,12 @@ def variants(spark: SparkSession, sf: str) -> DataFrame:
     return report.variant_plan(fx.readings(spark, sf), PLANNED, len(FEATURES))
 
 
-ABLATION = train.TrainConfig(hidden=(8,), rounds=1, local_epochs=1, shard_rows=20_000, noise_multiplier=0.5)
 
 
 @query("r2_ablation")
 def ablation(spark: SparkSession, sf: str) -> DataFrame:
     tr, te = modeling.sides(spark, sf)
-    out = report.run_ablation(tr, te, FEATURES, KEYS, ABLATION, epochs=2, cluster_rounds=2, lime_samples=200)
+    out = report.run_ablation(tr, te, FEATURES, KEYS, modeling.USUAL)
     return out.withColumns({c: F.to_json(c) for c in ("cluster_counts", "shap_importance", "lime_importance")})
 
 

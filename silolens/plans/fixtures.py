@@ -117,8 +117,12 @@ def md5(*parts: str | int) -> str:
     return f"md5(concat_ws(':', {', '.join(str(p) for p in parts)}))"
 
 
+def word(h: str, i: int = 0) -> str:
+    return f"CAST('0x' || substr({h}, {1 + 8 * i}, 8) AS BIGINT)"
+
+
 def uniform(h: str, i: int = 0) -> str:
-    return f"((CAST(CAST('0x' || substr({h}, {1 + 8 * i}, 8) AS BIGINT) AS DOUBLE) + {lit(0.5)}) / {lit(4294967296.0)})"
+    return f"((CAST({word(h, i)} AS DOUBLE) + {lit(0.5)}) / {lit(4294967296.0)})"
 
 
 def gaussian(h: str) -> str:

@@ -209,7 +209,7 @@ def covariance(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- Shapley values --------------------------------------------------------------------------
 
-BACKGROUND = 10
+BACKGROUND = 60
 D4 = len(NUMERIC)
 SAMPLE = f"bg AS (SELECT {K}, x1, x2, x3, x4 FROM feat ORDER BY {fx.key_md5('background')}, {K} LIMIT {BACKGROUND})"
 
@@ -269,7 +269,7 @@ MLP = (6, 8, 4, 1)
 @query("x3b_shapley_mlp")
 def shapley_mlp(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.features(spark, sf)
-    ground = explain.collect_background(rows, FEATURES, KEYS, 20, fx.SEED)
+    ground = explain.collect_background(rows, FEATURES, KEYS, BACKGROUND, fx.SEED)
     score = explain.net_score_fn(net.init_params(MLP, fx.SEED), MLP)
     return explain.long_attributions(explain.shapley_values(rows, score, ground, FEATURES), FEATURES, KEYS)
 
@@ -299,7 +299,7 @@ def additivity(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- local surrogates ------------------------------------------------------------------------
 
-SURROGATE_SAMPLES = 500
+SURROGATE_SAMPLES = 5000
 
 
 @query("x7_lime")
@@ -404,8 +404,8 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 def explain_report(spark: SparkSession, sf: str) -> DataFrame:
     """A trained model's explanation run over every held-out row, summarised per feature."""
     tr, te = modeling.sides(spark, sf)
-    run = train.train_federated(tr, te, FEATURES, KEYS, train.replace(modeling.SMALL, rounds=1, local_epochs=1))
-    tables = report.explain_run(te, tr, run, FEATURES, KEYS, background=20, n_samples=SURROGATE_SAMPLES)
+    run = train.train_federated(tr, te, FEATURES, KEYS, modeling.USUAL)
+    tables = report.explain_run(te, tr, run, FEATURES, KEYS)
     local = explain.global_weights(tables["lime"]).withColumnRenamed("importance", "lime_importance")
     return tables["shap_importance"].withColumnRenamed("importance", "shap_importance").join(local, "feature", "left")
 

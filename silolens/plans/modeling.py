@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silolens.functions import net
-from silolens.operators import baselines, gradients, metrics, train
+from silolens.operators import baselines, gradients, metrics, synchronous, train
 from silolens.operators.aggregate import fedavg
 from silolens.plans import fixtures as fx
 from silolens.plans.fixtures import FEATURES, K, KEYS, LOGIT, NET, r, rounded
 from silolens.plans.registry import query
-from silolens.session import scratch_path
+from silolens.session import local_table, scratch_path
 from silolens.sources import tables
 
 P = len(LOGIT)
@@ -186,15 +186,14 @@ def net_sums(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(gradients.net_gradient_sums(fx.features(spark, sf), LOGIT, (6, 1), FEATURES, clip=CLIP), 4)
 
 
-SMALL = train.TrainConfig(hidden=(16, 8), rounds=2, local_epochs=2, batch_size=64, shard_rows=8_000, seed=fx.SEED)
+USUAL = train.TrainConfig(seed=fx.SEED)  # hidden layers (64, 32), ten rounds of ten epochs, batches of 64
 
 
 @query("d10_fedavg_local_train")
 def local_train(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fx.features(spark, sf)
-    shards = train.layout_shards(rows, FEATURES, "target", KEYS, "client_id", SMALL)
-    start = net.init_params(SMALL.sizes(FEATURES), SMALL.seed)
-    return train.local_updates(shards, start, FEATURES, "target", "client_id", SMALL, 1)
+    rows = train.layout_clients(fx.features(spark, sf), FEATURES, "target", KEYS, "client_id", USUAL)
+    start = net.init_params(USUAL.sizes(FEATURES), USUAL.seed)
+    return train.local_updates(rows, start, FEATURES, "target", "client_id", USUAL, 1)
 
 
 @query("d10b_adam_step", f"""WITH {GRAD} SELECT client_id,
@@ -233,12 +232,23 @@ def _local_sql() -> str:
 START_SQL = [fx.lit(v) for v in net.init_params((6, 1), fx.SEED)]
 
 
-@query("d10c_two_local_steps", f"""WITH {_local_sql()} {' UNION ALL '.join(f"SELECT client_id, n_examples, {i} AS idx, {r(f't{i}', 'value')} FROM s2" for i in range(P))}""")
+TWO_LOCAL_STEPS = f"""WITH {_local_sql()} {' UNION ALL '.join(f"SELECT client_id, n_examples, {i} AS idx, {r(f't{i}', 'value')} FROM s2" for i in range(P))}"""
+
+
+@query("d10c_two_local_steps", TWO_LOCAL_STEPS)
 def two_local_steps(spark: SparkSession, sf: str) -> DataFrame:
     """The training that rounds call, on the layout that SQL can follow: two Adam steps over all rows of a client."""
-    shards = train.layout_shards(fx.features(spark, sf), FEATURES, "target", KEYS, "client_id", LOCAL)
+    rows = train.layout_clients(fx.features(spark, sf), FEATURES, "target", KEYS, "client_id", LOCAL)
     start = net.init_params((6, 1), fx.SEED)
-    out = train.local_updates(shards, start, FEATURES, "target", "client_id", LOCAL, 1)
+    out = train.local_updates(rows, start, FEATURES, "target", "client_id", LOCAL, 1)
+    return rounded(out.select("client_id", "n_examples", F.posexplode("params").alias("idx", "value")))
+
+
+@query("d10d_sliced_local_steps", TWO_LOCAL_STEPS)
+def sliced_local_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """The same two steps with every client dealt over five groups and its optimiser state in a table."""
+    cfg = train.replace(LOCAL, local_steps=1, slices=5)
+    out = synchronous.client_steps(fx.features(spark, sf), net.init_params((6, 1), fx.SEED), FEATURES, KEYS, "target", "client_id", cfg, 1)
     return rounded(out.select("client_id", "n_examples", F.posexplode("params").alias("idx", "value")))
 
 
@@ -255,7 +265,33 @@ def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 @query("d13_baseline_ann")
 def baseline_ann(spark: SparkSession, sf: str) -> DataFrame:
     tr, te = sides(spark, sf)
-    return baselines.central_net(tr, te, FEATURES, KEYS, SMALL, epochs=20, sync_every=10).round_table(spark)
+    return baselines.central_net(tr, te, FEATURES, KEYS, USUAL).round_table(spark)
+
+
+def _central_sql(steps: int) -> str:
+    """An epoch of ``steps`` logistic steps over the batches that row hashes make."""
+    b1, b2, eps = (fx.lit(v) for v in train.ADAM)
+    slot = f"{fx.word(fx.md5(fx.SEED, "'batch'", *KEYS))} % {steps}"
+    views, before = [fx.FEAT, f"slotted AS (SELECT *, {slot} AS slot FROM feat)"], None
+    for n, s in enumerate(synchronous.slot_order(steps, 0, fx.SEED), 1):
+        names = START_SQL if before is None else [f"t{i}" for i in range(P)]
+        batch = f"(SELECT * FROM slotted WHERE slot = {s})" if before is None else f"(SELECT slotted.*, {', '.join(f't{i}' for i in range(P))} FROM slotted CROSS JOIN {before} WHERE slot = {s})"
+        views.append(gradient_view(names, batch, f"cg{n}"))
+        old = ", ".join(f"{fx.lit(0)} AS om{i}, {fx.lit(0)} AS ov{i}, {names[i]} AS ot{i}" if before is None else f"m{i} AS om{i}, v{i} AS ov{i}, t{i} AS ot{i}" for i in range(P))
+        source = f"(SELECT {', '.join(f'avg(g{i}) AS a{i}' for i in range(P))} FROM cg{n}) a CROSS JOIN (SELECT {old}{'' if before is None else f' FROM {before}'}) o"
+        moved = ", ".join(f"{b1} * om{i} + (1 - {b1}) * a{i} AS m{i}, {b2} * ov{i} + (1 - {b2}) * a{i} * a{i} AS v{i}, ot{i}" for i in range(P))
+        step = ", ".join(f"m{i}, v{i}, ot{i} - {fx.lit(LR)} * (m{i} / (1 - {b1} ** {n})) / (sqrt(v{i} / (1 - {b2} ** {n})) + {eps}) AS t{i}" for i in range(P))
+        views.append(f"cs{n} AS (SELECT {step} FROM (SELECT {moved} FROM {source}))")
+        before = f"cs{n}"
+    return f"WITH {', '.join(views)} {' UNION ALL '.join(f"SELECT {i} AS idx, {r(f't{i}', 'value')} FROM {before}" for i in range(P))}"
+
+
+@query("d13b_three_central_steps", _central_sql(3))
+def three_central_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """The steps of the central net, on the layout that SQL can follow: gradients summed over tasks, batches by hash."""
+    rows = fx.features(spark, sf)
+    *_, params = synchronous.central_steps(rows, net.init_params((6, 1), fx.SEED), (6, 1), FEATURES, KEYS, "target", 1, 3, LR, fx.SEED)
+    return rounded(local_table(spark, [(i, v) for i, v in enumerate(params)], "idx int, value double"))
 
 
 @query("d14_baseline_rf")
@@ -294,7 +330,7 @@ def fourier(spark: SparkSession, sf: str) -> DataFrame:
 @query("d16_baseline_comparison")
 def baseline_comparison(spark: SparkSession, sf: str) -> DataFrame:
     tr, te = sides(spark, sf)
-    return baselines.run_baselines(tr, te, FEATURES, KEYS, SMALL, epochs=20, trees=50, n_maps=50, max_depth=12)
+    return baselines.run_baselines(tr, te, FEATURES, KEYS, USUAL)
 
 
 # --- federated runs --------------------------------------------------------------------------
@@ -310,7 +346,7 @@ def global_evaluate(spark: SparkSession, sf: str) -> DataFrame:
 @query("f10_federated_rounds")
 def federated_rounds(spark: SparkSession, sf: str) -> DataFrame:
     tr, te = sides(spark, sf)
-    cfg = train.replace(SMALL, dp_enabled=True, noise_multiplier=0.5)
+    cfg = train.replace(USUAL, dp_enabled=True)
     return train.train_federated(tr, te, FEATURES, KEYS, cfg).round_table(spark)
 
 
@@ -318,7 +354,7 @@ def federated_rounds(spark: SparkSession, sf: str) -> DataFrame:
 def masked_rounds(spark: SparkSession, sf: str) -> DataFrame:
     """Uniform means of masked updates; the same run unmasked differs only by the fixed-point step."""
     tr, te = sides(spark, sf)
-    return train.train_federated(tr, te, FEATURES, KEYS, train.replace(SMALL, secure_aggregation=True)).round_table(spark)
+    return train.train_federated(tr, te, FEATURES, KEYS, train.replace(USUAL, secure_aggregation=True)).round_table(spark)
 
 
 ROUND_LR = 2.0
@@ -343,15 +379,27 @@ START = [fx.lit(v) for v in net.init_params((6, 1), fx.SEED)]
 TWO_ROUNDS = f"{fx.FEAT}, {sgd_round_sql(1, START)}, {sgd_round_sql(2, ['0'] * P)}"
 
 
-@query("f10b_two_gradient_rounds", f"""WITH {TWO_ROUNDS}
+TWO_ROUND_PARAMS = f"""WITH {TWO_ROUNDS}
     {' UNION ALL '.join([f"SELECT 0 AS round, {i} AS idx, {r(v, 'value')}" for i, v in enumerate(START)]
-                        + [f"SELECT {n} AS round, {i} AS idx, {r(f't{i}', 'value')} FROM th{n}" for n in (1, 2) for i in range(P)])}""")
+                        + [f"SELECT {n} AS round, {i} AS idx, {r(f't{i}', 'value')} FROM th{n}" for n in (1, 2) for i in range(P)])}"""
+
+
+@query("f10b_two_gradient_rounds", TWO_ROUND_PARAMS)
 def two_rounds(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.features(spark, sf)
     run = train.train_federated(rows, rows, FEATURES, KEYS, SGD)
     return rounded(spark.read.schema("idx int, value double, round int").parquet(run.checkpoint_path))
 
 
+@query("f10e_resumed_rounds", TWO_ROUND_PARAMS)
+def resumed_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The same two rounds by two runs over one folder: the second goes on after the first one's last round."""
+    rows, folder = fx.features(spark, sf), scratch_path(spark, "resumed")
+    train.train_federated(rows, rows, FEATURES, KEYS, train.replace(SGD, rounds=1), run_path=folder)
+    run = train.train_federated(rows, rows, FEATURES, KEYS, SGD, run_path=folder)
+    return rounded(spark.read.schema("idx int, value double, round int").parquet(run.checkpoint_path))
+
+
 SECURE_SGD = train.replace(SGD, secure_aggregation=True)
 
 

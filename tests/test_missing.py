@@ -1,4 +1,4 @@
-"""Missing features, masks, sharding and the log: cases that the SQL comparison does not show."""
+"""Missing features, masks, large clients and the log: cases that the SQL comparison does not show."""
 
 import numpy as np
 import pytest
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from silolens import session
 from silolens.functions import hashing, net
-from silolens.operators import explain, gradients, privacy, train
+from silolens.operators import explain, gradients, privacy, synchronous, train
 from silolens.session import scratch_path
 from silolens.sources import track
 
@@ -77,13 +77,14 @@ def test_masked_gradient_rounds_follow_plain_ones(spark, hidden):
     assert 0 < gap < 1e-5
 
 
-def test_large_client_is_refused_unless_sharded(spark, monkeypatch):
+def test_large_client_is_refused_unless_sliced(spark, monkeypatch):
     monkeypatch.setattr(train, "GROUP_ROWS", 20)
+    monkeypatch.setattr(synchronous, "GROUP_ROWS", 20)
     table = rows(spark).crossJoin(spark.range(10).withColumnRenamed("id", "copy"))
     cfg = train.TrainConfig(hidden=(), rounds=1, local_epochs=1)
-    with pytest.raises(ValueError, match="shard_rows"):
+    with pytest.raises(ValueError, match="slices"):
         train.train_federated(table, table, NAMES, ["id", "copy"], cfg)
-    assert train.train_federated(table, table, NAMES, ["id", "copy"], train.replace(cfg, shard_rows=20)).rounds[-1]["n_clients"] == 1
+    assert train.train_federated(table, table, NAMES, ["id", "copy"], train.replace(cfg, local_steps=2, slices=8)).rounds[-1]["n_clients"] == 1
 
 
 def test_method_is_the_callers_choice(spark):

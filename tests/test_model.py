@@ -7,12 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from silolens.functions import net
-from silolens.operators import baselines, gradients, metrics, train
+from silolens.operators import baselines, gradients, metrics, synchronous, train
 from silolens.plans import fixtures as fx
 from silolens.plans.fixtures import FEATURES, KEYS
+from silolens.session import scratch_path
 
 SIZES = (3, 4, 2, 1)
-CFG = train.TrainConfig(hidden=(4,), rounds=2, local_epochs=2, batch_size=32, shard_rows=100_000)
+CFG = train.TrainConfig(hidden=(4,), rounds=2, local_epochs=2, batch_size=32)
 
 
 def batch(n=40, d=3, seed=1):
@@ -102,9 +103,9 @@ def test_one_client_equals_local_training(rows):
     cfg = replace(CFG, rounds=1)
     one = rows.withColumn("client_id", F.lit(0))
     got = run(one, cfg).params
-    shards = train.layout_shards(one, FEATURES, "target", KEYS, "client_id", cfg)
-    alone = train.local_updates(shards, net.init_params(cfg.sizes(FEATURES), cfg.seed), FEATURES, "target", "client_id", cfg, 1).collect()
-    shards.unpersist()
+    laid = train.layout_clients(one, FEATURES, "target", KEYS, "client_id", cfg)
+    alone = train.local_updates(laid, net.init_params(cfg.sizes(FEATURES), cfg.seed), FEATURES, "target", "client_id", cfg, 1).collect()
+    laid.unpersist()
     assert len(alone) == 1 and np.allclose(got, alone[0]["params"])
 
 
@@ -125,24 +126,87 @@ def test_masked_rounds_equal_uniform_ones(rows):
     assert np.allclose(masked, plain, atol=1e-4)
 
 
-def test_large_clients_train_in_bounded_shards(spark, rows):
-    cfg = replace(CFG, rounds=1, shard_rows=200)
-    shards = train.with_shards(rows, KEYS, "client_id", cfg.shard_rows, cfg.seed)
-    sizes = [r["count"] for r in shards.groupBy("client_id", "shard").count().collect()]
-    assert sum(sizes) == rows.count() and max(sizes) < 2 * cfg.shard_rows
-    result = run(rows, cfg)
-    assert result.rounds[1]["n_clients"] == 5
-    merged = train.merge_shards(spark.read.parquet(f"{result.updates_path}/r1"))
-    assert merged.count() == 5
-    assert merged.agg(F.sum("n_examples")).first()[0] == rows.count()
+@pytest.mark.parametrize("dp", [False, True])
+def test_slices_do_not_change_training(rows, dp):
+    """A client in one group and the same client dealt over groups, its optimiser state in a table, take the same steps."""
+    cfg = replace(CFG, rounds=2, local_epochs=2, local_steps=3, dp_enabled=dp, noise_multiplier=0.3)
+    whole = run(rows, cfg)
+    for slices in (2, 7):
+        dealt = run(rows.repartition(5), replace(cfg, slices=slices))
+        assert np.abs(np.array(whole.params) - dealt.params).max() < 1e-9
+        for a, b in zip(whole.rounds, dealt.rounds):
+            assert {k: a[k] for k in ("n_clients", "comm_bytes", "n_rows")} == {k: b[k] for k in ("n_clients", "comm_bytes", "n_rows")}
+            assert a["fit_loss"] == pytest.approx(b["fit_loss"], abs=1e-9)
+
+
+def test_slices_need_batches_by_hash(rows):
+    with pytest.raises(ValueError, match="local_steps"):
+        run(rows, replace(CFG, slices=2))
+
+
+def test_batches_without_examples_are_no_steps(spark):
+    names = ["a"]
+    table = spark.createDataFrame([(i, 0, float(i), i % 2) for i in range(6)] + [(9, 1, None, 1)], "id int, client_id int, a double, target int")
+    cfg = replace(CFG, hidden=(), rounds=1, local_epochs=2, local_steps=8)
+    whole = train.train_federated(table, table, names, ["id"], cfg)
+    dealt = train.train_federated(table, table, names, ["id"], replace(cfg, slices=3))
+    assert np.allclose(whole.params, dealt.params, atol=1e-12)
+    ups = spark.read.parquet(f"{dealt.updates_path}/r1").orderBy("client_id").collect()
+    assert [u.n_examples for u in ups] == [6, 0] and ups[1].params == net.init_params((1, 1), cfg.seed)
+
+
+def test_central_steps_do_not_depend_on_partitions(rows, monkeypatch):
+    def trained(n):
+        start = net.init_params((6, 5, 1), 3)
+        *_, last = synchronous.central_steps(rows.repartition(n), start, (6, 5, 1), FEATURES, KEYS, "target", 2, 3, 0.05, 7)
+        return np.array(last)
+
+    one = trained(1)
+    assert np.abs(one - trained(4)).max() < 1e-9
+    monkeypatch.setattr(synchronous, "DRIVER_SUMS", 3)  # sums of many tasks are added up in groups
+    assert np.abs(one - trained(64)).max() < 1e-9
+
+
+def test_central_steps_equal_one_group(spark, rows):
+    """The whole table as one client with the same batches."""
+    cfg = replace(CFG, rounds=1, local_epochs=2, local_steps=4)
+    group = run(rows.withColumn("client_id", F.lit(0)), cfg).params
+    *_, params = synchronous.central_steps(rows, net.init_params(cfg.sizes(FEATURES), cfg.seed), cfg.sizes(FEATURES), FEATURES, KEYS, "target", 2, 4, cfg.learning_rate, cfg.seed)
+    assert np.abs(np.array(group) - params).max() < 1e-9
+
+
+@pytest.mark.parametrize("mode", ["fedavg", "fed_sgd"])
+def test_broken_run_goes_on_after_its_last_whole_round(spark, rows, monkeypatch, mode):
+    cfg = replace(CFG, rounds=4, local_epochs=1, dp_enabled=True, noise_multiplier=0.2, mode=mode, client_fraction=0.6)
+    whole = run(rows, cfg)
+    folder = scratch_path(spark, "broken")
+    commit = train._commit_round
+
+    def breaks(spark_, path, record, settings):
+        if record["round"] == 3:
+            raise RuntimeError("lost")
+        commit(spark_, path, record, settings)
+
+    monkeypatch.setattr(train, "_commit_round", breaks)
+    with pytest.raises(RuntimeError):
+        train.train_federated(rows, rows, FEATURES, KEYS, cfg, run_path=folder)
+    assert sorted(train.committed_rounds(spark, folder)) == [0, 1, 2]  # round 3 left parameters, but no mark
+    monkeypatch.undo()
+    again = train.train_federated(rows, rows, FEATURES, KEYS, cfg, run_path=folder)
+    assert np.allclose(whole.params, again.params, atol=1e-12)
+    assert [r["f1"] for r in again.rounds] == pytest.approx([r["f1"] for r in whole.rounds])
+    done = train.train_federated(rows, rows, FEATURES, KEYS, cfg, run_path=folder)
+    assert done.rounds == again.rounds and done.params == again.params
+    with pytest.raises(ValueError, match="other settings"):
+        train.train_federated(rows, rows, FEATURES, KEYS, replace(cfg, learning_rate=0.5), run_path=folder)
 
 
 def test_rounds_are_laid_out_once(rows):
-    shards = train.layout_shards(rows, FEATURES, "target", KEYS, "client_id", CFG)
-    shards.count()
-    plan = train.local_updates(shards, net.init_params(CFG.sizes(FEATURES), 1), FEATURES, "target", "client_id", CFG, 1)
+    laid = train.layout_clients(rows, FEATURES, "target", KEYS, "client_id", CFG)
+    laid.count()
+    plan = train.local_updates(laid, net.init_params(CFG.sizes(FEATURES), 1), FEATURES, "target", "client_id", CFG, 1)
     text = plan._jdf.queryExecution().executedPlan().toString()
-    shards.unpersist()
+    laid.unpersist()
     assert "Exchange" not in text.split("InMemoryRelation")[0] and "Sort" not in text.split("InMemoryTableScan")[0]
 
 
@@ -181,7 +245,7 @@ def test_held_vectors_are_flushed(rows, monkeypatch):
 
 
 def test_central_net_learns(rows):
-    got = baselines.central_net(rows, rows, FEATURES, KEYS, replace(CFG, hidden=(16, 8)), epochs=10, sync_every=10)
+    got = baselines.central_net(rows, rows, FEATURES, KEYS, replace(CFG, hidden=(16, 8)), epochs=10)
     assert got.rounds[-1]["accuracy"] >= 0.97
 
 
