@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from silolens.functions.hashing import gaussian, hash_hex, uniform
 from silolens.operators.hashcut import bucket_counts, cut_at, cut_by_hash, hash_rank
-from silolens.session import SMALL_ROWS, bounded_rows, local_table
+from silolens.session import SMALL_ROWS, bounded_rows, cut_lineage, local_table
 
 
 def largest_remainder(counts: DataFrame, by: list[str], label: str, want: Column, n: str = "n", total: str = "total",
@@ -172,30 +172,85 @@ def partition_iid(df: DataFrame, n_clients: int, label: str, keys: list[str], se
     return cut_by_hash(df, local_table(df.sparkSession, cuts, schema), [label], keys, seed, "iid", out="client_id")
 
 
-def dirichlet_shares(classes: list, n_clients: int, alpha: float, seed: int) -> dict:
-    """One Dirichlet draw per class, in class order."""
-    rng = np.random.default_rng(seed)
-    return {c: [float(s) for s in rng.dirichlet(np.full(n_clients, alpha))] for c in sorted(classes)}
+#: Draws of a gamma value; the chance that all are rejected is below 1e-15, and the mode stands in then.
+GAMMA_DRAWS = 12
+UNIT = 1 << 30
+#: Clients whose sizes are summed up in one window.
+CLIENT_BUCKET = 4096
 
 
-def dirichlet_sizes(counts: dict, n_clients: int, alpha: float, seed: int) -> dict:
-    """Rows per (class, client): floors of the shares, the rounding rest to client 0."""
-    sizes = {}
-    for c, shares in dirichlet_shares(list(counts), n_clients, alpha, seed).items():
-        whole = [math.floor(s * counts[c]) for s in shares]
-        whole[0] += counts[c] - sum(whole)
-        sizes[c] = whole
-    return sizes
+def gamma_units(alpha: float, seed: int, label: str, client: str) -> Column:
+    """A Gamma(``alpha``) value of (label, client) in whole units, 1 at least.
+
+    Rejection with a hash counter: draw k takes its normal and its uniform from
+    the hash of (label, client, k); the first accepted draw counts.
+    """
+    shape = alpha if alpha >= 1 else alpha + 1
+    d = shape - 1 / 3
+    c = 1 / math.sqrt(9 * d)
+    key = [F.col(f"`{label}`"), F.col(client)]
+
+    def draw(k: Column) -> Column:
+        digest = hash_hex(seed, "gamma", *key, k)
+        return F.struct(gaussian(digest).alias("x"), F.log(uniform(digest, 2)).alias("u"))
+
+    def cubed(s: Column) -> Column:
+        return F.struct(s["x"].alias("x"), s["u"].alias("u"), F.pow(F.lit(1.0) + F.lit(c) * s["x"], F.lit(3.0)).alias("v"))
+
+    def accepted(s: Column) -> Column:
+        return (s["v"] > 0) & (s["u"] < F.lit(0.5) * s["x"] * s["x"] + F.lit(d) - F.lit(d) * s["v"] + F.lit(d) * F.log(s["v"]))
+
+    draws = F.transform(F.transform(F.sequence(F.lit(0), F.lit(GAMMA_DRAWS - 1)), draw), cubed)
+    value = F.lit(d) * F.coalesce(F.get(F.filter(draws, accepted), F.lit(0))["v"], F.lit(1.0))
+    if alpha < 1:
+        value = value * F.pow(uniform(hash_hex(seed, "boost", *key)), F.lit(1 / alpha))
+    return F.floor(value * F.lit(float(UNIT))).cast("bigint") + F.lit(1)
+
+
+def dirichlet_sizes(spark: SparkSession, counts: dict, n_clients: int, alpha: float, seed: int, label: str, kind: str) -> DataFrame:
+    """(label, client_id, units, size): each class's rows dealt by its own Dirichlet shares.
+
+    Shares are units over the class's units, sizes their floors in exact
+    integers; the rounding rest goes to client 0. Clients are rows: none passes
+    through the driver.
+    """
+    classes = F.explode(F.array(*[F.struct(F.lit(c).cast(kind).alias(label), F.lit(n).cast("bigint").alias("_n")) for c, n in counts.items()]))
+    drawn = spark.range(n_clients).select(F.col("id").cast("int").alias("client_id"), classes.alias("_c")).select("client_id", "_c.*")
+    drawn = cut_lineage(drawn.withColumn("units", gamma_units(alpha, seed, label, "client_id")), "dirichlet")
+    totals = drawn.groupBy(label).agg(F.sum("units").cast("decimal(19,0)").alias("_all"))  # a row a class
+    product = F.col("_n").cast("decimal(19,0)") * F.col("units").cast("decimal(19,0)")
+    floors = drawn.withColumn("_product", product).join(F.broadcast(totals), label).withColumn("size", F.expr("_product div _all"))
+    rest = floors.groupBy(label).agg((F.first("_n") - F.sum("size")).alias("_rest"))
+    first = F.when(F.col("client_id") == 0, F.col("_rest")).otherwise(F.lit(0))
+    return floors.join(F.broadcast(rest), label).select(F.col(f"`{label}`"), "client_id", "units", (F.col("size") + first).alias("size"))
+
+
+def running_sizes(sizes: DataFrame, label: str) -> DataFrame:
+    """``sizes`` with ``upto``: rows of the class dealt to clients up to this one.
+
+    Sums of client buckets first, then within a bucket: no window holds more
+    than ``CLIENT_BUCKET`` clients or a class's buckets.
+    """
+    dealt = sizes.withColumn("_bucket", F.floor(F.col("client_id") / F.lit(CLIENT_BUCKET)).cast("bigint"))
+    sums = dealt.groupBy(label, "_bucket").agg(F.sum("size").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(label).orderBy("_bucket")) - F.col("_size")
+    inside = F.sum("size").over(Window.partitionBy(label, "_bucket").orderBy("client_id"))
+    offsets = sums.select(F.col(f"`{label}`"), "_bucket", before.alias("_before"))
+    return dealt.withColumn("_inside", inside).join(offsets, [label, "_bucket"]).withColumn("upto", F.col("_before") + F.col("_inside")).drop("_before", "_inside", "_bucket")
 
 
 def partition_dirichlet(df: DataFrame, n_clients: int, alpha: float, label: str, keys: list[str],
                         seed: int = 42) -> DataFrame:
     """Clients with skewed class mixes: each class is dealt by its own Dirichlet shares."""
-    sizes = dirichlet_sizes(_class_counts(df, label), n_clients, alpha, seed)
-    _no_empty_clients([sum(col) for col in zip(*sizes.values())])
-    schema = f"`{label}` {df.schema[label].dataType.simpleString()}, cut bigint, need bigint"
-    cuts = [(c, i, int(upto)) for c, s in sizes.items() for i, upto in enumerate(np.cumsum(s)[:-1])]
-    return cut_by_hash(df, local_table(df.sparkSession, cuts, schema), [label], keys, seed, "dirichlet", out="client_id")
+    kind = df.schema[label].dataType.simpleString()
+    sizes = cut_lineage(dirichlet_sizes(df.sparkSession, _class_counts(df, label), n_clients, alpha, seed, label, kind), "sizes")
+    empty = sizes.groupBy("client_id").agg(F.sum("size").alias("n")).where("n = 0").orderBy("client_id")
+    some = [r["client_id"] for r in empty.limit(20).collect()]
+    if some:
+        raise ValueError(f"{empty.count()} clients would receive no rows: {some}")
+    ends = running_sizes(sizes, label).where(F.col("client_id") < n_clients - 1)
+    cuts = ends.select(F.col(f"`{label}`"), F.col("client_id").alias("cut"), F.col("upto").alias("need"))
+    return cut_by_hash(df, cuts, [label], keys, seed, "dirichlet", out="client_id")
 
 
 def partition_rows(df: DataFrame, strategy: str, n_clients: int, label: str, keys: list[str], alpha: float = 0.5,

@@ -81,17 +81,22 @@ def _gradient(theta: np.ndarray, sizes: Sequence[int], x: np.ndarray, y: np.ndar
     return total
 
 
-def _batches(rows: DataFrame, steps: int, name: str) -> list[DataFrame]:
-    """The rows of each slot: written once by slot, so that a step lists and reads its own folder only."""
+def _batches(rows: DataFrame, steps: int, name: str, by: Sequence[str] = ()) -> list[DataFrame]:
+    """The rows of each slot, dealt ``by`` the given columns: a step lists and reads its own folder only.
+
+    Written once by slot, in files of a size that suits a task.
+    """
     spark = rows.sparkSession
     path = scratch_path(spark, name)
-    rows.write.partitionBy("slot").parquet(path)
+    rows.hint("rebalance", F.col("slot")).write.partitionBy("slot").parquet(path)
     schema = rows.drop("slot").schema
     present = {r[0] for r in spark.read.parquet(path).select("slot").distinct().collect()}  # ``steps`` values at most
-    return [
-        spark.read.schema(schema).parquet(f"{path}/slot={s}").persist(StorageLevel.MEMORY_AND_DISK) if s in present else local_table(spark, [], schema)
-        for s in range(steps)
-    ]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = []
+    for s in range(steps):
+        held = spark.read.schema(schema).parquet(f"{path}/slot={s}") if s in present else local_table(spark, [], schema)
+        out.append((held.repartition(parts, *by) if by else held).persist(StorageLevel.MEMORY_AND_DISK))
+    return out
 
 
 def _examples(df: DataFrame, features: Sequence[str], label: str) -> list[Column]:
@@ -170,7 +175,7 @@ def client_steps(train: DataFrame, params: Sequence[float], features: Sequence[s
     large = rows.groupBy(client, "slice", "slot").count().where(F.col("count") > GROUP_ROWS).limit(1).collect()
     if large:
         raise ValueError(f"a slice of client {large[0][0]} holds {large[0]['count']} rows of a batch, over {GROUP_ROWS}: raise slices or local_steps")
-    batches = _batches(rows, cfg.local_steps, "client_batches")
+    batches = _batches(rows, cfg.local_steps, "client_batches", [client, "slice"])
 
     state_schema = StructType([owner, *[StructField(c, VECTOR) for c in ("theta", "m", "v")], StructField("step", IntegerType())])
     zeros = F.array_repeat(F.lit(0.0), len(params))

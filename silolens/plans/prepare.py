@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -204,16 +206,27 @@ def iid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ALPHA = 0.5
-SHARES = split.dirichlet_shares([0, 1], N_CLIENTS, ALPHA, fx.SEED)
-SIZE_ROWS = " UNION ALL ".join(
-    f"SELECT {c} AS target, {i} AS cid, {fx.lit(s)} AS share" for c, shares in SHARES.items() for i, s in enumerate(shares)
-)
 
 
-@query("c8_partition_dirichlet", f"""WITH {fx.READINGS}, n AS (SELECT target, count(*) AS n FROM readings GROUP BY target),
-    shares AS ({SIZE_ROWS}),
-    fl AS (SELECT shares.target, cid, n, CAST(floor(share * n) AS BIGINT) AS base FROM shares JOIN n ON shares.target = n.target),
-    sz AS (SELECT target, cid, base + CASE WHEN cid = 0 THEN n - sum(base) OVER (PARTITION BY target) ELSE 0 END AS size FROM fl),
+def dirichlet_sql(n_clients: int, source: str = "readings") -> str:
+    """Views ``un`` (target, cid, units) and ``sz`` (target, cid, n, size): gamma values by rejection, floors of shares, the rest to client 0."""
+    shape = ALPHA + 1
+    d = fx.lit(shape - 1 / 3)
+    c = fx.lit(1 / math.sqrt(9 * (shape - 1 / 3)))
+    draw = fx.md5(fx.SEED, "'gamma'", "target", "cid", "k")
+    boost = fx.uniform(fx.md5(fx.SEED, "'boost'", "target", "cid"))
+    return f"""n AS (SELECT target, count(*) AS n FROM {source} GROUP BY target),
+    cl AS (SELECT target, n, cid FROM n, (SELECT unnest(range(0, {n_clients})) AS cid)),
+    dr AS (SELECT target, n, cid, k, {draw} AS h FROM cl, (SELECT unnest(range(0, {split.GAMMA_DRAWS})) AS k)),
+    xu AS (SELECT target, n, cid, k, {fx.gaussian('h')} AS x, ln({fx.uniform('h', 2)}) AS u FROM dr),
+    vs AS (SELECT *, pow(1 + {c} * x, 3) AS v FROM xu),
+    ok AS (SELECT target, cid, any_value(n) AS n, min_by(v, k) FILTER (v > 0 AND u < {fx.lit(0.5)} * x * x + {d} - {d} * v + {d} * ln(CASE WHEN v > 0 THEN v ELSE 1 END)) AS v FROM vs GROUP BY target, cid),
+    un AS (SELECT target, cid, n, CAST(floor({d} * coalesce(v, 1) * pow({boost}, {fx.lit(1 / ALPHA)}) * {fx.lit(float(split.UNIT))}) AS BIGINT) + 1 AS units FROM ok),
+    fl AS (SELECT *, CAST((CAST(n AS HUGEINT) * units) // sum(units) OVER (PARTITION BY target) AS BIGINT) AS base FROM un),
+    sz AS (SELECT target, cid, units, base + CASE WHEN cid = 0 THEN n - sum(base) OVER (PARTITION BY target) ELSE 0 END AS size FROM fl)"""
+
+
+@query("c8_partition_dirichlet", f"""WITH {fx.READINGS}, {dirichlet_sql(N_CLIENTS)},
     ends AS (SELECT target, cid, sum(size) OVER (PARTITION BY target ORDER BY cid) AS upto, size FROM sz),
     rk AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY {fx.key_md5('dirichlet')}, {K}) AS rn FROM readings)
     SELECT {', '.join('rk.' + k for k in KEYS)}, rk.target, CAST(ends.cid AS INTEGER) AS client_id
@@ -223,6 +236,18 @@ def dirichlet(spark: SparkSession, sf: str) -> DataFrame:
     return split.partition_rows(rows, "non_iid", N_CLIENTS, "target", KEYS, ALPHA, fx.SEED)
 
 
+MANY_CLIENTS = 200_000
+
+
+@query("c8b_dirichlet_sizes", f"""WITH {fx.READINGS}, {dirichlet_sql(MANY_CLIENTS)}
+    SELECT target, CAST(cid AS INTEGER) AS client_id, units, CAST(size AS BIGINT) AS size, CAST(sum(size) OVER (PARTITION BY target ORDER BY cid) AS BIGINT) AS upto FROM sz""")
+def dirichlet_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of 200,000 clients, and the rows of a class dealt up to each."""
+    rows = fx.readings(spark, sf).select("target")
+    counts = split._class_counts(rows, "target")
+    return split.running_sizes(split.dirichlet_sizes(spark, counts, MANY_CLIENTS, ALPHA, fx.SEED, "target", rows.schema["target"].dataType.simpleString()), "target")
+
+
 @query("c9_client_split", f"WITH {fx.CLIENT_SPLIT} SELECT {K}, client_id, target, split FROM client_rows")
 def per_client_split(spark: SparkSession, sf: str) -> DataFrame:
     return client_rows(spark, sf).select(*KEYS, "client_id", "target", "split")

@@ -245,7 +245,7 @@ def test_held_vectors_are_flushed(rows, monkeypatch):
 
 
 def test_central_net_learns(rows):
-    got = baselines.central_net(rows, rows, FEATURES, KEYS, replace(CFG, hidden=(16, 8)), epochs=10)
+    got = baselines.central_net(rows, rows, FEATURES, KEYS, replace(CFG, hidden=(16, 8)), epochs=10, steps=64)
     assert got.rounds[-1]["accuracy"] >= 0.97
 
 

@@ -98,9 +98,9 @@ def test_iid_paths_agree(spark, monkeypatch):
 
 def test_every_row_gets_one_client(spark):
     got = split.partition_rows(table(spark), "non_iid", 4, "target", ["id"], alpha=0.8)
-    sizes = split.dirichlet_sizes({0: 1930, 1: 70}, 4, 0.8, 42)
+    sizes = {(r.target, r.client_id): r.size for r in split.dirichlet_sizes(spark, {0: 1930, 1: 70}, 4, 0.8, 42, "target", "int").collect()}
     counts = {(r["target"], r["client_id"]): r["count"] for r in got.groupBy("target", "client_id").count().collect()}
-    assert counts == {(c, i): n for c, s in sizes.items() for i, n in enumerate(s) if n}
+    assert counts == {k: n for k, n in sizes.items() if n}
     assert sum(counts.values()) == 2000
 
 
@@ -128,3 +128,30 @@ def test_labelling_rows_needs_no_shuffle(spark):
     got = split.stratified_split(table(spark), "target", ["id"], test_fraction=0.2)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" in plan and "hashpartitioning" not in plan and "rangepartitioning" not in plan
+
+
+@pytest.mark.parametrize("alpha", [0.3, 0.5, 1.0, 4.0])
+def test_hash_gammas_have_the_moments_of_gammas(spark, alpha):
+    rows = spark.range(40_000).selectExpr("cast(id AS int) AS client_id", "0 AS target")
+    value = split.gamma_units(alpha, 7, "target", "client_id") / split.UNIT
+    mean, var, low = rows.select(value.alias("g")).selectExpr("avg(g)", "var_pop(g)", "min(g)").first()
+    assert mean == pytest.approx(alpha, rel=0.03) and var == pytest.approx(alpha, rel=0.08) and low > 0
+
+
+def test_running_sizes_past_one_bucket(spark, monkeypatch):
+    monkeypatch.setattr(split, "CLIENT_BUCKET", 7)
+    sizes = split.dirichlet_sizes(spark, {0: 5000, 1: 3}, 50, 0.5, 9, "target", "int")
+    got = {}
+    for r in split.running_sizes(sizes, "target").orderBy("target", "client_id").collect():
+        got.setdefault(r.target, []).append((r.size, r.upto))
+    for target, n in ((0, 5000), (1, 3)):
+        total = 0
+        for size, upto in got[target]:
+            total += size
+            assert upto == total and size >= 0
+        assert total == n and len(got[target]) == 50
+
+
+def test_empty_clients_are_named(spark):
+    with pytest.raises(ValueError, match="would receive no rows"):
+        split.partition_rows(table(spark, 10, 2), "non_iid", 30, "target", ["id"])
