@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from silolens.functions.hashing import uniform_value
 from silolens.functions.text import ident, squares, weighted
@@ -59,6 +59,70 @@ def client_partials(assigned: DataFrame, features: Sequence[str], client: str =
     return assigned.groupBy(client, "cluster").agg(F.count("*").alias("n"), *sums)
 
 
+def _stacked(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float64)
+
+
+def _usable(df: DataFrame, vector: str, d: int) -> DataFrame:
+    """Rows whose vector has ``d`` finite components: the others belong to no cluster and no moment."""
+    finite = F.forall(F.col(f"`{vector}`"), lambda v: v.isNotNull() & (F.abs(v.cast("double")) < F.lit(math.inf)))
+    return df.where((F.size(F.col(f"`{vector}`")) == d) & finite)
+
+
+def vector_partials(df: DataFrame, centroids: Centroids, vector: str, client: str = "client_id") -> DataFrame:
+    """(client, cluster, n, sums): the partials of a wide array column, rows assigned and summed in Arrow batches.
+
+    A task ships one array for each client and cluster of a batch; they are
+    added up by client, cluster and position. Vectors that are null, of another
+    length or not finite are left out.
+    """
+    centers = np.asarray(centroids, dtype=np.float64)
+    k, d = centers.shape
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = _stacked(batch["_x"])
+            nearest = np.stack([((x - c) ** 2).sum(axis=1) for c in centers], axis=1).argmin(axis=1)
+            owners, codes = np.unique(batch[client].to_numpy(), return_inverse=True)
+            cells, back = np.unique(codes * k + nearest, return_inverse=True)
+            sums = np.zeros((len(cells), d))
+            np.add.at(sums, back, x)
+            yield pd.DataFrame({client: owners[cells // k], "cluster": (cells % k).astype(np.int32), "n": np.bincount(back), "sums": list(sums)})
+
+    owner = StructField(client, df.schema[client].dataType)
+    schema = StructType([owner, StructField("cluster", IntegerType()), StructField("n", LongType()), StructField("sums", ArrayType(DoubleType()))])
+    parts = spread(_usable(df, vector, d).select(F.col(f"`{client}`"), F.col(f"`{vector}`").alias("_x"))).mapInPandas(partial, schema)
+    each = parts.select(client, "cluster", "n", F.posexplode("sums").alias("i", "s")).groupBy(client, "cluster", "i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", "s")))
+    return each.groupBy(client, "cluster").agg(F.max("n").alias("n"), F.transform(ordered, lambda e: e["s"]).alias("sums"))
+
+
+def pool_vectors(partials: DataFrame, centroids: Centroids) -> DataFrame:
+    """(cluster, n, center): pooled means; an empty cluster keeps its old centroid."""
+    old = local_table(partials.sparkSession, [(i, [float(v) for v in c]) for i, c in enumerate(centroids)], "cluster int, old array<double>")
+    each = partials.select("cluster", "n", F.posexplode("sums").alias("i", "s")).groupBy("cluster", "i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", (F.col("s") / F.col("n")).alias("v"))))
+    means = each.groupBy("cluster").agg(F.max("n").alias("n"), F.transform(ordered, lambda e: e["v"]).alias("center"))
+    return old.join(means, "cluster", "left").select("cluster", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("center", "old").alias("center"))
+
+
+def fit_vectors(df: DataFrame, centroids: Centroids, vector: str, rounds: int, client: str = "client_id") -> tuple[Centroids, list[float]]:
+    """:func:`fit` over a wide array column."""
+    wanted = spread(df.select(F.col(f"`{client}`"), F.col(f"`{vector}`"))).persist()
+    moves = []
+    try:
+        for _ in range(rounds):
+            rows = pool_vectors(vector_partials(wanted, centroids, vector, client), centroids).collect()
+            new = [[float(v) for v in r["center"]] for r in sorted(rows, key=lambda r: r["cluster"])]
+            moves.append(movement(centroids, new))
+            centroids = new
+    finally:
+        wanted.unpersist()
+    return centroids, moves
+
+
 def pool(partials: DataFrame, centroids: Centroids) -> DataFrame:
     """(cluster, n, c0..): pooled means; an empty cluster keeps its old centroid.
 
@@ -159,10 +223,65 @@ def principal_axes(df: DataFrame, features: Sequence[str], k: int = 2) -> tuple[
     for r in covariance(df, features).collect():
         matrix[r["i"], r["j"]] = matrix[r["j"], r["i"]] = r["cov"]
     means = df.agg(*[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(features)]).first()
-    _, vectors = np.linalg.eigh(matrix)
+    return [float(m) for m in means], leading_axes(matrix, k).tolist()
+
+
+#: Components up to which a vector's whole moment matrix is summed.
+WIDE = 2_000
+#: Rows of a moment matrix that one row of partial sums holds.
+BLOCK = 64
+
+
+def vector_moments(df: DataFrame, vector: str, d: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, mean and population covariance of ``d`` components: each task sums x and x'x, in blocks of rows that Spark adds up.
+
+    Vectors that are null, of another length or not finite are left out. The
+    driver receives d x d numbers.
+    """
+    if d > WIDE:
+        raise ValueError(f"{d} components have {d * d} moments; at most {WIDE} components are supported")
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, gram = 0, np.zeros((d + 1, d + 1))
+        for batch in batches:
+            if len(batch):
+                x = np.column_stack([np.ones(len(batch)), _stacked(batch["_x"])])
+                n, gram = n + len(x), gram + x.T @ x
+        if n:
+            yield pd.DataFrame({"block": range(0, d + 1, BLOCK), "sums": [gram[i : i + BLOCK].ravel() for i in range(0, d + 1, BLOCK)]})
+
+    def add(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [key[0]], "sums": [np.sum(np.stack(parts["sums"].to_numpy()), axis=0)]})
+
+    schema = "block int, sums array<double>"
+    tasks = spread(_usable(df, vector, d).select(F.col(f"`{vector}`").alias("_x"))).mapInPandas(partial, schema)
+    rows = sorted(tasks.groupBy("block").applyInPandas(add, schema).collect())
+    if not rows:
+        raise ValueError("no row has a usable vector")
+    gram = np.concatenate([np.asarray(r["sums"]).reshape(-1, d + 1) for r in rows])
+    n, mean = int(gram[0, 0]), gram[0, 1:] / gram[0, 0]
+    return n, mean, gram[1:, 1:] / n - np.outer(mean, mean)
+
+
+def leading_axes(covariances: np.ndarray, k: int) -> np.ndarray:
+    """The k axes of largest variance as rows, each with its largest loading positive."""
+    _, vectors = np.linalg.eigh(covariances)
     axes = vectors[:, ::-1][:, :k].T
-    signs = np.sign(axes[np.arange(k), np.abs(axes).argmax(axis=1)])
-    return [float(m) for m in means], (axes * signs[:, None]).tolist()
+    return axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
+
+
+def project_vectors(df: DataFrame, mean: np.ndarray, axes: np.ndarray, vector: str, keep: Sequence[str]) -> DataFrame:
+    """Centred vectors on the axes as an array ``pcs``, in Arrow batches; null where the vector is not usable."""
+    d = len(mean)
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(list((_stacked(batch) - mean) @ axes.T) if len(batch) else [], dtype=object)
+
+    usable = spread(_usable(df, vector, d)).select(*keep, scores(F.col(f"`{vector}`")).alias("pcs"))
+    rest = df.join(usable.select(*keep), list(keep), "left_anti").select(*keep, F.lit(None).cast("array<double>").alias("pcs"))
+    return usable.unionByName(rest)
 
 
 def project(df: DataFrame, means: Sequence[float], axes: Centroids, features: Sequence[str], keep: Sequence[str]) -> DataFrame:

@@ -248,6 +248,19 @@ def latest_experiments(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(track.latest_experiments(log, 5))
 
 
+@query("a8b_latest_runs", f"""WITH {fx.UPDATES} SELECT 'update' AS mode, CAST(client_id AS VARCHAR) AS name, max(printf('%03d_%08d', round, client_id)) AS experiment_id,
+    max_by(n_examples, round) AS n_examples, {r('max_by(loss, round)', 'loss')} FROM upd GROUP BY client_id""")
+def latest_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Each client's newest run, from a log whose runs were appended round by round under different columns."""
+    path = scratch_path(spark, "log")
+    ups = fx.updates(spark, sf).select(
+        F.format_string("%03d_%08d", "round", "client_id").alias("experiment_id"), F.col("client_id").cast("string").alias("name"),
+        F.lit("update").alias("mode"), "n_examples", "loss", (F.col("round") % 2).alias("odd"))
+    track.append_log(ups.where("odd = 0").drop("odd"), path)
+    track.append_log(ups.where("odd = 1"), path)
+    return rounded(track.latest_runs(track.read_log(spark, path)).drop("odd"))
+
+
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
@@ -284,11 +297,21 @@ def variants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
+_ABLATIONS: dict[tuple[str, str], tuple[str, DataFrame]] = {}
+
+
+def ablation_runs(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+    """The log and the rows of the ablation ladder, run once per application and table."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _ABLATIONS:
+        path, (tr, te) = scratch_path(spark, "ablation_log"), modeling.sides(spark, sf)
+        _ABLATIONS[key] = path, report.run_ablation(tr, te, FEATURES, KEYS, modeling.USUAL, log=path)
+    return _ABLATIONS[key]
+
+
 @query("r2_ablation")
 def ablation(spark: SparkSession, sf: str) -> DataFrame:
-    tr, te = modeling.sides(spark, sf)
-    out = report.run_ablation(tr, te, FEATURES, KEYS, modeling.USUAL)
-    return out.withColumns({c: F.to_json(c) for c in ("cluster_counts", "shap_importance", "lime_importance")})
+    return ablation_runs(spark, sf)[1].withColumns({c: F.to_json(c) for c in ("cluster_counts", "shap_importance", "lime_importance")})
 
 
 SHOWN = ", ".join(r(m, m, 4) for m in metrics.METRICS)
@@ -322,49 +345,21 @@ def batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(report.prediction_labels(scored).select(*KEYS, "label", "p1", "confidence"))
 
 
-# Three fixed models stand for the baselines, a fourth for the federated one.
-MODELS = {"ann": LOGIT, "rf": [w * 0.5 for w in LOGIT], "svm": [-w for w in LOGIT], "federated": [w * 1.5 + 0.2 for w in LOGIT]}
-MODEL_ROWS = fx.FEAT + ", " + ", ".join(
-    f"{fx.scored('feat', p, name=f'sc_{m}')}, mr_{m} AS (SELECT '{m}' AS model, {', '.join(f'{e} AS {n}' for n, e in fx.metric_select().items())} "
-    f"FROM (SELECT *, CAST(p1 >= 0.5 AS INTEGER) AS y_pred FROM sc_{m}))" for m, p in MODELS.items()
-) + f", mr AS ({' UNION ALL '.join(f'SELECT * FROM mr_{m}' for m in MODELS)})"
-
-
-def model_rows(spark: SparkSession, sf: str, names: list[str]) -> DataFrame:
-    """(model, metrics...) of the fixed models, all scored in one pass over the rows."""
-    rows = fx.features(spark, sf)
-    for m in names:
-        rows = net.score(rows, MODELS[m], (6, 1), FEATURES, f"p_{m}")
-    preds = F.expr("inline(array(" + ", ".join(f"struct('{m}' AS model, cast(p_{m} >= 0.5D as int) AS y_pred)" for m in names) + "))")
-    return metrics.classification_metrics(rows.select("target", preds), "target", by=["model"])
-
-
-LABEL_CASE = "CASE model " + " ".join(f"WHEN '{m}' THEN '{text}'" for m, text in report.MODEL_LABELS.items()) + " END AS label"
-
-
-@query("r8_model_comparison", f"WITH {MODEL_ROWS} SELECT model, {METRIC_R}, {LABEL_CASE} FROM mr")
+@query("r8_model_comparison")
 def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(report.model_comparison(model_rows(spark, sf, ["ann", "rf", "svm"]), model_rows(spark, sf, ["federated"])))
-
-
-PUBLISHED_SQL = " UNION ALL ".join(
-    f"SELECT '{m}' AS model, '{k}' AS metric, {fx.lit(v)} AS published" for m, values in report.PUBLISHED.items() for k, v in values.items()
-)
+    found = modeling.latest_models(spark, sf)
+    return report.model_comparison(found.where("mode = 'baseline'"), found.where("mode = 'federated'"))
 
 
-@query("r9_vs_reference", f"""WITH {MODEL_ROWS}, pb AS ({PUBLISHED_SQL}),
-    lg AS ({' UNION ALL '.join(f"SELECT model, '{m}' AS metric, {m} * 100 AS measured FROM mr" for m in metrics.METRICS)})
-    SELECT lg.model, lg.metric, {r('measured')}, published, {r('measured - published', 'difference')}
-    FROM lg LEFT JOIN pb ON lg.model = pb.model AND lg.metric = pb.metric""")
+@query("r9_vs_reference")
 def vs_published(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(report.against_published(model_rows(spark, sf, list(MODELS))))
+    return report.against_published(modeling.latest_models(spark, sf).select("model", *metrics.METRICS))
 
 
-@query("r10_ablation_table", f"""WITH {MODEL_ROWS} SELECT model AS variant, {SHOWN}, CAST(0 AS DOUBLE) AS train_time_s,
-    CASE WHEN model = 'federated' THEN CAST(1.23 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS comm_mb FROM mr""")
+@query("r10_ablation_table")
 def ablation_table(spark: SparkSession, sf: str) -> DataFrame:
-    results = model_rows(spark, sf, list(MODELS)).withColumnRenamed("model", "variant")
-    return report.ablation_table(results.withColumn("comm_mb", F.when(F.col("variant") == "federated", F.lit(1.2345))))
+    runs = track.latest_runs(track.read_log(spark, ablation_runs(spark, sf)[0]))
+    return report.ablation_table(runs.withColumnRenamed("name", "variant"))
 
 
 @query("r11_kpis", f"""WITH {ROUND_ROWS} SELECT {r('max_by(accuracy, round)', 'accuracy')}, {r('max_by(f1, round)', 'f1')}, max(round) AS n_rounds,

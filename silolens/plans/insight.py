@@ -15,6 +15,7 @@ from silolens.plans import modeling
 from silolens.plans.fixtures import FEATURES, K, KEYS, LOGIT, LOGIT4, NUMERIC, r, rounded
 from silolens.plans.modeling import COLS
 from silolens.plans.registry import query
+from silolens.session import local_table
 
 N_CLUSTERS = 3
 D = len(FEATURES)
@@ -83,6 +84,43 @@ def assign_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.assign_vectors(vectors, centers, "embedding").select("vec_id", "cluster")
 
 
+def _vector_rounds(n: int) -> str:
+    """Views ``c0``..``cn``: centroids (cluster, j, v) after each round over the vectors."""
+    views = [f"e AS (SELECT vec_id, unnest(range(0, {VECTOR_D})) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)",
+             f"""c0 AS (SELECT cluster, j, {fx.lit(2)} * {fx.uniform(fx.md5(fx.SEED, "'centroid'", 'cluster', 'j'))} - 1 AS v
+      FROM (SELECT unnest(range(0, {VECTOR_K})) AS cluster) a CROSS JOIN (SELECT unnest(range(0, {VECTOR_D})) AS j) b)"""]
+    for i in range(n):
+        views.append(f"d{i} AS (SELECT vec_id, cluster, sum((e.v - c.v) * (e.v - c.v)) AS dist FROM e JOIN c{i} c ON e.j = c.j GROUP BY vec_id, cluster)")
+        views.append(f"a{i} AS (SELECT vec_id, arg_min(cluster, dist) AS cluster FROM d{i} GROUP BY vec_id)")
+        views.append(f"m{i} AS (SELECT cluster, j, avg(v) AS v FROM e JOIN a{i} USING (vec_id) GROUP BY cluster, j)")
+        views.append(f"c{i + 1} AS (SELECT c.cluster, c.j, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m ON m.cluster = c.cluster AND m.j = c.j)")
+    return ", ".join(views)
+
+
+VECTOR_ROUNDS = 3
+
+
+@query("k6b_fit_vectors", f"""WITH {_vector_rounds(VECTOR_ROUNDS)} SELECT CAST(cluster AS INTEGER) AS cluster, CAST(j AS INTEGER) AS j, {r('v', 'value')} FROM c{VECTOR_ROUNDS}""")
+def fit_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Three rounds of pooled k-means over wide vectors; labels are the clients."""
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("label").alias("client_id"), "embedding")
+    centers, _ = cluster.fit_vectors(vectors, cluster.init_centroids(VECTOR_K, VECTOR_D, fx.SEED), "embedding", VECTOR_ROUNDS)
+    return rounded(local_table(spark, [(c, j, v) for c, row in enumerate(centers) for j, v in enumerate(row)], "cluster int, j int, value double"))
+
+
+# Axes have no covariance between them, and all of them together keep the trace.
+@query("k10d_vector_axes", f"""WITH e AS (SELECT vec_id, unnest(range(0, {VECTOR_D})) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
+    SELECT CAST((SELECT count(*) FROM embeddings) AS BIGINT) AS n_rows, CAST(0 AS DOUBLE) AS cross, TRUE AS ordered,
+    {r(f"(SELECT sum(t) FROM (SELECT var_pop(v) AS t FROM e GROUP BY j) s)", 'trace')}""")
+def vector_axes(spark: SparkSession, sf: str) -> DataFrame:
+    """All principal axes of the vectors, judged by their projections."""
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    _, mean, cov = cluster.vector_moments(vectors, "embedding", VECTOR_D)
+    pcs = cluster.project_vectors(vectors, mean, cluster.leading_axes(cov, VECTOR_D), "embedding", ["vec_id"])
+    total = " + ".join(f"var_pop(pcs[{i}])" for i in range(VECTOR_D))
+    return rounded(pcs.selectExpr("count(*) AS n_rows", "abs(covar_pop(pcs[0], pcs[1])) AS cross", "var_pop(pcs[0]) >= var_pop(pcs[1]) AS ordered", f"{total} AS trace"))
+
+
 @query("k3_client_partials", f"""WITH {BASE} SELECT client_id, cluster, count(*) AS n, {', '.join(r(f'sum({c})', f's{j}', 3) for j, c in enumerate(COLS))}
     FROM as0 GROUP BY client_id, cluster""")
 def client_partials(spark: SparkSession, sf: str) -> DataFrame:
@@ -362,37 +400,49 @@ def weighted_moments(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select(*KEYS, F.expr("moments[0]").alias("m"), *cols))
 
 
-# A linear model's contributions w * x stand for surrogate weights where SQL has to follow.
-CONTRIB = f"""cw AS ({' UNION ALL '.join(f"SELECT {K}, '{c}' AS feature, {col} * {fx.lit(w)} AS weight FROM feat" for c, col, w in zip(FEATURES, COLS, LOGIT))}),
-    cr AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY abs(weight) DESC, feature) AS pos FROM cw)"""
 TOP_K = 3
 
 
-def contributions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fx.features(spark, sf)
-    terms = ", ".join(f"`{c}` * {w!r}D" for c, w in zip(FEATURES, LOGIT))
-    return net.predict(net.score(rows, LOGIT, (6, 1), FEATURES)).withColumn("weights", F.expr(f"array({terms})"))
+def surrogates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row's surrogate of the logistic model: its predicted class and one weight a feature."""
+    rows = fx.features(spark, sf).select(*KEYS, *FEATURES)
+    return surrogate.lime(rows, rows, explain.net_score_fn(LOGIT, (6, 1)), FEATURES, SURROGATE_SAMPLES, len(FEATURES), fx.SEED)
 
 
-@query("x8_lime_topk", f"WITH {fx.FEAT}, {CONTRIB} SELECT {K}, CAST(pos AS INTEGER) AS pos, feature, {r('weight')} FROM cr WHERE pos <= {TOP_K}")
+@query("x8_lime_topk")
 def lime_topk(spark: SparkSession, sf: str) -> DataFrame:
-    top = explain.top_weights(contributions(spark, sf), FEATURES, TOP_K, KEYS)
-    return rounded(explain.weight_rows(top, KEYS))
+    return explain.weight_rows(explain.top_weights(surrogates(spark, sf), FEATURES, TOP_K, KEYS), KEYS)
 
 
-@query("x9_lime_importance", f"""WITH {fx.FEAT}, {CONTRIB} SELECT feature, {r('sum(abs(weight)) / (SELECT count(*) FROM feat)', 'importance')}
-    FROM cr WHERE pos <= {TOP_K} GROUP BY feature""")
+@query("x9_lime_importance")
 def lime_importance(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(explain.global_weights(explain.top_weights(contributions(spark, sf), FEATURES, TOP_K, KEYS)))
+    return explain.global_weights(explain.top_weights(surrogates(spark, sf), FEATURES, TOP_K, KEYS))
 
 
-@query("r7_lime_rows", f"""WITH {fx.FEAT}, {CONTRIB}, {fx.scored('feat')}
-    SELECT {', '.join('cr.' + k for k in KEYS)}, CAST(pos AS INTEGER) AS pos, feature, {r('weight', 'weight', 4)},
-    CASE WHEN p1 >= 0.5 THEN 'Failure' ELSE 'No failure' END AS predicted
-    FROM cr JOIN sc ON {' AND '.join(f'cr.{k} = sc.{k}' for k in KEYS)} WHERE pos <= {TOP_K}""")
+@query("r7_lime_rows")
 def lime_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = contributions(spark, sf).withColumn("predicted_class", F.col("y_pred"))
-    return report.lime_table(explain.top_weights(rows, FEATURES, TOP_K, [*KEYS, "predicted_class"]), KEYS)
+    return report.lime_table(explain.top_weights(surrogates(spark, sf), FEATURES, TOP_K, [*KEYS, "predicted_class"]), KEYS)
+
+
+# A linear model's exact contributions w * x: what SQL can follow of ranking and averaging attributions.
+CONTRIB = f"""cw AS ({' UNION ALL '.join(f"SELECT {K}, '{c}' AS feature, {col} * {fx.lit(w)} AS weight FROM feat" for c, col, w in zip(FEATURES, COLS, LOGIT))}),
+    cr AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY abs(weight) DESC, feature) AS pos FROM cw)"""
+
+
+def contributions(spark: SparkSession, sf: str) -> DataFrame:
+    terms = ", ".join(f"`{c}` * {w!r}D" for c, w in zip(FEATURES, LOGIT))
+    return fx.features(spark, sf).withColumn("weights", F.expr(f"array({terms})"))
+
+
+@query("x8b_top_contributions", f"WITH {fx.FEAT}, {CONTRIB} SELECT {K}, CAST(pos AS INTEGER) AS pos, feature, {r('weight')} FROM cr WHERE pos <= {TOP_K}")
+def top_contributions(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(explain.weight_rows(explain.top_weights(contributions(spark, sf), FEATURES, TOP_K, KEYS), KEYS))
+
+
+@query("x9b_mean_contributions", f"""WITH {fx.FEAT}, {CONTRIB} SELECT feature, {r('sum(abs(weight)) / (SELECT count(*) FROM feat)', 'importance')}
+    FROM cr WHERE pos <= {TOP_K} GROUP BY feature""")
+def mean_contributions(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(explain.global_weights(explain.top_weights(contributions(spark, sf), FEATURES, TOP_K, KEYS)))
 
 
 @query("x10_predictions", f"""WITH {fx.FEAT}, {fx.scored('feat')} SELECT {K}, target AS y_true, CAST(p1 >= 0.5 AS INTEGER) AS y_pred, {r('p1', 'prob_failure')} FROM sc""")

@@ -135,6 +135,35 @@ def test_vector_assignment_equals_columns(spark):
     assert both.where("cluster <> other").count() == 0
 
 
+def test_vector_rounds_equal_column_rounds(spark):
+    _, df = points(spark)
+    vectors = df.withColumn("v", F.array("a", "b"))
+    start = cluster.init_centroids(4, 2, 3)
+    odd = spark.createDataFrame([(900, 0, None), (901, 0, [1.0]), (902, 1, [float("nan"), 0.0]), (903, 1, [None, 0.0])], "id int, client_id int, v array<double>")
+    got = cluster.fit_vectors(vectors.select("id", "client_id", "v").unionByName(odd), start, "v", 3)
+    want = cluster.fit(df, start, ["a", "b"], 3)
+    assert np.allclose(got[0], want[0]) and np.allclose(got[1], want[1])
+    parts = cluster.vector_partials(vectors, start, "v")
+    columns = cluster.client_partials(cluster.assign(df, start, ["a", "b"]), ["a", "b"])
+    a = {(r.client_id, r.cluster): (r.n, *r.sums) for r in parts.collect()}
+    b = {(r.client_id, r.cluster): (r.n, r.s0, r.s1) for r in columns.collect()}
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+def test_vector_axes_equal_numpy(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "BLOCK", 5)
+    x = np.random.default_rng(5).normal(size=(200, 12)) @ np.diag(np.arange(1, 13))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(900, None)], "id int, v array<double>").repartition(6)
+    n, mean, cov = cluster.vector_moments(df, "v", 12)
+    assert n == 200 and np.allclose(mean, x.mean(axis=0)) and np.allclose(cov, np.cov(x.T, bias=True))
+    axes = cluster.leading_axes(cov, 3)
+    got = {r.id: r.pcs for r in cluster.project_vectors(df, mean, axes, "v", ["id"]).collect()}
+    assert got.pop(900) is None and len(got) == 200
+    assert np.allclose([got[i] for i in range(200)], (x - x.mean(axis=0)) @ axes.T)
+    with pytest.raises(ValueError, match="no row"):
+        cluster.vector_moments(df.where("id > 800"), "v", 12)
+
+
 def test_projection_equals_numpy(spark):
     x, df = points(spark)
     means, axes = cluster.principal_axes(df, ["a", "b"])
@@ -159,6 +188,14 @@ def test_log_keeps_the_union_of_columns(spark):
     assert track.latest_experiments(log, 1).first()["experiment_id"] == max(first, second)
 
 
+def test_latest_run_of_each_name(spark):
+    path = scratch_path(spark, "log")
+    for k, (name, f1) in enumerate([("ann", 0.1), ("rf", 0.2), ("ann", 0.3)]):
+        track.log_experiment(spark, path, name, "baseline", {"f1": f1}, {"extra": 1} if k == 0 else {}, f"2024-01-0{k + 1}T00:00:00")
+    got = {r.name: (r.f1, r.extra) for r in track.latest_runs(track.read_log(spark, path)).collect()}
+    assert got == {"ann": (0.3, None), "rf": (0.2, None)}
+
+
 def test_config_rows(spark):
     rows = track.config_rows(spark, {"a": {"x": 1, "y": [2]}, "skipped": 3})
     assert {(r["key"], r["value"]) for r in rows.collect()} == {("a.x", "1"), ("a.y", "[2]")}

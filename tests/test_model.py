@@ -256,6 +256,19 @@ def test_forest_and_svm_learn_the_rules(rows):
     assert svm["accuracy"] > 0.95 and svm["loss"] < 0.3
 
 
+def test_no_row_is_scored_by_a_model_that_saw_it(spark):
+    rows = spark.range(100).withColumn("of", (F.col("id") % 5).cast("int"))
+    fit = lambda df: {r.id for r in df.collect()}
+    seen = {}
+
+    def apply(model, df):
+        seen.update({r.id: model for r in df.collect()})
+        return df
+
+    out = baselines.cross_fitted(rows, F.col("of"), 5, fit, apply)
+    assert out.count() == 100 and all(i not in model and len(model) == 80 for i, model in seen.items()) and len(seen) == 100
+
+
 def test_fourier_features_approach_the_kernel():
     x, _ = batch(6)
     w, b = baselines.fourier_draws(3, 4000, 0.5, 3)

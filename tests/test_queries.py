@@ -84,6 +84,40 @@ def test_surrogate_weights_are_ranked(spark, sf):
         assert len(sizes) == 4 and sizes == sorted(sizes, reverse=True)
 
 
+def test_reports_follow_the_logged_runs(spark, sf):
+    models = {r.model: r for r in collected(spark, sf, "d16_baseline_comparison")}
+    shown = {r.model: r for r in collected(spark, sf, "r8_model_comparison")}
+    assert set(models) == {"ann", "rf", "svm"} and set(shown) == {*models, "federated"}
+    assert all(shown[m].f1 == models[m].f1 and shown[m].label for m in models)
+    gaps = {(r.model, r.metric): r for r in collected(spark, sf, "r9_vs_reference")}
+    assert len(gaps) == 16
+    for (m, k), r in gaps.items():
+        assert r.measured == pytest.approx(100 * shown[m][k]) and r.difference == pytest.approx(r.measured - r.published)
+    ladder = {r.variant: r for r in collected(spark, sf, "r2_ablation")}
+    table = {r.variant: r for r in collected(spark, sf, "r10_ablation_table")}
+    assert set(table) == set(ladder)
+    for v, r in table.items():
+        assert r.f1 == pytest.approx(ladder[v].f1, abs=1e-4) and r.comm_mb == pytest.approx(ladder[v].comm_mb or 0, abs=1e-2)
+
+
+def test_surrogate_reports_agree(spark, sf):
+    rows = collected(spark, sf, "x8_lime_topk")
+    by_row = {}
+    for r in rows:
+        by_row.setdefault((r.k1, r.k2, r.k3, r.k4, r.k5), {})[r.feature] = (r.pos, r.weight)
+    assert all(len(w) == 3 and sorted(p for p, _ in w.values()) == [1, 2, 3] for w in by_row.values())
+    want = {}
+    for w in by_row.values():
+        for f, (_, x) in w.items():
+            want[f] = want.get(f, 0.0) + abs(x) / len(by_row)
+    got = {r.feature: r.importance for r in collected(spark, sf, "x9_lime_importance")}
+    assert got.keys() == want.keys() and all(got[f] == pytest.approx(want[f]) for f in want)
+    shown = collected(spark, sf, "r7_lime_rows")
+    assert len(shown) == len(rows) and {r.predicted for r in shown} <= {"Failure", "No failure"}
+    for r in shown:
+        assert r.weight == pytest.approx(by_row[(r.k1, r.k2, r.k3, r.k4, r.k5)][r.feature][1], abs=1e-4)
+
+
 def test_principal_axes_and_explanations(spark, sf):
     assert len(collected(spark, sf, "k10_pca_projection")) == len(collected(spark, sf, "k2_assign"))
     assert all(r.shap_importance >= 0 for r in collected(spark, sf, "x11_explain_report"))
