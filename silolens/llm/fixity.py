@@ -23,13 +23,14 @@ LEVELS = 3  # of nodes above the ranges, the last being the root
 def records(table: DataFrame, id_col: str, parts: list[str]) -> DataFrame:
     """``record_id, digest, damaged, size, copies``: each distinct record with its digest.
 
-    Nulls count as a mark of their own; equal rows are one record that is stored
-    so many times. ``damaged`` is the digest of the payload with one byte more:
+    A field is written with its length in bytes before it and a null as a dash,
+    so no two rows share a payload; equal rows are one record that is stored so
+    many times. ``damaged`` is the digest of the payload with one byte more:
     what a damaged copy would give.
     """
-    fields = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in (id_col, *parts)]
-    body = F.concat_ws("\n", *fields)
-    each = table.select(F.col(id_col).alias("record_id"), F.sha2(body, 256).alias("digest"), F.sha2(F.concat(body, F.lit("#")), 256).alias("damaged"), F.octet_length(body).cast("long").alias("size"))
+    fields = [F.col(f"`{c}`").cast("string") for c in (id_col, *parts)]
+    body = F.concat(*[F.coalesce(F.concat(F.octet_length(f).cast("string"), F.lit(":"), f), F.lit("-")) for f in fields])
+    each = table.select(F.col(f"`{id_col}`").alias("record_id"), F.sha2(body, 256).alias("digest"), F.sha2(F.concat(body, F.lit("#")), 256).alias("damaged"), F.octet_length(body).cast("long").alias("size"))
     return each.groupBy("record_id", "digest", "damaged", "size").agg(F.count("*").alias("copies"))
 
 

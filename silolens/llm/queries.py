@@ -39,7 +39,7 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 
 OP2_SQL = f"""
 WITH each AS (
-    SELECT page_id AS record_id, coalesce(cast(page_id AS varchar), chr(0)) || chr(10) || coalesce(url, chr(0)) || chr(10) || coalesce(html, chr(0)) AS body FROM pages),
+    SELECT page_id AS record_id, coalesce(strlen(cast(page_id AS varchar)) || ':' || cast(page_id AS varchar), '-') || coalesce(strlen(url) || ':' || url, '-') || coalesce(strlen(html) || ':' || html, '-') AS body FROM pages),
 hashed AS (
     SELECT record_id, sha256(body) AS digest, sha256(body || '#') AS damaged, strlen(body) AS size, count(*) AS copies FROM each GROUP BY ALL),
 files AS (SELECT greatest(1, cast(ceil(sum(size * copies) / {fixity.FILE_BYTES}.0) AS bigint)) AS n FROM hashed),
@@ -74,7 +74,7 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     found = fixity.audit(primary, replica, trees=trees)
     roots = [side[-1].selectExpr("file", f"digest AS {name}") for side, name in zip(trees, ("expected_root", "found_root"))]
     known = held.selectExpr("record_id", "digest AS expected")
-    return found.join(known, "expected").join(roots[0], "file").join(roots[1], "file", "left").select(
+    return found.join(known, "expected", "left").join(roots[0], "file", "left").join(roots[1], "file", "left").select(
         "record_id", "file", "start", "size", "expected", "found", "status", "expected_root", "found_root")
 
 
@@ -132,9 +132,9 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 
 #: The list is made from the hosts of the pages: added, removed and added again on days that follow from their hashes.
 LISTED_HOSTS = "substring(md5(host), 1, 1) < '8'"
-OP10_SQL = """
+OP10_SQL = f"""
 WITH seen AS (
-    SELECT page_id, url, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+    SELECT page_id, url, nullif(lower(regexp_replace(regexp_extract(url, '{url_lists.HOST_PATTERN}', 1), '[.]$', '')), '') AS host,
            date '2024-01-01' + cast(page_id % 365 AS integer) AS fetched FROM pages),
 hosts AS (SELECT DISTINCT host, regexp_replace(host, '^(www|m|blog)[.]', '') AS pattern FROM seen WHERE host IS NOT NULL AND substr(md5(host), 1, 1) < '8'),
 days AS (

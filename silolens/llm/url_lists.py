@@ -14,9 +14,14 @@ from silolens.llm.common import fresh, stored
 from silolens.session import small
 
 
+#: Scheme, user information up to the last @ of the authority, then a bracketed address or a name before the port.
+HOST_PATTERN = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]@]+)"
+
+
 def host(url: str) -> Column:
-    """Lower-case host of an address; null if there is none."""
-    return F.expr(f"nullif(lower(regexp_extract(`{url}`, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '')")
+    """Lower-case host of an address without the dot of the root; an address in brackets keeps them. Null if there is none."""
+    found = F.regexp_replace(F.regexp_extract(F.col(f"`{url}`"), HOST_PATTERN, 1), "[.]$", "")
+    return F.nullif(F.lower(found), F.lit(""))
 
 
 def intervals(entries: DataFrame) -> DataFrame:

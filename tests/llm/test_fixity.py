@@ -44,3 +44,18 @@ def test_records_and_layout(spark):
         assert r.start == ends.get(r.file, 0)
         ends[r.file] = r.start + r.size * r.copies
     assert fixity.laid_out(found.where("false")).count() == 0
+
+
+def test_fields_do_not_run_into_each_other(spark):
+    rows = [(1, "a\nb", "c"), (1, "a", "b\nc"), (1, None, "c"), (1, "\0", "c"), (1, "", "c"), (1, "1:a", ""), (1, "", "1:a"), (None, "a", "c"), (1, "x", "y" * 200_000), (1, "x", "y" * 200_000)]
+    table = spark.createDataFrame([(*r, 7) for r in rows], "id int, url string, html string, digest int")
+    got = fixity.records(table, "id", ["url", "html"]).collect()
+    assert len(got) == len({r.digest for r in got}) == len(rows) - 1
+    assert sorted(r.copies for r in got) == [1] * (len(rows) - 2) + [2] and max(r.size for r in got) > 200_000
+
+
+def test_added_records_are_reported(spark):
+    a = spark.createDataFrame(leaves(30), SCHEMA)
+    more = spark.createDataFrame([(0, 10_000, 1000, "new"), (9, 0, 5, "file")], SCHEMA)
+    got = {(r.file, r.start, r.status, r.expected, r.found) for r in fixity.audit(a, a.union(more)).collect()}
+    assert got == {(0, 10_000, "added", None, "new"), (9, 0, "added", None, "file")}

@@ -58,9 +58,10 @@ def test_deep_hosts(spark):
 
 
 def test_hosts(spark):
-    urls = ["HTTP://User:pw@Example.COM:80/x", "https://h", "ftp://h?x", "no address", "", None, "//h/x", "https:///x"]
+    urls = ["http://[2001:DB8::1]:80/", "http://u@[::1]/x", "http://example.com./", "http://a@b@example.com/p@q", "http://h.com:80?x=@y", "http://[::1", "HTTP://User:pw@Example.COM:80/x", "https://h", "ftp://h?x", "no address", "", None, "//h/x", "https:///x"]
     frame = spark.createDataFrame([(u,) for u in urls], "url string")
-    assert [r[0] for r in frame.select(url_lists.host("url")).collect()] == ["example.com", "h", "h", None, None, None, None, None]
+    assert [r[0] for r in frame.select(url_lists.host("url")).collect()] == [
+        "[2001:db8::1]", "[::1]", "example.com", "example.com", "h.com", None, "example.com", "h", "h", None, None, None, None, None]
 
 
 def test_odd_and_empty_tables(spark):
