@@ -63,7 +63,7 @@ def _hashed(dtype: str, tables: int, bits: int):
                 sizes = np.array([len(b) for b in blobs])
                 for size in np.unique(sizes):
                     mine = np.flatnonzero(sizes == size)
-                    x = np.stack([np.frombuffer(blobs[i], dtype) for i in mine]).astype(np.float64)
+                    x = _scaled(np.stack([np.frombuffer(blobs[i], dtype) for i in mine]))
                     plane = planes.setdefault(x.shape[1], _planes(x.shape[1], tables, bits))
                     signs[mine] = ((x @ plane.T) > 0).reshape(len(mine), tables, bits) @ powers
                 rows = np.repeat(np.arange(len(blobs)), tables)
@@ -91,6 +91,12 @@ def _verify(dtype: str, bits: int, threshold: float):
     return run
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision, each by a power of two so that its greatest component lies under 1: squares cannot overflow."""
+    x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
+
+
 def _bucket_links(rows: pa.Table, dtype: str, bits: int, threshold: float) -> list:
     out = []
     cid, times, side = (rows.column(c).to_numpy() for c in ("cid", "n", "side"))
@@ -102,7 +108,7 @@ def _bucket_links(rows: pa.Table, dtype: str, bits: int, threshold: float) -> li
         mine = np.flatnonzero(sizes == size)
         if len(mine) < 2:
             continue
-        x = np.stack([np.frombuffer(blobs[i], dtype) for i in mine]).astype(np.float64)
+        x = _scaled(np.stack([np.frombuffer(blobs[i], dtype) for i in mine]))
         norm = np.sqrt(np.einsum("ij,ij->i", x, x))
         degree = np.zeros(len(mine), np.int64)
         for a in range(0, len(mine), BLOCK_ROWS):

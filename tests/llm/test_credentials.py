@@ -1,5 +1,6 @@
 """Secret scan against the stated patterns, and the verdicts of owners."""
 
+import random
 import re
 
 from silolens.llm import credentials
@@ -83,3 +84,24 @@ def test_odd_and_empty_tables(spark):
     frame = odd_docs(spark)
     assert credentials.scan(frame).count() == frame.count() == credentials.redact(frame).count()
     assert credentials.scan(frame.where("false")).count() == 0 == credentials.redact(frame.where("false")).count()
+
+
+def test_verdicts_equal_plain_counts(spark):
+    """Values by distinct owners and (owner, repository) pairs, nulls and repeats included, against sets."""
+    rng = random.Random(6)
+    values = [f"v{k}" for k in range(60)]
+    rows = []
+    for value in values:
+        owners, repos = rng.choice([1, 1, 2, 3, 6]), rng.choice([1, 1, 2, 9, 14])
+        for _ in range(rng.randint(1, 60)):
+            owner = rng.choice([None, *range(owners)]) if rng.random() < 0.3 else rng.randrange(owners)
+            rows.append((value.encode(), value[-1] in "13579", None if owner is None else f"o{owner}", rng.choice([None, f"r{rng.randrange(repos)}"])))
+    frame = spark.createDataFrame(rows, "vhash binary, random boolean, owner string, repo string")
+    got = {bytes(r.vhash).decode(): (r.n_found, r.n_repos, r.n_owners, r.verdict) for r in credentials.ownership(frame).collect()}
+    want = {}
+    for value in values:
+        mine = [r for r in rows if r[0] == value.encode()]
+        owners, repos = {o for *_, o, _ in mine}, {(o, p) for *_, o, p in mine}
+        copied = len(owners) >= credentials.COPIED_OWNERS or len(repos) >= credentials.COPIED_REPOS
+        want[value] = (len(mine), len(repos), len(owners), "copied" if copied else "live" if mine[0][1] else "unclear")
+    assert got == want and {v[3] for v in want.values()} == {"copied", "live", "unclear"}

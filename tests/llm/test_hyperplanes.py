@@ -49,10 +49,36 @@ def test_odd_and_empty_tables(spark):
     assert hyperplanes.near_duplicates(frame.where("false")).count() == 0
 
 
-def test_recall_of_given_vectors(spark, sf):
-    frame = spark.read.parquet(f"{sf}/embeddings.parquet")
-    rows = [(r.vec_id, list(r.embedding)) for r in frame.collect()]
-    x = np.array([v for _, v in rows])
-    x /= np.sqrt((x * x).sum(axis=1))[:, None]
-    links = ((x @ x.T) >= 0.95).sum() - len(x)
-    assert sum(r.n_links for r in hyperplanes.near_duplicates(frame).collect()) >= 0.98 * links
+def planted(n, d=64, seed=11):
+    """``n`` pairs of vectors with cosines between 0.95 and 0.96."""
+    rng = np.random.default_rng(seed)
+    a, b = rng.standard_normal((2, n, d))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    cosine = rng.uniform(0.9501, 0.96, n)[:, None]
+    return a, (cosine * a + np.sqrt(1 - cosine**2) * b) * rng.uniform(0.1, 9, n)[:, None]
+
+
+def test_recall_of_planted_pairs(spark, sf):
+    """The registered parameters find pairs just above the threshold among the given vectors."""
+    a, b = planted(1500)
+    given = [list(map(float, r.embedding)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    vectors = [list(map(float, x)) for pair in zip(a, b) for x in pair] + given
+    frame = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").repartition(8)
+    got = {r.vec_id: r for r in hyperplanes.near_duplicates(frame).collect()}
+    x = np.array(vectors)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    linked = (x @ x.T >= 0.95).sum(axis=1) - 1
+    assert linked[:3000].min() == 1
+    found = sum(got[2 * i].component_id == 2 * i == got[2 * i + 1].component_id for i in range(1500))
+    assert found >= 0.98 * 1500
+    assert all(got[i].n_links <= linked[i] for i in got)
+
+
+def test_very_large_and_small_components(spark):
+    v, w = [1.0, 2.0, 3.0, 4.0], [-4.0, 3.0, 2.0, -1.0]
+    rows = [v, [x * 1e200 for x in v], [x * 1e-200 for x in v], [x * 1e307 for x in w], w, [5e-324, 0.0, 0.0, 0.0], [1.7e308] * 4, [1.0] * 4]
+    frame = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hyperplanes.near_duplicates(frame).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (1, 6), 7: (1, 6)}
