@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from silolens.operators import scale, split
-from silolens.operators.schema import failure_rules
+from silolens.operators.schema import FLAG_NAMES, failure_rules
 from silolens.sources.tables import load_raw
 
 KEYS = ["k1", "k2", "k3", "k4", "k5"]
@@ -25,9 +25,7 @@ RULES = {
     "pwf": "x2 < 1500",
     "osf": "x1 * x3 > 4.4 and x4 < 0.015",
 }
-RULE_NAMES = {
-    "twf": "Tool Wear Failure", "hdf": "Heat Dissipation Failure", "pwf": "Power Failure", "osf": "Overstrain Failure",
-}
+RULE_NAMES = {c: FLAG_NAMES[c.upper()] for c in RULES}
 
 LINEITEM = (
     "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "

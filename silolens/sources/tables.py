@@ -13,7 +13,12 @@ from silolens.operators.scale import Preprocessor
 
 
 def load_raw(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet", **options: str) -> DataFrame:
-    """Read a table with an explicit schema; a missing or empty one is an error."""
+    """Read a table with an explicit schema; a missing or empty one is an error.
+
+    So is a CSV or JSON value that does not fit its column, unless ``mode`` says otherwise.
+    """
+    if fmt in ("csv", "json"):
+        options.setdefault("mode", "FAILFAST")
     if fmt == "csv":
         options.setdefault("header", "true")
     try:

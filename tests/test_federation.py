@@ -215,6 +215,15 @@ def test_load_raw_errors(spark):
         tables.load_raw(spark, path, "a int")
 
 
+def test_malformed_cells_are_errors(spark):
+    path = scratch_path(spark, "bad_csv")
+    spark.createDataFrame([("1", "2.5"), ("x", "3.5")], "a string, b string").coalesce(1).write.option("header", "true").csv(path)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.load_raw(spark, path, "a int, b double", "csv").collect()
+    lenient = tables.load_raw(spark, path, "a int, b double", "csv", mode="PERMISSIVE").collect()
+    assert sorted((r.a or 0, r.b) for r in lenient) == [(0, 3.5), (1, 2.5)]
+
+
 def test_load_client_reads_only_its_folder(spark):
     df = spark.range(100).select("id", (F.col("id") % 2).cast("int").alias("target"), (F.col("id") % 4).cast("int").alias("client_id"), F.lit("train").alias("split"))
     path = scratch_path(spark, "clients")
