@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silolens.functions import net
-from silolens.operators import cluster, explain, report, scale, surrogate, train
+from silolens.operators import cluster, explain, report, scale, surrogate
 from silolens.plans import fixtures as fx
 from silolens.plans import modeling
 from silolens.plans.fixtures import FEATURES, K, KEYS, LOGIT, LOGIT4, NUMERIC, r, rounded
@@ -454,7 +454,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 def explain_report(spark: SparkSession, sf: str) -> DataFrame:
     """A trained model's explanation run over every held-out row, summarised per feature."""
     tr, te = modeling.sides(spark, sf)
-    run = train.train_federated(tr, te, FEATURES, KEYS, modeling.USUAL)
+    run = modeling.trained_run(spark, sf, "federated")
     tables = report.explain_run(te, tr, run, FEATURES, KEYS)
     local = explain.global_weights(tables["lime"]).withColumnRenamed("importance", "lime_importance")
     return tables["shap_importance"].withColumnRenamed("importance", "shap_importance").join(local, "feature", "left")
