@@ -28,19 +28,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from silolens.llm.common import fresh, groups, runs, stored
+from silolens.llm.common import fresh, runs, stored
 from silolens.session import bounded_rows
 
 WINDOW = 100
 GRAM = 32
 GRAMS = WINDOW - GRAM + 1
 SEGMENT = 1 << 20
-#: Anchors are counted in one of so many documents to find those to spread; this only balances the load.
+#: Anchors are counted in one of so many rows to find those to spread; this only balances the load.
 SAMPLED = 32
 HOT_FOUND = 64
 HOT_MOST = 50_000
 HOT_PARTS = 256
-#: Windows sorted at a time, whole anchors apart.
+#: Windows sorted at a time.
 FACTOR_WINDOWS = 100_000
 
 _U = np.uint64
@@ -197,8 +197,12 @@ def _sampled_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def hot_anchors(docs: DataFrame, text: Column) -> np.ndarray:
-    """Anchors to spread: at most ``HOT_MOST``, found in a sample of documents. Results do not depend on them."""
-    sample = docs.where(F.pmod(F.xxhash64(text), F.lit(SAMPLED)) == 0).select(text.alias("text"))
+    """Anchors to spread: at most ``HOT_MOST``, found in a sample of rows. Results do not depend on them.
+
+    Rows are sampled by their place, not by their text, so copies of one text count like any other rows.
+    """
+    sample = docs.select(text.alias("text"), F.monotonically_increasing_id().alias("at"))
+    sample = sample.where(F.pmod(F.xxhash64("at"), F.lit(SAMPLED)) == 0).select("text")
     counts = stored(sample.mapInArrow(_sampled_anchors, "anchor long").groupBy("anchor").count().where(f"count >= {HOT_FOUND // 8}"), "anchors")
     total = counts.agg(F.sum("count")).first()[0] or 0
     rows = counts.where(f"count >= {max(HOT_FOUND, total // HOT_MOST)}").select("anchor").collect()
@@ -206,16 +210,24 @@ def hot_anchors(docs: DataFrame, text: Column) -> np.ndarray:
 
 
 def _classes(hot: np.ndarray):
-    """Blocks sorted by anchor, hash and position: covers for later members of a class, wanted first members."""
+    """Blocks sorted by anchor, hash and position: covers for later members of a class, wanted first members.
+
+    Batches stream: of what came before, only the first block of the last class
+    is held, so a class may have any number of members.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in groups(batches, "anchor"):
+        held, told = None, False  # the last class's first block, and whether it is already wanted
+        for chunk in batches:
             col = {n: chunk.column(n).to_numpy() for n in _NAMES}
             cover = col["kind"] == COVER
             if cover.any():
                 yield _rows(COVER, *(col[n][cover] for n in _NAMES[1:]))
-            _, anchor, whole, d, tie, start, n = (col[x][~cover] for x in _NAMES[1:])
-            if not len(anchor):
+            rows = [col[x][~cover] for x in _NAMES[2:]]
+            if not len(rows[0]):
                 continue
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            anchor, whole, d, tie, start, n = rows
             new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
             first = new_anchor | np.concatenate([[True], whole[1:] != whole[:-1]])
             head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
@@ -227,6 +239,12 @@ def _classes(hot: np.ndarray):
             several = np.bincount(group[first], minlength=group[-1] + 1) > 1
             spread = np.isin(anchor, hot)
             wanted = first & (several[group] | spread)
+            known = np.zeros(len(first), bool)
+            known[0] = held is not None and told
+            last = head[-1]
+            told = bool(wanted[last] or known[last])
+            held = [x[last : last + 1] for x in rows]
+            wanted &= ~known
             yield _rows(WANTED, spread[wanted], anchor[wanted], whole[wanted], d[wanted], tie[wanted], start[wanted], n[wanted])
     return run
 
@@ -235,14 +253,18 @@ STRINGS = "part long, d long, tie long, start long, n long, data binary"
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with their wanted blocks to rows with the blocks' bytes; those of spread anchors window by window."""
+    """Documents with their wanted blocks to rows with the blocks' bytes; those of spread anchors window by window.
+
+    Windows of spread anchors that the batch holds earlier are covered already:
+    runs of them are rows of minus as many windows, without bytes, and go anywhere.
+    """
     names = [c.split()[0] for c in STRINGS.split(", ")]
     for whole in batches:
         for lo in range(0, whole.num_rows, 256):
             batch = whole.slice(lo, 256)
             d, tie, order = _batch_order(batch)
             rows: list[tuple] = []
-            seen: dict[bytes, int] = {}
+            seen: set[bytes] = set()
             for i in order.tolist():
                 data = batch.column("text")[i].as_buffer()
                 data = data.to_pybytes() if data is not None else b""
@@ -253,11 +275,18 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         continue
                     for at in range(start, start + n):
                         string = data[at : at + WINDOW]
-                        # a window that this batch already holds is covered by the earlier one
-                        key = seen.setdefault(string, len(rows))
-                        rows.append((int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little", signed=True), d[i], tie[i], at, 1 if key == len(rows) else 0, string if key == len(rows) else b""))
+                        if string not in seen:
+                            seen.add(string)
+                            key = int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little", signed=True)
+                            rows.append((key, d[i], tie[i], at, 1, string))
+                        elif at > start and rows[-1][4] < 0:
+                            rows[-1] = (*rows[-1][:4], rows[-1][4] - 1, b"")
+                        else:
+                            rows.append((0, d[i], tie[i], at, -1, b""))
             columns = list(zip(*rows)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([*[pa.array(np.array(c, np.int64)) for c in columns[:5]], pa.array(columns[5], pa.binary())], names=names)
+            part, ds, ties, starts, ns = (np.array(c, np.int64) for c in columns[:5])
+            part = np.where(ns < 0, _mixed((ds * 31 + starts).view(_U)).view(np.int64), part)
+            yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in (part, ds, ties, starts, ns)], pa.array(columns[5], pa.binary())], names=names)
 
 
 def nearest_smaller(position: np.ndarray) -> np.ndarray:
@@ -292,49 +321,62 @@ def longest_previous(windows: np.ndarray, position: np.ndarray) -> np.ndarray:
 
 
 def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks' bytes sorted by anchor: byte ranges of windows whose longest previous factor fills the window."""
-    for chunk in groups(batches, "part"):
-        first, last = runs(chunk.column("part").to_numpy())
-        windows = np.concatenate([[0], np.cumsum(chunk.column("n").to_numpy())])
-        lo = 0
-        while lo < len(first):  # whole anchors, about FACTOR_WINDOWS windows at a time
-            hi = lo + 1
-            while hi < len(first) and windows[last[hi]] - windows[first[lo]] <= FACTOR_WINDOWS:
-                hi += 1
-            yield from _factor_part(chunk.slice(first[lo], last[hi - 1] - first[lo]).combine_chunks())
-            lo = hi
+    """Blocks' bytes sorted by anchor and position: byte ranges of windows whose longest previous factor fills the window.
 
-
-def _factor_part(chunk: pa.Table) -> Iterator[pa.RecordBatch]:
+    About ``FACTOR_WINDOWS`` windows at a time. An anchor that goes on takes
+    along its windows without an earlier match: a later window that equals any
+    earlier one equals one of them. Windows of a spread anchor meet by content,
+    so there it is one window, however many rows share it.
+    """
+    held = before = None
+    for batch in batches:
+        windows = np.concatenate([[0], np.cumsum(np.maximum(batch.column("n").to_numpy(), 0))])
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(windows, windows[lo] + FACTOR_WINDOWS, side="right")) - 1)
+            rows, lo = batch.slice(lo, hi - lo), hi
+            n = rows.column("n").to_numpy()
+            ident = np.stack([rows.column(c).to_numpy() for c in ("part", "d", "tie", "start")])
+            # rows that are one document give the same block twice
+            again = (ident == np.concatenate([~ident[:, :1] if before is None else before, ident[:, :-1]], axis=1)).all(axis=0)
+            before = ident[:, -1:]
+            live = rows.filter(pa.array((n > 0) & ~again))
+            found = [rows.filter(pa.array(n < 0)), *([held] if held is not None else []), live]
+            out, kept = _factor_part(pa.Table.from_batches(found).combine_chunks())
+            held = kept if live.num_rows else held
+            if out.num_rows:
+                yield out
+
+
+def _factor_part(chunk: pa.Table) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
+    """Ranges to remove, and the last anchor's windows without an earlier match. Rows of an anchor come by position."""
     part, d, tie, start, n = (chunk.column(c).to_numpy() for c in ("part", "d", "tie", "start", "n"))
-    order = np.lexsort((part, start, tie, d))
-    again = np.concatenate([[False], np.all([x[order][1:] == x[order][:-1] for x in (part, start, tie, d)], axis=0)])
-    if again.any():  # rows that are one document give the same block twice
-        chunk = chunk.take(pa.array(np.sort(order[~again])))
-        part, d, tie, start, n = (chunk.column(c).to_numpy() for c in ("part", "d", "tie", "start", "n"))
-        order = np.lexsort((part, start, tie, d))
-    strings = chunk.column("data").to_pylist()
-    buffer = np.frombuffer(b"".join(strings), np.uint8)
-    base = np.concatenate([[0], np.cumsum([len(x) for x in strings])[:-1]]).astype(np.int64)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
+    order = np.lexsort((tie, d))
     moved = (d[order][1:] != d[order][:-1]) | (tie[order][1:] != tie[order][:-1])
     doc = np.empty(len(order), np.int64)
     doc[order] = np.concatenate([[0], np.cumsum(moved)])
+    done = np.flatnonzero(n < 0)
+    hits = [(doc[done], start[done], start[done] - n[done] - 1 + WINDOW)]
+    kept = None
+    n = np.maximum(n, 0)
     row = np.repeat(np.arange(len(n)), n)
-    inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    done = np.flatnonzero(n == 0)  # found equal to an earlier window on the way
-    hits = [(doc[done], start[done])]
     if len(row):
+        inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        strings = chunk.column("data").to_pylist()
+        buffer = np.frombuffer(b"".join(strings), np.uint8)
+        base = np.concatenate([[0], np.cumsum([len(x) for x in strings])[:-1]]).astype(np.int64)
         windows = np.lib.stride_tricks.sliding_window_view(buffer, WINDOW)[base[row] + inner]
-        late = longest_previous(windows, (place[row] << 32) + inner) >= WINDOW
-        hits.append((doc[row[late]], start[row[late]] + inner[late]))
-    who, at = (np.concatenate(x) for x in zip(*hits))
-    if len(who):
-        who, lo, hi = merged(who, at, at + WINDOW)
-        back = np.zeros(doc.max() + 1, np.int64)
-        back[doc] = np.arange(len(doc))
-        yield pa.RecordBatch.from_arrays([pa.array(d[back[who]]), pa.array(tie[back[who]]), pa.array(lo), pa.array(hi - lo)], names=["d", "tie", "start", "n"])
+        late = longest_previous(windows, np.arange(len(row))) >= WINDOW
+        at = start[row] + inner
+        hits.append((doc[row[late]], at[late], at[late] + WINDOW))
+        first = np.flatnonzero(~late & (part[row] == part[-1]))
+        data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WINDOW), len(first), [None, pa.py_buffer(windows[first].tobytes())]).cast(pa.binary())
+        mine = row[first]
+        kept = pa.RecordBatch.from_arrays([*[pa.array(x) for x in (part[mine], d[mine], tie[mine], at[first], np.ones(len(first), np.int64))], data], schema=chunk.schema)
+    who, lo, hi = merged(*(np.concatenate(x) for x in zip(*hits)))
+    back = np.zeros(len(doc), np.int64)
+    back[doc] = np.arange(len(doc))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (d[back[who]], tie[back[who]], lo, hi - lo)], names=["d", "tie", "start", "n"]), kept
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
@@ -385,7 +427,7 @@ def removals(docs: DataFrame, d: Column, tie: Column, text_col: str) -> DataFram
     covers = found.where(f"kind = {COVER}").select("d", "tie", "start", "n")
     wanted = found.where(f"kind = {WANTED}").groupBy("d", "tie").agg(F.collect_list(F.expr("struct(anchor, start, n, part = 1 AS spread)")).alias("wanted"))
     strings = slim.join(wanted, ["d", "tie"]).select("d", "tie", "text", "wanted").mapInArrow(_strings, STRINGS)
-    factors = strings.repartition("part").sortWithinPartitions("part").mapInArrow(_factor, "d long, tie long, start long, n long")
+    factors = strings.repartition("part").sortWithinPartitions("part", "d", "tie", "start").mapInArrow(_factor, "d long, tie long, start long, n long")
     return covers.union(factors)
 
 

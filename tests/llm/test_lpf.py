@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from silolens.llm import lpf
 from tests.llm.helpers import docs, odd_docs, sentence, texts
@@ -54,6 +55,34 @@ def test_shared_passages(spark, monkeypatch, hot):
     compare(docs(spark, found).repartition(5), found)
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_streams_in_small_parts(spark, monkeypatch, hot):
+    """Classes and anchors that go on over many batches and many sorted parts."""
+    if hot:
+        monkeypatch.setattr(lpf, "HOT_FOUND", 1)
+        monkeypatch.setattr(lpf, "SAMPLED", 1)
+    monkeypatch.setattr(lpf, "FACTOR_WINDOWS", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rng = random.Random(9)
+        copy, shared = sentence(rng, 60), sentence(rng, 30)
+        found = [copy if i % 3 else " ".join([sentence(rng, 5), shared[rng.randint(0, 9) :], sentence(rng, 4)]) for i in range(90)] + ["ab" * 200]
+        compare(docs(spark, found).repartition(4), found)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_copies_are_found_by_the_sample(spark):
+    """The anchors of a text with 5,000 copies are seen as hot, and its copies lose all bytes but the first's."""
+    rng = random.Random(12)
+    for _ in range(4):  # whatever the text's hash
+        copy = sentence(rng, 40)
+        frame = spark.range(6000).selectExpr("id AS doc_id", "id").withColumn("text", F.when(F.col("id") % 6 > 0, F.lit(copy)).otherwise(F.concat(F.lit("short "), "id"))).repartition(6)
+        assert set(lpf.blocks(np.frombuffer(copy.encode(), np.uint8), lpf._Hashes())[2].tolist()) <= set(lpf.hot_anchors(frame, F.col("text")).tolist())
+    left = lpf.dedup(frame).where("length(kept) > 0").select("doc_id", F.col("kept").cast("string").alias("kept")).where("kept NOT LIKE 'short%'").collect()
+    assert [(r.doc_id, r.kept) for r in left] == [(1, copy)]
+
+
 def test_rows_that_share_ids(spark):
     frame = odd_docs(spark)
     rows = lpf.dedup(frame).collect()
