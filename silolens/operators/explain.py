@@ -7,6 +7,7 @@ projection in Arrow batches whose working set is cut to a byte budget.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator, Sequence
 
@@ -90,15 +91,90 @@ def sampled_shapley(score: ScoreFn, x: np.ndarray, background: np.ndarray, permu
     return phi / (2 * permutations)
 
 
+def coalitions(d: int, budget: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """(masks, weights) of the kernel regression over d features: at most ``budget`` coalitions (but always sizes 1 and d - 1).
+
+    Sizes s and d - s come together, the smallest first, whole while they fit;
+    their weights are the kernel's. The rest of the budget draws coalitions of
+    the sizes left over, each with its complement, which share those sizes' weight.
+    """
+    sizes = np.arange(1, d)
+    total = (d - 1) / (sizes * (d - sizes))  # the kernel's weight of all coalitions of a size
+    weights: dict[bytes, float] = {}
+    low = 1
+    while low <= d - low:
+        pair = {low, d - low}
+        count = len(pair) * math.comb(d, low)
+        if low > 1 and len(weights) + count > budget:
+            break
+        for size in pair:
+            for members in itertools.combinations(range(d), size):
+                mask = np.zeros(d, bool)
+                mask[list(members)] = True
+                weights[mask.tobytes()] = total[size - 1] / math.comb(d, size)
+        low += 1
+    left = sizes[low - 1 : d - low]
+    draws = (budget - len(weights)) // 2
+    if len(left) and draws > 0:
+        rng = np.random.default_rng(stream_seed(seed, "coalitions"))
+        share = total[left - 1]
+        for size in rng.choice(left, draws, p=share / share.sum()):
+            mask = np.zeros(d, bool)
+            mask[rng.permutation(d)[:size]] = True
+            for drawn in (mask, ~mask):
+                weights[drawn.tobytes()] = weights.get(drawn.tobytes(), 0.0) + share.sum() / (2 * draws)
+    masks = np.array([np.frombuffer(m, bool) for m in weights]).reshape(-1, d)
+    return masks, np.array(list(weights.values()))
+
+
+def kernel_solver(masks: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(B, c) such that B y + c t is the weighted least-squares fit to coalition gains y whose terms add up to t."""
+    z = masks.astype(np.float64)
+    d = z.shape[1]
+    if not len(z):
+        return np.zeros((d, 0)), np.ones(d) / d
+    weighted = z.T * weights
+    inverse = np.linalg.inv(weighted @ z)
+    c = inverse.sum(axis=1) / inverse.sum()
+    return (np.eye(d) - c[:, None]) @ inverse @ weighted, c
+
+
+def kernel_shapley(score: ScoreFn, x: np.ndarray, background: np.ndarray, masks: np.ndarray, solver: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Kernel regression over the given coalitions; exact when they are all, and for additive scores."""
+    n, d = x.shape
+    base = score(background).mean()
+    gains = np.empty((n, len(masks)))
+    for k, inside in enumerate(masks):
+        mixed = np.repeat(background[None, :, :], n, axis=0)
+        mixed[:, :, inside] = x[:, None, inside]
+        gains[:, k] = score(mixed.reshape(-1, d)).reshape(n, -1).mean(axis=1) - base
+    return gains @ solver[0].T + np.outer(score(x) - base, solver[1])
+
+
 def shapley_values(df: DataFrame, score: ScoreFn, background: np.ndarray, features: Sequence[str],
-                   out: str = "phi", permutations: int = 64, seed: int = 42, method: str = "exact") -> DataFrame:
-    """Add an array of attributions per row by the caller's ``method``: "exact" (up to 12 features) or "sampled"."""
+                   out: str = "phi", permutations: int = 64, seed: int = 42, method: str = "exact", budget: int | None = None) -> DataFrame:
+    """Add an array of attributions per row by the caller's ``method``: "exact" (up to 12 features), "kernel" or "sampled".
+
+    "kernel" fits at most ``budget`` coalitions (2048 + 2 d unless given), the
+    same ones for every row, so they are chosen and solved once.
+    """
     d = len(features)
-    if method not in ("exact", "sampled"):
-        raise ValueError(f"method {method!r}: use 'exact' or 'sampled'")
+    if method not in ("exact", "kernel", "sampled"):
+        raise ValueError(f"method {method!r}: use 'exact', 'kernel' or 'sampled'")
     if method == "exact" and d > EXACT_FEATURES:
-        raise ValueError(f"exact values of {d} features need 2^{d} coalitions a row; choose method='sampled' above {EXACT_FEATURES}")
-    rows_per_slice = max(1, BATCH_BYTES // (8 * (len(background) * d * 4 + (1 << min(d, EXACT_FEATURES)))))
+        raise ValueError(f"exact values of {d} features need 2^{d} coalitions a row; choose method='kernel' or 'sampled' above {EXACT_FEATURES}")
+    masks, solver = np.zeros((0, d), bool), None
+    if method == "kernel":
+        masks, weights = coalitions(d, 2048 + 2 * d if budget is None else budget, seed)
+        solver = kernel_solver(masks, weights)
+    rows_per_slice = max(1, BATCH_BYTES // (8 * (len(background) * d * 4 + max(len(masks), 1 << min(d, EXACT_FEATURES)))))
+
+    def attributions(x: np.ndarray) -> np.ndarray:
+        if method == "exact":
+            return exact_shapley(score, x, background)
+        if method == "kernel":
+            return kernel_shapley(score, x, background, masks, solver)
+        return sampled_shapley(score, x, background, permutations, seed)
 
     # a struct of doubles travels as d flat buffers; an array would be a Python object per row
     names = [f"p{j}" for j in range(d)]
@@ -107,11 +183,7 @@ def shapley_values(df: DataFrame, score: ScoreFn, background: np.ndarray, featur
     def attribute(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.column_stack([c.to_numpy(dtype=np.float64) for c in batch])
-            parts = [
-                exact_shapley(score, x[i : i + rows_per_slice], background) if method == "exact"
-                else sampled_shapley(score, x[i : i + rows_per_slice], background, permutations, seed)
-                for i in range(0, len(x), rows_per_slice)
-            ]
+            parts = [attributions(x[i : i + rows_per_slice]) for i in range(0, len(x), rows_per_slice)]
             yield pd.DataFrame(np.concatenate(parts) if parts else np.empty((0, d)), columns=names)
 
     made = spread(df).withColumn("_phi", attribute(*[F.col(f"`{c}`") for c in features]))

@@ -312,6 +312,34 @@ def shapley_mlp(spark: SparkSession, sf: str) -> DataFrame:
     return explain.long_attributions(explain.shapley_values(rows, score, ground, FEATURES), FEATURES, KEYS)
 
 
+# All 14 coalitions of four features fit the budget, so the regression gives the exact values.
+@query("x3c_kernel_shapley", f"WITH {SHAP} SELECT {K}, feature, {r('phi')} FROM phl")
+def kernel_shapley(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fx.features(spark, sf)
+    ground = explain.collect_background(rows, NUMERIC, KEYS, BACKGROUND, fx.SEED)
+    out = explain.shapley_values(rows, explain.net_score_fn(LOGIT4, (D4, 1)), ground, NUMERIC, method="kernel", seed=fx.SEED)
+    return rounded(explain.long_attributions(out, NUMERIC, KEYS))
+
+
+WIDE = [f"e{j}" for j in range(VECTOR_D)]
+WIDE_WEIGHTS = [(-1) ** j * (j + 1) / VECTOR_D for j in range(VECTOR_D)]
+
+
+# An additive score has known values, weight x (value - background mean), which drawn coalitions must give too.
+@query("x3d_wide_shapley", f"""WITH e AS (SELECT vec_id, unnest(range(0, {VECTOR_D})) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+    ids AS (SELECT vec_id FROM embeddings ORDER BY {fx.md5(fx.SEED, "'background'", 'vec_id')}, vec_id LIMIT {BACKGROUND}),
+    m AS (SELECT j, avg(v) AS v FROM e JOIN ids USING (vec_id) GROUP BY j)
+    SELECT vec_id, 'e' || CAST(e.j AS VARCHAR) AS feature, {r(f"CASE WHEN e.j % 2 = 0 THEN 1 ELSE -1 END * (e.j + 1) / {fx.lit(VECTOR_D)} * (e.v - m.v)", 'phi')} FROM e JOIN m ON e.j = m.j""")
+def wide_shapley(spark: SparkSession, sf: str) -> DataFrame:
+    """Kernel regression over 64 features, for every vector."""
+    vectors = spark.read.schema(VECTORS).parquet(f"{sf}/embeddings.parquet")
+    rows = vectors.select("vec_id", *[F.expr(f"cast(get(embedding, {j}) AS double)").alias(c) for j, c in enumerate(WIDE)])
+    ground = explain.collect_background(rows, WIDE, ["vec_id"], BACKGROUND, fx.SEED)
+    weights = WIDE_WEIGHTS  # the module itself stays on the driver
+    out = explain.shapley_values(rows, lambda x: x @ weights, ground, WIDE, method="kernel", seed=fx.SEED)
+    return rounded(explain.long_attributions(out, WIDE, ["vec_id"]))
+
+
 @query("x4_shap_importance", f"WITH {SHAP} SELECT feature, {r('avg(abs(phi))', 'importance')} FROM phl GROUP BY feature")
 def shap_importance(spark: SparkSession, sf: str) -> DataFrame:
     rows, _ = attributed(spark, sf)

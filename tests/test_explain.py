@@ -53,6 +53,47 @@ def test_additivity(spark):
     assert err["n_rows"] == 30 and err["max_error"] < 1e-9
 
 
+def wide(d, n=6, seed=5):
+    rng = np.random.default_rng(seed)
+    score = explain.net_score_fn(net.init_params((d, 5, 1), 3), (d, 5, 1))
+    return score, rng.normal(size=(n, d)), rng.normal(size=(8, d))
+
+
+@pytest.mark.parametrize("d", [1, 2, 3, 8, 12])
+def test_kernel_values_over_all_coalitions_are_exact(d):
+    score, x, ground = wide(d)
+    masks, weights = explain.coalitions(d, 1 << d)
+    assert len(masks) == len(np.unique(masks, axis=0)) == (1 << d) - 2
+    got = explain.kernel_shapley(score, x, ground, masks, explain.kernel_solver(masks, weights))
+    assert np.allclose(got, explain.exact_shapley(score, x, ground), atol=1e-9)
+
+
+def test_kernel_values_of_thirty_features(spark):
+    d = 30
+    score, x, ground = wide(d)
+    masks, weights = explain.coalitions(d, 2048 + 2 * d)
+    assert len(masks) <= 2048 + 2 * d and len(np.unique(masks, axis=0)) == len(masks)
+    # complements come together, and each size keeps about its weight
+    assert {m.tobytes() for m in masks} == {m.tobytes() for m in ~masks}
+    assert weights.sum() == pytest.approx(sum((d - 1) / (s * (d - s)) for s in range(1, d)))
+    names = [f"f{j}" for j in range(d)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, " + ", ".join(f"{c} double" for c in names))
+    rows = {r.id: np.array(r.phi) for r in explain.shapley_values(df, score, ground, names, method="kernel").collect()}
+    got = np.array([rows[i] for i in range(len(x))])
+    assert np.abs(got.sum(axis=1) + score(ground).mean() - score(x)).max() < 1e-9
+    close = explain.sampled_shapley(score, x, ground, 400, 1)
+    assert np.abs(got - close).max() < 0.01
+
+
+def test_kernel_values_of_additive_scores_need_few_coalitions():
+    x, ground = np.random.default_rng(1).normal(size=(2, 9, 40))
+    w = np.arange(40) - 17.5
+    masks, weights = explain.coalitions(40, 100)
+    got = explain.kernel_shapley(lambda v: v @ w, x, ground, masks, explain.kernel_solver(masks, weights))
+    assert np.allclose(got, w * (x - ground.mean(axis=0)))
+    assert explain.coalitions(40, 0)[0].shape == (80, 40)
+
+
 def test_sampled_values_add_up_and_approach_exact(monkeypatch):
     x, ground = data(), data(7, 3)
     sampled = explain.sampled_shapley(SCORE, x, ground, 200, 1)
