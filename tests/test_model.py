@@ -265,7 +265,8 @@ def test_no_row_is_scored_by_a_model_that_saw_it(spark):
         seen.update({r.id: model for r in df.collect()})
         return df
 
-    out = baselines.cross_fitted(rows, F.col("of"), 5, fit, apply)
+    out, whole = baselines.cross_fitted(rows, F.col("of"), 5, fit, apply)
+    assert len(whole) == 100
     assert out.count() == 100 and all(i not in model and len(model) == 80 for i, model in seen.items()) and len(seen) == 100
 
 
