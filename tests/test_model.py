@@ -3,6 +3,7 @@
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,3 +277,17 @@ def test_fourier_features_approach_the_kernel():
     z = np.sqrt(2.0 / len(b)) * np.cos(x @ w.T + b)
     kernel = np.exp(-0.5 * ((x[:, None] - x[None]) ** 2).sum(axis=2))
     assert np.abs(z @ z.T - kernel).max() < 0.1
+
+
+def test_large_client_is_mapped_and_kept_in_order(monkeypatch):
+    """Past ``HELD_ROWS`` the same examples in the same order, from a file; no client of some millions of rows is refused."""
+    assert train.GROUP_ROWS > 36_000_000 // 5
+    rng = np.random.default_rng(3)
+    table = pd.DataFrame({"a": rng.random(50), "b": rng.random(50), "y": rng.integers(0, 2, 50), "slot": rng.integers(0, 3, 50), "_order": rng.permutation(50)})
+    table.loc[7, "b"] = np.nan
+    want = table.drop(7).sort_values("_order")
+    for bound in (100, 10):
+        monkeypatch.setattr(train, "HELD_ROWS", bound)
+        for rows in (table, table.sort_values("_order")):
+            held, slots = train.held_rows(iter([rows[:20], rows[20:20], rows[20:]]), ["a", "b"], "y", True)
+            assert np.array_equal(held, want[["a", "b", "y"]].to_numpy()) and np.array_equal(slots, want["slot"])
