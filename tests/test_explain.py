@@ -207,3 +207,18 @@ def test_constant_feature(spark):
     df = frame(spark, data(40)).withColumn("b", F.lit(2.0))
     out = surrogate.lime(df, df, SCORE, NAMES, 100, 3).first()
     assert len(out["weights"]) == 3 and all(math.isfinite(w) for w in out["weights"])
+
+
+@pytest.mark.parametrize("sizes", [(4, 1), (4, 3, 1), (4, 5, 3, 1)])
+@pytest.mark.parametrize("scale", [1.0, 40.0])
+def test_mixtures_by_parts_equal_built_ones(sizes, scale):
+    """A net's mixtures are sums of two parts: no mixture is built, and bounded logits stay bounded."""
+    rng = np.random.default_rng(5)
+    score = explain.net_score_fn(scale * rng.normal(size=net.n_params(sizes)), sizes)
+    x, ground = rng.normal(size=(33, 4)), rng.normal(size=(7, 4))
+    masks = np.array([[b >> j & 1 for j in range(4)] for b in range(16)], bool)
+    assert isinstance(score, explain.LayeredScore)
+    got, built = explain.mixture_means(score, x, ground, masks), explain.mixture_means(lambda v: score(v), x, ground, masks)
+    assert np.allclose(got, built, atol=1e-12)
+    line = explain.linear_score([1.0, -2.0, 0.5, 3.0])
+    assert np.allclose(explain.mixture_means(line, x, ground, masks), explain.mixture_means(lambda v: line(v), x, ground, masks), atol=1e-12)
