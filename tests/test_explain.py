@@ -222,3 +222,17 @@ def test_mixtures_by_parts_equal_built_ones(sizes, scale):
     assert np.allclose(got, built, atol=1e-12)
     line = explain.linear_score([1.0, -2.0, 0.5, 3.0])
     assert np.allclose(explain.mixture_means(line, x, ground, masks), explain.mixture_means(lambda v: line(v), x, ground, masks), atol=1e-12)
+
+
+@pytest.mark.parametrize("k", [1, 3, 4, 5])
+def test_pattern_fits_equal_a_solution_per_row(k):
+    rng = np.random.default_rng(6)
+    names, x = list("abcde"), rng.normal(size=(500, 5))
+    cuts = {c: list(np.quantile(x[:, j], surrogate.QUARTILES)) for j, c in enumerate(names)}
+    stats = surrogate.BinStats(cuts, {c: [(0.25, m, 0.5, m - 1, m + 1) for m in (-1.5, -0.3, 0.3, 1.5)] for c in names})
+    score = explain.net_score_fn(rng.normal(size=net.n_params((5, 4, 1))), (5, 4, 1))
+    shared = surrogate.Perturbations.make(stats, score, names, 300, 42)
+    fits, p1 = surrogate.PatternFits(shared, k), score(x)
+    for part in (slice(0, 200), slice(100, 500)):
+        want = surrogate.ridge_weights(shared.moments(x[part], p1[part], {}), k)
+        assert np.allclose(fits.weights(x[part], p1[part]), want, atol=1e-9)
