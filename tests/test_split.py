@@ -155,3 +155,13 @@ def test_running_sizes_past_one_bucket(spark, monkeypatch):
 def test_empty_clients_are_named(spark):
     with pytest.raises(ValueError, match="would receive no rows"):
         split.partition_rows(table(spark, 10, 2), "non_iid", 30, "target", ["id"])
+
+
+def test_many_strata_meet_once_and_split_alike(spark, monkeypatch):
+    """Small strata are ranked whole, with no join of the rows; the sides are those that the cuts give."""
+    table = spark.range(3000).selectExpr("id", "cast(id % 41 AS int) AS client_id", "cast(id % 11 = 0 AS int) AS target")
+    ranked = split.client_split(table, "target", ["id"], 0.2)
+    assert "Join" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(split, "EDGE_ROWS", 0)
+    cut = split.client_split(table, "target", ["id"], 0.2)
+    assert sorted(map(tuple, ranked.select("id", "split").collect())) == sorted(map(tuple, cut.select("id", "split").collect()))
