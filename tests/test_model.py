@@ -291,3 +291,12 @@ def test_large_client_is_mapped_and_kept_in_order(monkeypatch):
         for rows in (table, table.sort_values("_order")):
             held, slots = train.held_rows(iter([rows[:20], rows[20:20], rows[20:]]), ["a", "b"], "y", True)
             assert np.array_equal(held, want[["a", "b", "y"]].to_numpy()) and np.array_equal(slots, want["slot"])
+
+
+def test_batches_are_blocks_of_bounded_size(rows):
+    """A step moves buffers of some thousand rows; none is lost and none grows with the table."""
+    tagged = rows.crossJoin(rows.sparkSession.range(20).withColumnRenamed("id", "copy")).withColumns({"slice": F.lit(0), "slot": F.lit(0)})
+    (held,) = synchronous._batches(tagged, 1, "bounded", FEATURES, "target", ["client_id"])
+    sizes = [len(r.block) // 8 // (len(FEATURES) + 1) for r in held.collect()]
+    held.unpersist()
+    assert sum(sizes) == tagged.count() and max(sizes) <= synchronous.BLOCK_ROWS
