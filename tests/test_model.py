@@ -300,3 +300,24 @@ def test_batches_are_blocks_of_bounded_size(rows):
     sizes = [len(r.block) // 8 // (len(FEATURES) + 1) for r in held.collect()]
     held.unpersist()
     assert sum(sizes) == tagged.count() and max(sizes) <= synchronous.BLOCK_ROWS
+
+
+@pytest.mark.parametrize("clip", [None, 0.3])
+@pytest.mark.parametrize("sizes", [SIZES, (6, 1), (6, 64, 32, 1)])
+def test_held_arrays_give_the_same_gradient(sizes, clip):
+    rng = np.random.default_rng(4)
+    start = np.array(net.init_params(sizes, 3))
+    model = net.HeldNet(start, sizes, 64)
+    for n in (64, 7, 64, 0):
+        x, y = rng.normal(size=(n, sizes[0])), (rng.random(n) < 0.4).astype(float)
+        assert np.allclose(model.probabilities(x), net.probabilities(start, sizes, x), rtol=1e-12)
+        assert np.allclose(model.gradient(x, y, 2.0, clip), net.gradient_sum(start, sizes, x, y, 2.0, clip), rtol=1e-10, atol=1e-13)
+
+
+def test_few_clients_lie_apart(spark):
+    """Two clients that meet in a partition are trained one after the other."""
+    table = spark.range(500).selectExpr("id", "cast(id % 5 as int) AS client_id", "cast(id as double) AS x", "0D AS target")
+    laid = train.layout_clients(table, ["x"], "target", ["id"], "client_id", train.TrainConfig())
+    met = laid.groupBy(F.spark_partition_id().alias("part")).agg(F.countDistinct("client_id").alias("n")).collect()
+    laid.unpersist()
+    assert [r["n"] for r in met] == [1] * 5
