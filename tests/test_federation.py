@@ -263,3 +263,18 @@ def test_ablation_ladder(spark, sf):
     assert by_name["A_centralized"]["comm_mb"] is None and by_name["B_fl_only"]["comm_mb"] is not None
     assert (by_name["D_fl_dp_shap"]["shap_samples"], by_name["D_fl_dp_shap"]["lime_samples"]) == (7, 3)
     assert sum(by_name["E_full"]["cluster_counts"]) == rows.count()
+
+
+def test_variants_of_one_run_share_it(spark, sf, monkeypatch):
+    """C, D and E differ in what is shown of a run: it is trained and explained once."""
+    from silolens.plans import fixtures as fx
+
+    rows, made = fx.features(spark, sf), []
+    for name in ("train_federated", "explain_run"):
+        monkeypatch.setattr(report, name, lambda *a, _name=name, _real=getattr(report, name), **k: made.append(_name) or _real(*a, **k))
+    cfg = TrainConfig(hidden=(), rounds=1, local_epochs=1, noise_multiplier=0.1)
+    got = report.run_ablation(rows, rows, fx.FEATURES, fx.KEYS, cfg, epochs=1, cluster_rounds=1, lime_samples=50, shap_rows=7, lime_rows=3).collect()
+    assert sorted(made) == ["explain_run", "train_federated", "train_federated"]
+    by_name = {r["variant"]: r for r in got}
+    assert by_name["C_fl_dp"]["f1"] == by_name["D_fl_dp_shap"]["f1"] == by_name["E_full"]["f1"]
+    assert by_name["D_fl_dp_shap"]["shap_importance"] == by_name["E_full"]["shap_importance"] and by_name["C_fl_dp"]["shap_importance"] is None
