@@ -1,5 +1,6 @@
 """The network, its gradients and federated training."""
 
+import math
 from dataclasses import replace
 
 import numpy as np
@@ -321,3 +322,44 @@ def test_few_clients_lie_apart(spark):
     met = laid.groupBy(F.spark_partition_id().alias("part")).agg(F.countDistinct("client_id").alias("n")).collect()
     laid.unpersist()
     assert [r["n"] for r in met] == [1] * 5
+
+
+def test_svm_stores_no_mapped_rows(rows, monkeypatch):
+    """What is written and held of a row does not grow with the number of maps."""
+    written = []
+    real = baselines.cut_lineage
+    monkeypatch.setattr(baselines, "cut_lineage", lambda df, name: written.append(df.columns) or real(df, name))
+    baselines.rbf_svm(rows, rows, FEATURES, n_maps=30, max_iter=2)
+    assert written == [[*FEATURES, "target", "_of"], ["target", "_v"]]
+
+
+def test_svms_of_all_folds_reach_the_least_hinge_loss(spark):
+    """Each fit by itself: subgradient steps of falling size over its rows come no lower."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 2))
+    y = (x[:, 0] * x[:, 1] + 0.2 * rng.normal(size=120) > 0).astype(float)
+    of = np.arange(120) % 3
+    table = spark.createDataFrame([(float(a), float(b), float(t), int(k)) for (a, b), t, k in zip(x, y, of)], "a double, b double, t double, _of int")
+    w, b = baselines.fourier_draws(2, 8, 0.5, 1)
+    found = baselines.linear_svms(table, ["a", "b"], "t", "_of", 3, w, b, 1.0, 100)
+    z, sign = baselines._map_rows(x, w, b), 2 * y - 1
+    for k, point in enumerate(found):
+        mine = of != k
+
+        def loss(p):
+            return np.maximum(0, 1 - sign[mine] * (z[mine] @ p[:-1] + p[-1])).mean() + p[:-1] @ p[:-1] / (2 * mine.sum())
+
+        p, low = np.zeros(9), math.inf
+        for step in range(1, 4001):
+            wrong = mine & (sign * (z @ p[:-1] + p[-1]) < 1)
+            g = np.append(-(sign[wrong, None] * z[wrong]).sum(axis=0) + p[:-1], -sign[wrong].sum()) / mine.sum()
+            p = p - 3.0 / math.sqrt(step) * g
+            low = min(low, loss(p))
+        assert loss(point) <= low * 1.002
+
+
+def test_mapped_blocks_equal_mapped_columns(rows):
+    w, b = baselines.fourier_draws(len(FEATURES), 12, 0.3, 5)
+    both = rows.limit(200).select(F.array(*FEATURES).alias("x"), F.array(*baselines.fourier_features(FEATURES, w, b)).alias("z")).collect()
+    got = baselines._map_rows(np.array([r["x"] for r in both]), w, b)
+    assert np.abs(got - np.array([r["z"] for r in both])).max() < 2e-7
