@@ -278,3 +278,10 @@ def test_variants_of_one_run_share_it(spark, sf, monkeypatch):
     by_name = {r["variant"]: r for r in got}
     assert by_name["C_fl_dp"]["f1"] == by_name["D_fl_dp_shap"]["f1"] == by_name["E_full"]["f1"]
     assert by_name["D_fl_dp_shap"]["shap_importance"] == by_name["E_full"]["shap_importance"] and by_name["C_fl_dp"]["shap_importance"] is None
+
+
+def test_counting_clusters_writes_the_assignment_once(spark):
+    df = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.0, 1.0), (1, None, 1.0)], "client_id int, a double, b double")
+    counts = cluster.cluster_counts(cluster.assign(df, [[1.0, 0.0], [-1.0, 0.0], [99.0, 99.0]], ["a", "b"]), 3)
+    assert sorted(tuple(r) for r in counts.collect()) == [(0, 2), (1, 0), (2, 0)]  # a row without a cluster is in none
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("array_position") == 1
