@@ -3,11 +3,14 @@
 import itertools
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from silolens import session
 from silolens.functions import net
+from silolens.functions.text import nearest
 from silolens.operators import explain, quantiles, surrogate
 
 NAMES = ["a", "b", "c"]
@@ -236,3 +239,44 @@ def test_pattern_fits_equal_a_solution_per_row(k):
     for part in (slice(0, 200), slice(100, 500)):
         want = surrogate.ridge_weights(shared.moments(x[part], p1[part], {}), k)
         assert np.allclose(fits.weights(x[part], p1[part]), want, atol=1e-9)
+
+
+def test_few_features_rank_as_a_sorted_array_does(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [[float(v) for v in rng.integers(-3, 4, 3)] for _ in range(60)] + [[None, 1.0, None], [math.nan, 1.0, -1.0], [0.0, -0.0, 0.0]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "id int, phi array<double>")
+
+    def shown():
+        tables = (explain.waterfall(df, NAMES, 0.25, ["id"]), explain.weight_rows(explain.top_weights(df, NAMES, 2, ["id"], "phi"), ["id"], "phi"))
+        return [sorted(map(str, t.collect())) for t in tables]
+
+    flat = shown()
+    plan = explain.waterfall(df, NAMES, 0.25, ["id"])._jdf.queryExecution().toString()
+    assert "array_sort" not in plan
+    monkeypatch.setattr(explain, "PAIRED", 0)
+    assert flat == shown()
+
+
+def test_flat_weights_are_not_made_twice(spark):
+    df = spark.range(3).selectExpr("id", "array(id + 1D, -id - 2D, 0D) AS weights")
+    plan = explain.weight_rows(explain.top_weights(df, NAMES, 2, ["id"]), ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(" not in plan
+    assert explain.weight_rows(df.selectExpr("id", "filter(array(struct('a' AS feature, 1D AS weight)), e -> id > 0) AS weights"), ["id"]).count() == 2
+
+
+def test_rounding_in_doubles_is_that_of_sql(spark):
+    xs = [2.5e-6, -5e-7, 5e-7, -1e-9, 0.0078125, -0.0078125, 1.0000005, 123.4567895, 4.0e15, -7.25]
+    got = spark.createDataFrame([(x,) for x in [*xs, None]], "x double").select(F.expr(nearest("x", 6))).collect()
+    want = [duckdb.execute("SELECT round(?::DOUBLE, 6) + 0", [x]).fetchone()[0] for x in xs]
+    assert [r[0] for r in got] == [*want, None] and math.copysign(1.0, got[3][0]) == 1.0
+
+
+def test_few_files_that_scan_evenly_are_not_shuffled(spark, tmp_path):
+    spark.range(64, numPartitions=4).write.parquet(f"{tmp_path}/even")
+    df = spark.read.parquet(f"{tmp_path}/even").selectExpr("id", "id * 2 AS twice")
+    files = df.inputFiles()
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert session._scanned_evenly(df, plan(df), files, 4)
+    assert not session._scanned_evenly(df, plan(df), files, 8)  # half of the cores would be idle
+    ordered = df.orderBy("id").limit(5)
+    assert not session._scanned_evenly(ordered, plan(ordered), files, 4)
