@@ -271,6 +271,17 @@ def test_rounding_in_doubles_is_that_of_sql(spark):
     assert [r[0] for r in got] == [*want, None] and math.copysign(1.0, got[3][0]) == 1.0
 
 
+def test_columns_of_few_values_need_no_sketch(spark, monkeypatch):
+    df = spark.range(5000).selectExpr("cast(id % 7 as double) AS few", "sin(id) AS many", "if(id % 3 = 0, null, id % 11 + 0.5D) AS gaps").persist()
+    names, probs = ["few", "many", "gaps"], [0.0, 0.25, 0.31, 0.75, 1.0]
+    got = quantiles.exact_quantiles(df, names, probs)
+    table = df.toPandas()
+    for c in names:
+        assert got[c] == pytest.approx(list(np.percentile(table[c].dropna(), [100 * p for p in probs])), abs=1e-12)
+    monkeypatch.setattr(quantiles, "_narrow", lambda df, targets, accuracy: [pytest.fail("sketched") for _ in targets])
+    assert quantiles.exact_quantiles(df, ["few", "gaps"], probs) == {c: got[c] for c in ("few", "gaps")}
+
+
 def test_few_files_that_scan_evenly_are_not_shuffled(spark, tmp_path):
     spark.range(64, numPartitions=4).write.parquet(f"{tmp_path}/even")
     df = spark.read.parquet(f"{tmp_path}/even").selectExpr("id", "id * 2 AS twice")
