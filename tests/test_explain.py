@@ -291,3 +291,21 @@ def test_few_files_that_scan_evenly_are_not_shuffled(spark, tmp_path):
     assert not session._scanned_evenly(df, plan(df), files, 8)  # half of the cores would be idle
     ordered = df.orderBy("id").limit(5)
     assert not session._scanned_evenly(ordered, plan(ordered), files, 4)
+
+
+def test_equal_mixtures_are_scored_once():
+    """Rows that agree inside a coalition and background rows that agree outside it share a mixture; the values stay."""
+    rng = np.random.default_rng(11)
+    sizes = (3, 5, 1)
+    x = np.column_stack([rng.integers(0, 3, 400), rng.normal(size=400), rng.integers(0, 2, 400)]).astype(float)
+    ground = np.column_stack([rng.integers(0, 3, 20), rng.normal(size=20), rng.integers(0, 2, 20)]).astype(float)
+    score = explain.net_score_fn(net.init_params(sizes, 5), sizes)
+    masks = np.array([[bits >> j & 1 for j in range(3)] for bits in range(8)], dtype=bool)
+    want, tail, scored = explain.mixture_means(lambda z: score(z), x, ground, masks), score.tail, []
+    score.tail = lambda z: scored.append(len(z)) or tail(z)
+    for part in (slice(None), slice(0, 1), slice(0, 0)):
+        assert np.allclose(explain.mixture_means(score, x[part], ground, masks), want[part], atol=1e-14)
+    score.tail = lambda z: scored.append(len(z)) or tail(z)
+    scored.clear()
+    explain.mixture_means(score, x, ground, masks)
+    assert sum(scored) < 0.4 * 8 * len(x) * len(ground)

@@ -363,3 +363,37 @@ def test_mapped_blocks_equal_mapped_columns(rows):
     both = rows.limit(200).select(F.array(*FEATURES).alias("x"), F.array(*baselines.fourier_features(FEATURES, w, b)).alias("z")).collect()
     got = baselines._map_rows(np.array([r["x"] for r in both]), w, b)
     assert np.abs(got - np.array([r["z"] for r in both])).max() < 2e-7
+
+
+def test_noise_of_many_steps_has_one_generator(monkeypatch):
+    """A private step draws from its client's generator: making one took longer than drawing."""
+    rng = np.random.default_rng(5)
+    held, made, real = rng.normal(size=(640, 7)), [], np.random.default_rng
+    cfg = replace(CFG, hidden=(4,), local_epochs=3, batch_size=64, dp_enabled=True)
+    start = np.array(net.init_params(cfg.sizes(FEATURES), 3))
+    first, _ = train.adam_epochs(start, cfg.sizes(FEATURES), held, cfg, (1, 1, 0))
+    monkeypatch.setattr(np.random, "default_rng", lambda *a: made.append(a) or real(*a))
+    again, _ = train.adam_epochs(start, cfg.sizes(FEATURES), held, cfg, (1, 1, 0))
+    assert len(made) == 2 and (first == again).all()  # the order of batches and the noise
+    other, _ = train.adam_epochs(start, cfg.sizes(FEATURES), held, cfg, (1, 2, 0))
+    assert np.abs(other - again).max() > 1e-3
+
+
+def test_step_noise_has_the_documented_size():
+    cfg = replace(CFG, dp_enabled=True, clipping_norm=0.5, noise_multiplier=3.0)
+    noise = synchronous.step_noise(1000, cfg, 4, 1, 0)
+    drawn = np.array([next(noise).copy() for _ in range(100)])
+    assert drawn.std() == pytest.approx(1.5, rel=0.02) and abs(drawn.mean()) < 0.02
+    assert len(np.unique(drawn)) == drawn.size
+
+
+def test_adam_moves_as_published():
+    rng = np.random.default_rng(6)
+    theta, m, v = rng.normal(size=9), np.zeros(9), np.zeros(9)
+    moved, own_m, own_v = theta.copy(), np.zeros(9), np.zeros(9)
+    for step in range(1, 30):
+        g = rng.normal(size=9) * 10.0 ** rng.integers(-9, 2, 9)
+        own_m, own_v = 0.9 * own_m + 0.1 * g, 0.999 * own_v + 0.001 * g * g
+        moved -= 0.05 * (own_m / (1 - 0.9**step)) / (np.sqrt(own_v / (1 - 0.999**step)) + 1e-8)
+        theta, m, v = synchronous.adam_step(theta, m, v, g, step, 0.05)
+        assert np.allclose(theta, moved, rtol=1e-12, atol=1e-13)
