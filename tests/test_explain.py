@@ -309,3 +309,25 @@ def test_equal_mixtures_are_scored_once():
     scored.clear()
     explain.mixture_means(score, x, ground, masks)
     assert sum(scored) < 0.4 * 8 * len(x) * len(ground)
+
+
+@pytest.mark.parametrize("n", [1, 5, 6, 7, 60])
+def test_pooled_sigmoids_equal_single_ones(n):
+    """One division for several background rows, for short last groups and at the logit's limit too."""
+    rng = np.random.default_rng(n)
+    rest = rng.uniform(-14, 14, n)
+    own = np.concatenate([rng.uniform(-16, 16, explain.POOLED_ROWS + 3), [16.0, -16.0]])
+    rest[0] = 14.0 if n % 2 else -14.0
+    want = np.array([(1.0 / (1.0 + np.exp(-(a + rest)))).mean() for a in own])
+    assert np.allclose(explain.logistic_means(own, rest), want, rtol=1e-13, atol=0)
+    assert len(explain.logistic_means(own[:0], rest)) == 0
+
+
+def test_logistic_shapley_divides_once_for_several_background_rows(monkeypatch):
+    x, ground = data(500), data(60, 3)
+    score, divided, real = explain.net_score_fn(net.init_params((3, 1), 5), (3, 1)), [], np.divide
+    monkeypatch.setattr(np, "divide", lambda a, b, **k: divided.append(np.size(b)) or real(a, b, **k))
+    got = explain.exact_shapley(score, x, ground)
+    assert sum(divided) < 10 * 8 * len(x)
+    monkeypatch.undo()
+    assert np.allclose(got, explain.exact_shapley(lambda z: score(z), x, ground), atol=1e-13)
