@@ -6,8 +6,11 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from silolens.plans import fixtures as fx
+from silolens.session import scratch_path
 from tools.check_oracle import TABLES, verdict
 
 ORACLES = entry.oracle_sql()
@@ -126,3 +129,16 @@ def test_principal_axes_and_explanations(spark, sf):
 def test_contract(spark):
     assert set(ORACLES) <= set(entry.queries())
     assert entry.entry(spark).count() == 10
+
+
+def test_reading_keys_are_rounded_without_decimal_numbers(spark):
+    """Prices in cents as SQL rounds them, halves away from zero, nulls kept."""
+    prices = [901.0, 1234.565, 0.285, 0.005, -0.005, 1.005, -2.675, 104949.5, 0.0, 12345.675, None, *[round(900 + i * 37.123, 2) for i in range(300)]]
+    table = spark.createDataFrame([(i, i, i, 1, 1.0, p, 0.0, 0.0, "A") for i, p in enumerate(prices)], fx.LINEITEM)
+    folder = scratch_path(spark, "prices")
+    table.write.parquet(f"{folder}/lineitem.parquet")
+    made = fx.sensor_rows(spark, folder)
+    want = table.select(F.col("l_orderkey").alias("k1"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("w"))
+    both = made.join(want, "k1").select("k5", "w").collect()
+    assert len(both) == len(prices) and all(r.k5 == r.w for r in both)
+    assert "round(" not in made._jdf.queryExecution().optimizedPlan().toString()
