@@ -315,6 +315,58 @@ def test_held_arrays_give_the_same_gradient(sizes, clip):
         assert np.allclose(model.gradient(x, y, 2.0, clip), net.gradient_sum(start, sizes, x, y, 2.0, clip), rtol=1e-10, atol=1e-13)
 
 
+def test_steps_on_held_parameters_leave_what_is_not_a_parameter():
+    """The ones and zeros beside the parameters have no gradient; ``scale`` scales, privacy's share included."""
+    rng = np.random.default_rng(5)
+    sizes = (6, 7, 3, 1)
+    start = np.array(net.init_params(sizes, 3)) + 0.1
+    model = net.HeldNet(start, sizes, 20)
+    x, y = rng.normal(size=(20, 6)), (rng.random(20) < 0.4).astype(float)
+    rest = np.setdiff1d(np.arange(len(model.held)), model.at)
+    for clip in (None, 0.3):
+        g = model.gradient_of(model.inputs_of(x), y, 0.0, clip, 0.05)
+        assert not g[rest].any() and np.allclose(g[model.at], 0.05 * net.gradient_sum(start, sizes, x, y, 0.0, clip), rtol=1e-10, atol=1e-13)
+    assert np.array_equal(model.theta, start)
+
+
+@pytest.mark.parametrize("scale", ["documented", "as_coded"])
+def test_noise_drawn_ahead_is_the_noise_of_the_steps(monkeypatch, scale):
+    """Blocks made by a thread give each step's noise, for the mean of a batch, at the places of the parameters."""
+    cfg = replace(CFG, dp_enabled=True, noise_multiplier=0.7, noise_scale=scale)
+    monkeypatch.setattr(synchronous, "AHEAD_BYTES", 8 * 9 * 3)
+    ahead, steps = synchronous.drawn_ahead(synchronous.noise_blocks(np.array([1, 2, 5, 7]), 9, 8, cfg, 1, 2)), synchronous.step_noise(4, cfg, 1, 2)
+    for _ in range(20):
+        want, got = next(steps) / (8 if scale == "documented" else 64), next(ahead)
+        assert np.allclose(got[[1, 2, 5, 7]], want) and not got[[0, 3, 4, 6, 8]].any()
+    ahead.close()
+
+
+@pytest.mark.parametrize("scale", ["documented", "as_coded"])
+def test_gathered_steps_equal_single_ones(monkeypatch, scale):
+    """Whatever number of steps is gathered at once, a client trains as by one gradient, one noise and one Adam step after the other."""
+    rng = np.random.default_rng(6)
+    held = np.column_stack([rng.normal(size=(50, 3)), rng.random(50) < 0.4])
+    cfg = train.TrainConfig(hidden=(5,), local_epochs=3, batch_size=8, dp_enabled=True, noise_multiplier=0.5, noise_scale=scale)
+    sizes, stream = (3, 5, 1), (1, 1, 0)
+    start = np.array(net.init_params(sizes, 1))
+    theta, m, v, step, losses = start, 0.0 * start, 0.0 * start, 0, []
+    order, noise = np.random.default_rng(train.stream_seed("order", *stream)), train.step_noise(len(start), cfg, *stream)
+    for epoch in range(3):
+        drawn, losses = order.permutation(50), []
+        for at in range(0, 50, 8):
+            x, y = held[drawn[at : at + 8], :-1], held[drawn[at : at + 8], -1]
+            step += 1
+            g = net.gradient_sum(theta, sizes, x, y, 0.0, 1.0) + next(noise) / (1 if scale == "documented" else len(x))
+            theta, m, v = synchronous.adam_step(theta, m, v, g / len(x), step, cfg.learning_rate)
+            losses.append(net.mean_log_loss(net.probabilities(theta, sizes, x), y))
+    for ahead in (1, 3, 64):
+        monkeypatch.setattr(train, "STEPS_AHEAD", ahead)
+        got, loss = train.adam_epochs(start, sizes, held, cfg, stream)
+        assert np.allclose(got, theta, atol=1e-9) and loss == pytest.approx(np.mean(losses))
+    none, loss = train.adam_epochs(start, sizes, held[:0], cfg, stream)
+    assert np.array_equal(none, start) and np.isnan(loss)
+
+
 def test_few_clients_lie_apart(spark):
     """Two clients that meet in a partition are trained one after the other."""
     table = spark.range(500).selectExpr("id", "cast(id % 5 as int) AS client_id", "cast(id as double) AS x", "0D AS target")
