@@ -59,6 +59,14 @@ def test_local_training_returns_one_update_a_client(spark, sf):
     assert sum(r.n_examples for r in got) == entry.queries()["d12_client_evaluate"](spark, sf).selectExpr("sum(n_rows)").first()[0]
 
 
+def test_a_fedavg_round_ends_with_the_mean_of_its_updates(spark, sf):
+    """Local training alone is no FedAvg round: the updates are averaged, weighted by examples."""
+    got = collected(spark, sf, "d10_fedavg_local_train")
+    total = sum(r.n_examples for r in got)
+    want = [sum(r.n_examples * r.params[i] for r in got) / total for i in range(len(got[0].params))]
+    assert all(r.mean_params == pytest.approx(want) for r in got)
+
+
 def test_ablation_explains_every_held_out_row(spark, sf):
     got = {r.variant: r for r in collected(spark, sf, "r2_ablation")}
     for v in ("D_fl_dp_shap", "E_full"):
