@@ -367,6 +367,42 @@ def test_gathered_steps_equal_single_ones(monkeypatch, scale):
     assert np.array_equal(none, start) and np.isnan(loss)
 
 
+def test_clients_of_one_batch_are_not_ordered(rows):
+    """Two full steps give the same with and without an order; none is hashed or sorted."""
+    cfg = replace(CFG, hidden=(), local_epochs=2, batch_size=1 << 30)
+    laid = train.layout_clients(rows, FEATURES, "target", KEYS, "client_id", cfg)
+    plan = laid._jdf.queryExecution().analyzed().toString()
+    assert "md5" not in plan
+    start = net.init_params((6, 1), 3)
+    got = {r["client_id"]: r for r in train.local_updates(laid, start, FEATURES, "target", "client_id", cfg, 1).collect()}
+    laid.unpersist()
+    for k, r in got.items():
+        held = np.array([tuple(x) for x in rows.where(F.col("client_id") == k).select(*FEATURES, "target").collect()], dtype=float)
+        theta, m, v = np.array(start), np.zeros(7), np.zeros(7)
+        for step in (1, 2):
+            theta, m, v = synchronous.adam_step(theta, m, v, net.gradient_sum(theta, (6, 1), held[:, :-1], held[:, -1]) / len(held), step, cfg.learning_rate)
+        assert r["n_examples"] == len(held) and np.allclose(r["params"], theta, atol=1e-12)
+
+
+def test_a_step_of_the_central_net_uses_all_cores(spark, rows):
+    """A slot's blocks lie in as many partitions as there are cores, however few files hold them."""
+    cores = spark.sparkContext.defaultParallelism
+    tagged = rows.crossJoin(spark.range(20 * cores).withColumnRenamed("id", "copy")).withColumns({"slice": F.lit(0), "slot": F.lit(0)})
+    (held,) = synchronous._batches(tagged.coalesce(1), 1, "spread", FEATURES, "target")
+    parts = held.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    held.unpersist()
+    assert len(parts) == cores
+
+
+def test_svm_passes_read_blocks(spark):
+    """A pass moves buffers: the numbers of some thousand rows with their labels and folds."""
+    table = spark.createDataFrame([(0.5 * i, -float(i), float(i % 2), i % 3) for i in range(50)], "a double, b double, t double, _of int").coalesce(1)
+    (got,) = baselines._blocks(table, ["a", "b"], "t", "_of").collect()
+    x = np.frombuffer(got["block"], np.float64, 100).reshape(50, 2)
+    codes = np.frombuffer(got["block"], np.int16, offset=x.nbytes).reshape(50, 2)
+    assert got["n"] == 50 and np.array_equal(x[:, 0] * -2, x[:, 1]) and np.array_equal(codes[:, 0], np.arange(50) % 2) and np.array_equal(codes[:, 1], np.arange(50) % 3)
+
+
 def test_few_clients_lie_apart(spark):
     """Two clients that meet in a partition are trained one after the other."""
     table = spark.range(500).selectExpr("id", "cast(id % 5 as int) AS client_id", "cast(id as double) AS x", "0D AS target")
